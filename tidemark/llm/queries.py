@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, mixing, quality, secrets, simhash, toxicity, vectors
+from tidemark.llm import chat, decontaminate, language_model, mixing, quality, secrets, simhash, toxicity, vectors
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -147,3 +147,10 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of each vector at a cosine of 0.95 or more, its component, and whether it stays."""
     found = vectors.vector_groups(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of each document under the hierarchical Pitman-Yor model and under add-one unigrams."""
+    found = language_model.score_texts(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
