@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, language_model, mixing, quality, secrets, simhash, toxicity, vectors
+from tidemark.llm import chat, decontaminate, language_model, mixing, pii, quality, secrets, simhash, toxicity, vectors
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -154,3 +154,10 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of each document under the hierarchical Pitman-Yor model and under add-one unigrams."""
     found = language_model.score_texts(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its personal data replaced by surrogates, and the entities of each kind."""
+    found = pii.replace_entities(table(spark, sf_dir, "documents"), key="tidemark")
+    return found.withColumnRenamed("id", "doc_id")
