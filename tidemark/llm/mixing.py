@@ -50,6 +50,42 @@ def source_targets(sizes: DataFrame, shares: tuple[int, ...] = (1, 2, 3)) -> Dat
     return level.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: int) -> dict[str, Column]:
+    weight = quality_weight(F.col(text_col)) if weight is None else weight
+    key = -F.log(uniform(seed, F.col(id_col))) / weight
+    return {"size": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"), "key": key, "slice": F.floor(key * SLICES).cast("long")}
+
+
+def plan_sources(keyed: DataFrame) -> DataFrame:
+    """(source, source_size, target, base, cut): of ``keyed`` (id, source, size, key, slice), one row per source.
+
+    A source is taken ``base`` times in whole, and once more up to the place ``cut`` = (key, id, size), null if
+    nothing. The order of a source's keys is cut into slices; sums of slices tell the one in which the budget
+    ends, and only the documents of that slice are sorted.
+    """
+    targets = source_targets(keyed).withColumn("base", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
+    targets = materialize(targets.withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")), "targets")
+    by_slice = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = materialize(keyed.groupBy("source", "slice").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(by_slice), F.lit(0))), "slices")
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    # slices that begin within the budget; the last of them is where it ends
+    ends = slices.alias("s").join(targets.alias("t"), same("s", "t")).filter("before <= rest").groupBy("t.source", "rest").agg(F.max(F.struct("slice", "before")).alias("e"))
+    ends = materialize(ends.select("source", "rest", "e.slice", "e.before"), "ends")
+    last = keyed.alias("k").join(ends.alias("e"), same("k", "e") & (F.col("k.slice") == F.col("e.slice"))).select("k.source", "id", "size", "key", "before", "rest")
+    inside = W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    place = last.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    cuts = place.filter(F.col("before") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "id", "size")).alias("cut"))
+    # the first document of the slice may be too large: then everything before the slice is taken
+    bound = ends.alias("e").join(cuts.alias("c"), same("e", "c"), "left").select("e.source", "slice", "cut")
+    return materialize(targets.alias("t").join(bound.alias("b"), same("t", "b"), "left").select("t.source", "source_size", "target", "base", "slice", "cut"), "sources").withColumnsRenamed({"source": "s_source", "slice": "s_slice"})
+
+
+def _epochs() -> Column:
+    place = F.struct("key", "id", "size")
+    part = (F.col("slice") < F.col("s_slice")) | ((F.col("slice") == F.col("s_slice")) & (place <= F.col("cut")))
+    return F.col("base") + F.coalesce(part, F.lit(False)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: int = 42) -> DataFrame:
     """(id, source, size, source_size, target, epochs, taken) for each row of ``docs``.
 
@@ -57,22 +93,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     -ln(u) / weight, while the words before them and half of their own are within the rest. So the words
     taken differ from the target by half a document at most. ``weight`` is a document's quality weight, above
     0 and at most 1. Keys depend on the seed and the id, so that reruns agree; ties go by id and size.
-    Null texts have no words; null sources form one source; rows with equal ids share a key and stay apart.
+    Null texts have no words; null sources form one source; rows with equal ids and sizes are taken together.
     """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    weight = quality_weight(F.col(text_col)) if weight is None else weight
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), (-F.log(uniform(seed, F.col(id_col))) / weight).alias("key"))
-    keyed = materialize(keyed.withColumn("slice", F.floor(F.col("key") * SLICES).cast("long")), "keyed")
-    targets = source_targets(keyed).withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
-    targets = materialize(targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
-    # words before each slice of a source, then inside it
-    by_slice = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = keyed.groupBy("source", "slice").agg(F.sum("size").alias("words")).withColumn("base", F.coalesce(F.sum("words").over(by_slice), F.lit(0)))
-    slices = slices.join(targets, slices["source"].eqNullSafe(targets["source"])).select(slices["source"].alias("s"), F.col("slice").alias("p"), "base", "source_size", "target", "epochs", "rest")
-    inside = W.partitionBy("source", "slice").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = placed.join(slices, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("p")))
-    part = F.col("base") + F.col("inside") + F.col("size") / 2 <= F.col("rest")
-    return joined.select(
-        "id", "source", "size", "source_size", "target", (F.col("epochs") + part.cast("long")).alias("epochs"), ((F.col("epochs") + part.cast("long")) * F.col("size")).alias("taken")
-    )
+    made = _keyed(docs, id_col, text_col, source_col, weight, seed)
+    keyed = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), *[c.alias(k) for k, c in made.items()]), "keyed")
+    out = keyed.join(plan_sources(keyed), F.col("source").eqNullSafe(F.col("s_source"))).withColumn("epochs", _epochs())
+    return out.select("id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: int = 42) -> DataFrame:
+    """The documents that ``mix`` takes at least once, with columns size, source_size, target, epochs and taken after their own.
+
+    Columns of these names are replaced. Texts aren't moved: each row is held against its source's plan.
+    """
+    added = ("size", "source_size", "target", "epochs", "taken")
+    docs = docs.drop(*added)
+    made = _keyed(docs, id_col, text_col, source_col, weight, seed)
+    keyed = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), *[c.alias(k) for k, c in made.items()]), "keyed")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), *[c.alias(k) for k, c in made.items()])
+    out = row.join(plan_sources(keyed), F.col("source").eqNullSafe(F.col("s_source"))).withColumn("epochs", _epochs()).filter("epochs > 0")
+    return out.select("row.*", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import chat, decontaminate, language_model, mixing, pii, quality, secrets, simhash, toxicity, vectors
 from tidemark.llm.common import table
 
@@ -161,3 +162,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its personal data replaced by surrogates, and the entities of each kind."""
     found = pii.replace_entities(table(spark, sf_dir, "documents"), key="tidemark")
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture that the stages of corpus_pipeline.py make of all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
