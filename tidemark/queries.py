@@ -1,6 +1,387 @@
-"""Registered queries of the analytics engine, with the SQL that must give the same rows."""
+"""Registered queries of the analytics engine over the given tables; tidemark/oracles.py has their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.config import Config
+from tidemark.operators import analysis, features, metrics, panel, periods, study, universe
+from tidemark.oracles import ORACLES  # noqa: F401
+from tidemark.sources import tables
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+# unit prices of the tables are near 10,000, so the cap and the capital are larger than the defaults
+SCALE = {"max_share_price": 20_000.0, "capital": 10_000_000.0}
+CFG = Config(**SCALE)
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+LATEST = 82  # the last of the 83 ship months
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, since engines add in different orders; 0 added, for the sign of zero."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly panel; a ticker is in the universe between its first and last price."""
+    grid = tables.monthly_panel(spark, sf_dir)
+    have = F.when(F.col("close_adj").isNotNull(), F.col("t"))
+    w = W.partitionBy("ticker")
+    return grid.withColumn("in_universe", F.col("t").between(F.min(have).over(w), F.max(have).over(w)))
+
+
+def _signals(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    return features.signals(_panel(spark, sf_dir), Config(**SCALE, **more))
+
+
+def _monthly_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = tables.monthly_cells(spark, sf_dir).select("date")
+    return periods.rebalance_calendar(days).withColumn("rf_period", F.lit(CFG.rf_monthly))
+
+
+def _period_panel(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    at = _monthly_periods(spark, sf_dir)
+    return periods.period_panel(_signals(spark, sf_dir, **more), at).join(F.broadcast(at.select("t", "rf_period")), "t")
+
+
+def _band_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, t, date, r): mean return over the next session of each band."""
+    nxt = F.lead("close_adj").over(W.partitionBy("ticker").orderBy("t")) / F.col("close_adj") - 1
+    rows = _signals(spark, sf_dir).withColumn("r", nxt).filter("band IS NOT NULL AND r IS NOT NULL")
+    return rows.groupBy(F.concat(F.lit("band"), "band").alias("run_id"), "t", "date").agg(F.avg("r").alias("r"))
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _band_returns(spark, sf_dir)
+    sign = F.when(F.col("run_id") == "band5", F.col("r")).when(F.col("run_id") == "band1", -F.col("r"))
+    both = r.filter(F.col("run_id").isin("band1", "band5")).groupBy("t", "date").agg(F.sum(sign).alias("r"), F.count("*").alias("n"))
+    return both.filter("n = 2").select(F.lit("spread").alias("run_id"), "t", "date", "r")
+
+
+@query
+def panel_dense(spark, sf_dir):
+    return _rounded(_panel(spark, sf_dir).select("t", "ticker", "close_adj", "close_raw", "open_adj", "in_universe"), 3)
+
+
+@query
+def log_return(spark, sf_dir):
+    return _rounded(_panel(spark, sf_dir).select("t", "ticker", features.log_return("close_adj", 3).alias("r3")))
+
+
+@query
+def robust_z(spark, sf_dir):
+    r = _panel(spark, sf_dir).withColumn("r3", features.log_return("close_adj", 3))
+    return _rounded(features.robust_z(r, "r3", "z", CFG.winsor, CFG.min_count).select("t", "ticker", "z"))
+
+
+@query
+def rs_score(spark, sf_dir):
+    return _rounded(features.rs_score(_panel(spark, sf_dir), CFG).select("t", "ticker", "rs_score"))
+
+
+@query
+def rs_slope(spark, sf_dir):
+    return _rounded(features.rs_slope(features.rs_score(_panel(spark, sf_dir), CFG), CFG).select("t", "ticker", "rs_slope"), 5)
+
+
+@query
+def sma_flag(spark, sf_dir):
+    return features.criteria(_panel(spark, sf_dir), CFG).select("t", "ticker", "above_sma")
+
+
+@query
+def history_flag(spark, sf_dir):
+    return features.criteria(_panel(spark, sf_dir), CFG).select("t", "ticker", "enough_history")
+
+
+@query
+def eligibility(spark, sf_dir):
+    return features.criteria(_panel(spark, sf_dir), CFG).select("t", "ticker", "eligible")
+
+
+@query
+def eligibility_criteria(spark, sf_dir):
+    names = ("in_universe", "has_price", "enough_history", "under_price_cap", "above_sma", "eligible")
+    day = features.criteria(_panel(spark, sf_dir), CFG).groupBy("t").agg(*[F.count_if(n).alias(n) for n in names])
+    return _rounded(day.agg(*[F.avg(n).alias(n) for n in names]))
+
+
+@query
+def bands(spark, sf_dir):
+    return _signals(spark, sf_dir).filter(F.col("t") >= LATEST - 11).select("t", "ticker", "band")
+
+
+@query
+def bands_sector_neutral(spark, sf_dir):
+    base = _panel(spark, sf_dir).join(tables.sectors(spark, sf_dir).select("ticker", "sector"), "ticker", "left")
+    return features.signals(base, Config(**SCALE, sector_neutral=True)).select("t", "ticker", "sector", "band")
+
+
+def _constituents(spark, sf_dir):
+    return universe.normalize_constituents(tables.spells(spark, sf_dir), F.lit("1999-12-31").cast("date"), REGIONS)
+
+
+@query
+def constituents_norm(spark, sf_dir):
+    return _constituents(spark, sf_dir).select("code", "name", "sector", "start_date", "end_date", "occurrence", "is_latest", "suspect")
+
+
+@query
+def membership(spark, sf_dir):
+    sessions = panel.number_sessions(tables.monthly_cells(spark, sf_dir))
+    return universe.membership(_constituents(spark, sf_dir), sessions, drop_reused_prior=True).select("t", "code")
+
+
+@query
+def coverage_monthly(spark, sf_dir):
+    return _rounded(universe.coverage(_panel(spark, sf_dir)))
+
+
+@query
+def coverage_by_band(spark, sf_dir):
+    s = _signals(spark, sf_dir).filter("eligible").groupBy("date").agg(F.count("*").alias("eligible"), F.count("band").alias("banded"))
+    return _rounded(s.withColumn("share", F.try_divide("banded", "eligible")))
+
+
+@query
+def universe_size(spark, sf_dir):
+    return _signals(spark, sf_dir).groupBy("date").agg(F.count_if("eligible").alias("n_eligible"))
+
+
+@query
+def price_anomalies(spark, sf_dir):
+    r = F.try_divide(F.col("close_adj"), F.lag("close_adj").over(W.partitionBy("ticker").orderBy("t"))) - 1
+    hit = _panel(spark, sf_dir).withColumn("r", r).filter(F.abs("r") > 0.6)
+    return hit.groupBy("ticker").agg(F.count("*").alias("n"))
+
+
+def _exclusions(spark, sf_dir):
+    """A window of a year for each fifth ticker, the whole series for each eleventh."""
+    each = tables.sectors(spark, sf_dir).select("ticker")
+    window = each.filter("ticker % 5 = 0").select("ticker", F.lit("1995-01-01").cast("date").alias("start_date"), F.lit("1995-12-31").cast("date").alias("end_date"))
+    none = F.lit(None).cast("date")
+    return window.union(each.filter("ticker % 11 = 0").select("ticker", none, none))
+
+
+@query
+def exclusions_applied(spark, sf_dir):
+    return _rounded(universe.exclude(_panel(spark, sf_dir), _exclusions(spark, sf_dir), ("close_adj", "close_raw")).select("t", "ticker", "close_adj", "close_raw"), 3)
+
+
+@query
+def broken_series(spark, sf_dir):
+    return _rounded(universe.broken_series(_panel(spark, sf_dir), extreme=0.5, divergent=0.04))
+
+
+@query
+def suggest_exclusions(spark, sf_dir):
+    return universe.suggest_exclusions(universe.broken_series(_panel(spark, sf_dir), extreme=0.5, divergent=0.04))
+
+
+@query
+def price_context(spark, sf_dir):
+    return _rounded(analysis.price_context(_panel(spark, sf_dir), 3, 40, 10), 3)
+
+
+@query
+def rebalance_calendar(spark, sf_dir):
+    return periods.rebalance_calendar(tables.ship_days(spark, sf_dir), "1993-01-01")
+
+
+@query
+def period_panel(spark, sf_dir):
+    return _rounded(_period_panel(spark, sf_dir).select("t", "ticker", "rs_score", "eligible", "band", "open_adj", "px_ff"), 3)
+
+
+@query
+def dead_after(spark, sf_dir):
+    return _period_panel(spark, sf_dir).select("ticker", "dead_after").distinct()
+
+
+@query
+def rf_period(spark, sf_dir):
+    daily = tables.ship_days(spark, sf_dir).withColumn("rf", F.lit(0.0001) * (F.day("date") % 3))
+    return _rounded(periods.rf_periods(periods.rebalance_calendar(tables.ship_days(spark, sf_dir)), daily), 9)
+
+
+def _selection(name):
+    def run(spark, sf_dir):
+        return periods.baskets(_period_panel(spark, sf_dir), CFG).filter(F.col("run_id") == name).select("t", "ticker", "ord")
+
+    QUERIES[f"select_{name}"] = run
+
+
+for _name in ("top", "bottom", "pullback", "mid", "universe"):
+    _selection(_name)
+
+
+@query
+def select_random(spark, sf_dir):
+    draws = spark.range(5).select(F.col("id").cast("int").alias("draw"))
+    return periods.select_random(_period_panel(spark, sf_dir), draws, CFG.n_names, CFG.seed)
+
+
+@query
+def transition_matrix(spark, sf_dir):
+    return _rounded(analysis.transitions(_signals(spark, sf_dir), 3))
+
+
+@query
+def dwell_time(spark, sf_dir):
+    return _rounded(analysis.dwell(_signals(spark, sf_dir)))
+
+
+@query
+def sessions_in_band(spark, sf_dir):
+    return analysis.sessions_in_band(_signals(spark, sf_dir), LATEST - 1)
+
+
+@query
+def snapshot(spark, sf_dir):
+    return _rounded(analysis.snapshot(_signals(spark, sf_dir), tables.sectors(spark, sf_dir), LATEST - 1, 3).drop("date"), 5)
+
+
+@query
+def trails(spark, sf_dir):
+    return _rounded(analysis.trails(_signals(spark, sf_dir), LATEST - 1, 12, 3), 5)
+
+
+@query
+def band_sector_matrix(spark, sf_dir):
+    now = _signals(spark, sf_dir).filter((F.col("t") == LATEST - 1) & F.col("band").isNotNull()).join(tables.sectors(spark, sf_dir), "ticker")
+    return now.groupBy("sector").pivot("band", [1, 2, 3, 4, 5]).agg(F.count(F.lit(1))).select("sector", *[F.coalesce(F.col(str(b)), F.lit(0)).alias(f"b{b}") for b in range(1, 6)])
+
+
+@query
+def monthly_heatmap(spark, sf_dir):
+    r = _spread(spark, sf_dir).withColumns({"year": F.year("date"), "m": F.month("date")}).groupBy("year").pivot("m", list(range(1, 13))).agg(F.avg("r"))
+    return _rounded(r.select("year", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)]))
+
+
+@query
+def drawdown(spark, sf_dir):
+    return _rounded(metrics.max_drawdown(metrics.equity_curve(_band_returns(spark, sf_dir))))
+
+
+@query
+def newey_west(spark, sf_dir):
+    return _rounded(metrics.newey_west(_band_returns(spark, sf_dir)))
+
+
+@query
+def perf_metrics(spark, sf_dir):
+    return _rounded(metrics.performance(_band_returns(spark, sf_dir), CFG.rf_monthly))
+
+
+@query
+def subperiods(spark, sf_dir):
+    bounds = (("1992-01-01", "1993-12-31"), ("1994-01-01", "1995-12-31"), ("1996-01-01", "1998-12-31"))
+    return _rounded(metrics.subperiods(_band_returns(spark, sf_dir), bounds))
+
+
+@query
+def drop_best_months(spark, sf_dir):
+    return _rounded(metrics.drop_best(_band_returns(spark, sf_dir), (0, 3, 6, 12)))
+
+
+@query
+def rolling_win_rate(spark, sf_dir):
+    return _rounded(metrics.rolling_sums(_band_returns(spark, sf_dir), 12))
+
+
+@query
+def positive_years(spark, sf_dir):
+    y = _band_returns(spark, sf_dir).groupBy("run_id", F.year("date").alias("y")).agg(F.sum("r").alias("s"))
+    return y.groupBy("run_id").agg(F.count_if(F.col("s") > 0).alias("positive"), F.count("*").alias("total"))
+
+
+@query
+def skewness(spark, sf_dir):
+    return _rounded(_band_returns(spark, sf_dir).groupBy("run_id").agg(F.skewness("r").alias("skew")), 5)
+
+
+def _null(spark, sf_dir):
+    """(run_id, r): mean next return of twenty random selections."""
+    draws = spark.range(20).select(F.col("id").cast("int").alias("draw"))
+    rows = _period_panel(spark, sf_dir)
+    nxt = F.lead("px_ff").over(W.partitionBy("ticker").orderBy("t")) / F.col("px_ff") - 1
+    picked = periods.select_random(rows, draws, CFG.n_names, CFG.seed).join(rows.select("t", "ticker", nxt.alias("r")), ["t", "ticker"])
+    return picked.filter("r IS NOT NULL").groupBy("run_id").agg(F.avg("r").alias("r"))
+
+
+@query
+def null_quantiles(spark, sf_dir):
+    q = (0.05, 0.25, 0.5, 0.75, 0.95)
+    return _rounded(_null(spark, sf_dir).agg(*[F.percentile("r", F.lit(x)).alias(f"q{int(x * 100):02d}") for x in q]))
+
+
+@query
+def empirical_pvalue(spark, sf_dir):
+    return _rounded(metrics.empirical_p(_null(spark, sf_dir), F.lit(0.05), "r"))
+
+
+@query
+def anomalous_periods(spark, sf_dir):
+    return _rounded(analysis.anomalous(_band_returns(spark, sf_dir), 0.1))
+
+
+def _family(spark, sf_dir, make, **more):
+    rows = _period_panel(spark, sf_dir, **more).persist()  # read by each basket and by the fold
+    return study.simulate_runs(rows, make(rows, Config(**SCALE, **more)))
+
+
+@query
+def simulate_baskets(spark, sf_dir):
+    return _family(spark, sf_dir, study.baskets_run)[1]
+
+
+@query
+def attribution(spark, sf_dir):
+    from tidemark.operators.simulate import attribution as by_ticker
+
+    return by_ticker(_family(spark, sf_dir, study.baskets_run)[0], 10)
+
+
+def _measured(family, cfg=CFG):
+    return metrics.run_metrics(family[1], cfg.n_tranches, cfg.rf_monthly)
+
+
+@query
+def bootstrap_null(spark, sf_dir):
+    return _measured(_family(spark, sf_dir, study.random_draws))
+
+
+@query
+def cost_sensitivity(spark, sf_dir):
+    return _measured(_family(spark, sf_dir, study.cost_grid)).select("run_id", "cagr", "cost_drag")
+
+
+@query
+def delisting_stress(spark, sf_dir):
+    return _measured(_family(spark, sf_dir, study.delisting_stress)).select("run_id", "cagr", "final_value")
+
+
+@query
+def filter_2x2(spark, sf_dir):
+    out = None
+    for on in (True, False):
+        part = _measured(_family(spark, sf_dir, study.baskets_run, sma_filter=on)).withColumn("sma_filter", F.lit(on))
+        out = part if out is None else out.union(part)
+    return out.filter(F.col("run_id").isin("top", "bottom")).select("run_id", "sma_filter", "cagr", "sharpe")
+
+
+@query
+def horizon_grid(spark, sf_dir):
+    out = None
+    for holding, horizons in ((1, (1, 3, 6)), (3, (3, 6, 12)), (6, (6, 12))):
+        more = {"holding_months": holding, "horizons": horizons}
+        part = _measured(_family(spark, sf_dir, study.baskets_run, **more), Config(**SCALE, **more)).withColumn("holding", F.lit(holding))
+        out = part if out is None else out.union(part)
+    return out.filter(F.col("run_id").isin("top", "bottom")).select("run_id", "holding", "cagr", "sharpe")
