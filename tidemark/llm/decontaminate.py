@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
-#: A word is a run of ASCII letters and digits and of characters beyond ASCII.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word is a run of ASCII letters and digits and of characters beyond ASCII; this pattern is for texts as they are, capitals included.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TABLE = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 #: Words of items that one automaton holds; larger benchmarks are scanned in several passes.
 SHARD_WORDS = 200_000
