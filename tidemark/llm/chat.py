@@ -32,7 +32,7 @@ def unescape(text: Column) -> Column:
 
 def _header(role: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in TEMPLATE["names"].items() for x in pair])
-    other = F.concat(F.lit(TEMPLATE["other"]), F.replace(escape(role), F.lit(":"), F.lit("\\:")))
+    other = F.concat(F.lit(TEMPLATE["other"]), F.replace(escape(role), F.lit(": "), F.lit(":\\ ")))
     return F.concat(F.lit(TEMPLATE["open"]), F.coalesce(F.try_element_at(names, role), other), F.lit(TEMPLATE["after_role"]))
 
 
@@ -76,7 +76,7 @@ def read_turns(formatted: Column) -> Column:
     parts = F.split(formatted, F.lit("</turn>\n"))
     turns = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     body = lambda s: F.substring(s, len(TEMPLATE["open"]) + 1, 1 << 30)
-    # the first ": " ends the header, since colons of a role are escaped
+    # the first ": " ends the header, since a role has none once it is escaped
     return F.transform(turns, lambda s: F.struct(_role_of(F.substring_index(body(s), ": ", 1)).alias("role"), unescape(F.substring(body(s), F.instr(body(s), ": ") + 2, F.lit(1 << 30))).alias("text")))
 
 
