@@ -320,3 +320,13 @@ def test_oracles(spark, name):
     want = con.execute(queries.ORACLES[name])
     names = [d[0] for d in want.description]
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, folder).select(names).collect())
+
+
+def test_guess_cost_judges_whole_values():
+    from tidemark.llm import secrets
+
+    tail = "k9Q!vR2#xW7p"
+    assert secrets.guess_cost("a" * 400) < secrets.LEAST_COST  # one repeat, however long
+    assert secrets.guess_cost("a" * 400 + tail) >= secrets.LEAST_COST
+    text = f"pwd='{'a' * 400}' then pwd='{'a' * 400 + tail}'"
+    assert [(text[a:b], kind) for a, b, kind in secrets.find_secrets(text)] == [("a" * 400 + tail, "guess")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ _CONTEXT = re.compile(
 )
 #: Values of this cost (log10 of the guesses) or more are secrets.
 LEAST_COST = 8.0
-#: Longer values are judged by this many first characters; they cost more than LEAST_COST unless made of few patterns.
-LONGEST = 256
+#: A group of up to so many characters counts as repeated.
+LONGEST_GROUP = 16
 
 # Common passwords and words, by rank.
 WORDS = """
@@ -36,7 +37,7 @@ love flower house computer internet company service database correct horse batte
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 
 _RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
-_LEET = str.maketrans("@4301!$57", "aaeoiissT".lower())
+_LEET = str.maketrans("@4301!$57", "aaeoiisst")
 _NEAR = {r[i : i + 2] for r in ROWS for i in range(len(r) - 1)} | {r[i : i + 2][::-1] for r in ROWS for i in range(len(r) - 1)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
 
@@ -66,7 +67,7 @@ def _pieces(value: str):
         if j - i >= 3:
             yield i, j, _brute(value[i]) + math.log10(j - i)
         i = j
-    for size in range(2, n // 2 + 1):  # a group repeated
+    for size in range(2, min(LONGEST_GROUP, n // 2) + 1):  # a group repeated
         i = 0
         while i + 2 * size <= n:
             j = i + size
@@ -77,8 +78,6 @@ def _pieces(value: str):
                 i = j
             else:
                 i += 1
-        if size >= 16:
-            break
     for near in (lambda a, b: a + b in _NEAR, lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(a) - ord(b) == 1):  # keyboard walks, and runs of the alphabet
         i = 0
         while i < n - 1:
@@ -92,8 +91,10 @@ def _pieces(value: str):
 
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` into words, dates, repeats, keyboard
-    walks and brute-force characters takes; each further piece costs a factor of its place in the sequence."""
-    value = value[:LONGEST]
+    walks and brute-force characters takes; each further piece costs a factor of its place in the sequence.
+
+    The whole value is judged, in time linear in its length.
+    """
     n = len(value)
     ends: dict[int, list[tuple[int, float]]] = {}
     for i, j, cost in _pieces(value):
@@ -116,10 +117,16 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     out = [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     out += [(*m.span(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(*m.span(), "hex") for m in _HEX.finditer(text)]
-    base = list(out)
+    starts, ends = [], []  # the patterns' matches, merged where they overlap
+    for a, b, _ in sorted(out):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for m in _CONTEXT.finditer(text):
         a, b = m.span(m.lastindex)
-        if not any(x < b and a < y for x, y, _ in base) and guess_cost(text[a:b]) >= LEAST_COST:
+        if bisect_right(ends, a) == bisect_left(starts, b) and guess_cost(text[a:b]) >= LEAST_COST:
             out.append((a, b, "guess"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
