@@ -330,3 +330,50 @@ def test_guess_cost_judges_whole_values():
     assert secrets.guess_cost("z" * 400 + tail) >= secrets.LEAST_COST
     text = f"pwd='{'z' * 400}' then pwd='{'z' * 400 + tail}'"
     assert [(text[a:b], kind) for a, b, kind in secrets.find_secrets(text)] == [("z" * 400 + tail, "guess")]
+
+
+def test_near_dup_stage_against_brute_force(spark, monkeypatch):
+    from tidemark.llm import near_copies
+
+    rng = random.Random(12)
+    texts = [prose(rng.randint(60, 120), rng) for _ in range(15)]
+    for base in texts[:10]:
+        for _ in range(3):  # edited copies, about the limit of 0.8
+            w = base.split()
+            for i in rng.sample(range(len(w)), rng.randint(1, 3)):
+                w[i] = "zz"
+            texts.append(" ".join(w))
+    base = prose(150, rng).split()
+    texts += [" ".join(base[:i] + [f"q{i}"] + base[i + 1 :]) for i in range(0, 150, 4)]  # one large group
+    texts += [" ".join(base[:i] + [f"r{i}"] * 9 + base[i + 9 :]) for i in range(0, 140, 5)]  # linked to it, or apart
+    rng.shuffle(texts)
+    docs = hard(spark, texts)
+    rows = docs.collect()
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(r.text) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[find(i)] = min(r.doc_id, least.get(find(i), r.doc_id))
+    want = sorted([-1, *least.values()])
+    got = sorted(-1 if r.doc_id is None else r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect())
+    assert got == want and len(want) < len({frozenset(s) for s in sets}) - 20
+    monkeypatch.setattr(near_copies, "FEW", 2)
+    monkeypatch.setattr(near_copies, "PIVOTS", 1)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect()) == want
+    assert corpus_pipeline.near_dup_stage(spark, empty(docs), "").count() == 0
