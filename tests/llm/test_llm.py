@@ -377,3 +377,22 @@ def test_near_dup_stage_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "PIVOTS", 1)
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect()) == want
     assert corpus_pipeline.near_dup_stage(spark, empty(docs), "").count() == 0
+
+
+def test_decontaminate_shares_equal_one_automaton(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(str(i), " ".join(f"w{i}x{k}" for k in range(12))) for i in range(12)]
+    free = lambda n: " ".join(f"free{rng.randrange(10**6)}" for _ in range(n))
+    texts = [free(40)]
+    for i in range(12):
+        for j in range(12):
+            if i != j:  # 24 of 40 words hit, 12 by each item; and an item that a cut of another one closes
+                half = items[j][1].split()
+                texts += [" ".join([items[i][1], free(8), items[j][1], free(8)]), " ".join([free(60), *half[:6], items[i][1], *half[6:], free(9)])]
+    docs, bench = hard(spark, texts), spark.createDataFrame(items, "item_id string, text string")
+    rows = lambda: sorted(str(r) for r in decontaminate.decontaminate(docs, bench).collect())
+    one = rows()
+    assert len(one) == docs.count() - 132
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 60)
+    assert decontaminate.shares_of(bench, "item_id", "text")[1] > 1
+    assert rows() == one

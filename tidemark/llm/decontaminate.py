@@ -142,26 +142,34 @@ class Automaton:
             hit, _ = self.scan(words_of(text.encode()))
             if not len(hit):
                 return text
-            places = [m.span() for m in WORD.finditer(text)]
-            if first and len(hit) > max_coverage * len(places):
+            if first and len(hit) > max_coverage * sum(1 for _ in WORD.finditer(text)):
                 return None
             first = False
-            runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
-            parts, last = [], 0
-            for run in runs:
-                parts.append(text[last : places[run[0]][0]])
-                last = places[run[-1]][1]
-            text = "".join([*parts, text[last:]])
+            text = without(text, hit)
 
 
-def automata(items: DataFrame, item_col: str, text_col: str, window: int):
-    """An automaton for each share of the items, each of about SHARD_WORDS words; one share unless the benchmark is larger."""
+def without(text: str, hit: np.ndarray) -> str:
+    """``text`` without its words at the places ``hit``, and without what lies between neighbouring ones."""
+    places = [m.span() for m in WORD.finditer(text)]
+    parts, last = [], 0
+    for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
+        parts.append(text[last : places[run[0]][0]])
+        last = places[run[-1]][1]
+    return "".join([*parts, text[last:]])
+
+
+def shares_of(items: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(share, item, text) of the items, and the number of shares, each of about SHARD_WORDS words; one share unless the benchmark is larger."""
     named = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = named.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shares = int(total // (SHARD_WORDS * 6)) + 1
-    for i in range(shares):
-        part = named.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shares)) == i) if shares > 1 else named
-        yield Automaton.build(sorted((r["item"], r["text"].encode()) for r in part.collect()), window)
+    return named.withColumn("share", F.pmod(F.xxhash64("item", "text"), F.lit(shares))), shares
+
+
+def automaton(named: DataFrame, share: int, window: int) -> Automaton:
+    """The automaton of one share; the driver holds no more than this one."""
+    part = named.filter(F.col("share") == share)
+    return Automaton.build(sorted((r["item"], r["text"].encode()) for r in part.collect()), window)
 
 
 def _scan(docs: DataFrame, automaton: Automaton) -> DataFrame:
@@ -192,20 +200,22 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     words have no window; a null item id counts as an empty one, and rows with the same item id as one item.
     Repeated document rows give repeated results. Without items nothing is hit.
     """
-    shares = list(automata(items, item_col, item_text_col, window))
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    if len(shares) == 1:
-        return _scan(plain, shares[0]).drop("row")
-    plain = materialize(plain, "numbered")
+    named, shares = shares_of(items, item_col, item_text_col)
+    if shares == 1:
+        return _scan(plain, automaton(named, 0, window)).drop("row")
+    return _united(materialize(plain, "numbered"), named, shares, window).drop("row")
+
+
+def _united(plain: DataFrame, named: DataFrame, shares: int, window: int) -> DataFrame:
+    """(row, id, n_words, hits, items) over all shares, for each row of (row, id, text)."""
     found = None
-    for auto in shares:
-        part = materialize(_scan(plain, auto), "scan")
+    for k in range(shares):
+        part = materialize(_scan(plain, automaton(named, k, window)), "scan")
         found = part if found is None else found.union(part)
-    return (
-        found.groupBy("row", "id")
-        .agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .drop("row")
-    )
+    return found.groupBy("row", "id").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_coverage: float = 0.5) -> DataFrame:
@@ -214,19 +224,48 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     Cutting goes on until no window is left, also across a cut. Other rows, null texts among them, stay as they are.
     """
     schema = docs.schema
-    for auto in automata(items, item_col, item_text_col, window):
-        held = docs.sparkSession.sparkContext.broadcast(auto)
-
-        def run(batches, held=held):
-            auto = held.value
-            for b in batches:
-                at = b.schema.get_field_index(text_col)
-                texts = b.column(at).to_pylist()
-                new = [t and auto.cut(t, max_coverage) for t in texts]
-                if new != texts:
-                    keep = pa.array([t is None or n is not None for t, n in zip(texts, new, strict=True)])
-                    b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type)).filter(keep)
-                yield b
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    named, shares = shares_of(items, item_col, item_text_col)
+    if shares > 1:
+        return _decontaminate_shares(docs, named, shares, text_col, window, max_coverage)
+    held = docs.sparkSession.sparkContext.broadcast(automaton(named, 0, window))
+
+    def run(batches):
+        auto = held.value
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            texts = b.column(at).to_pylist()
+            new = [t and auto.cut(t, max_coverage) for t in texts]
+            if new != texts:
+                keep = pa.array([t is None or n is not None for t, n in zip(texts, new, strict=True)])
+                b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type)).filter(keep)
+            yield b
+
+    return docs.mapInArrow(run, schema)
+
+
+def _decontaminate_shares(docs: DataFrame, named: DataFrame, shares: int, text_col: str, window: int, max_coverage: float) -> DataFrame:
+    """As one automaton would: the hits of all shares are cut together, and the cut rows scanned again until none is hit."""
+
+    def cut(batches):
+        for b in batches:
+            new = [without(t, np.array(h, np.int64)) for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], ["_row", "_text"])
+
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    now, done, dropped = numbered.select("_row", F.col(text_col).cast("string").alias("_text")), None, None
+    while True:
+        plain = now.select(F.col("_row").alias("row"), F.lit(None).cast("long").alias("id"), F.col("_text").alias("text"))
+        hits = materialize(_united(plain, named, shares, window).filter("size(hits) > 0").select(F.col("row").alias("_row"), "n_words", "hits"), "hits")
+        if dropped is None:  # coverage is of the text as it was
+            over = F.size("hits") > F.lit(max_coverage) * F.col("n_words")
+            dropped, hits = hits.filter(over).select("_row"), hits.filter(~over)
+        if hits.isEmpty():
+            break
+        texts = materialize(now.join(hits.select("_row", "hits"), "_row").select("_row", "_text", "hits").mapInArrow(cut, "_row long, _text string"), "cut")
+        done = texts if done is None else materialize(done.join(texts, "_row", "left_anti").union(texts), "done")
+        now = texts
+    kept = numbered.join(dropped, "_row", "left_anti")
+    if done is None:
+        return kept.select(docs.columns)
+    kept = kept.join(done.withColumn("_cut", F.lit(True)), "_row", "left")
+    return kept.select(*[F.when(F.col("_cut"), F.col("_text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
