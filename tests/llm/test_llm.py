@@ -396,3 +396,10 @@ def test_decontaminate_shares_equal_one_automaton(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 60)
     assert decontaminate.shares_of(bench, "item_id", "text")[1] > 1
     assert rows() == one
+
+
+def test_near_dup_stage_repeated_and_null_ids(spark):
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(1, a), (2, b), (2, a), (None, c), (None, c), (None, d), (3, d), (2, b)]
+    out = corpus_pipeline.near_dup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == sorted([(1, a), (2, b), (-1, c), (3, d)])
