@@ -17,23 +17,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one only where unset."""
+    """The folder that driver and executors share, as the cluster names it; a temporary one where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class Scratch:
+    """Tables of one computation, deleted by ``drop`` once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it again.
+
+        A lost executor costs no more than rereading the table, and Spark knows its size for join planning.
+        """
+        path = f"{shared_dir(self.spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, but: int = 0) -> None:
+        """Deletes the tables, but for the last ``but``."""
+        gone, self.paths = self.paths[: len(self.paths) - but], self.paths[len(self.paths) - but :]
+        for path in gone:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it again.
-
-    A lost executor costs no more than rereading the table, and Spark knows its size for join planning.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table that stays, see ``Scratch.keep``."""
+    return Scratch(df.sparkSession).keep(df, name)
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 8) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, salted_join
+from tidemark.llm.common import Scratch, materialize, salted_join
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -17,10 +17,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Nodes without an edge to another node don't appear; null ids and self-links are ignored. Each round is
     a few shuffles of the edge list, and the number of rounds grows with the logarithm of its diameter.
-    Hubs are dealt over several tasks.
+    Hubs are dealt over several tasks. The result is a table; those of the rounds are deleted.
     """
+    scratch = Scratch(edges.sparkSession)
     s, d = F.col(src).cast("long"), F.col(dst).cast("long")
-    now = materialize(edges.select(F.greatest(s, d).alias("hi"), F.least(s, d).alias("lo")).filter(s != d).distinct(), "edges")
+    now = scratch.keep(edges.select(F.greatest(s, d).alias("hi"), F.least(s, d).alias("lo")).filter(s != d).distinct(), "edges")
     seen = _signature(now)
     while seen[0]:
         # large star: the larger neighbours of a node move to its smallest neighbour
@@ -35,9 +36,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .filter("hi <> lo")
             .distinct()
         )
-        now = materialize(small, "edges")
+        now = scratch.keep(small, "edges")
+        scratch.drop(but=1)
         if (sign := _signature(now)) == seen:
             break
         seen = sign
     leaves = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    return leaves.union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    roots = materialize(leaves.union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()), "roots")
+    scratch.drop()
+    return roots
