@@ -403,3 +403,16 @@ def test_near_dup_stage_repeated_and_null_ids(spark):
     rows = [(1, a), (2, b), (2, a), (None, c), (None, c), (None, d), (3, d), (2, b)]
     out = corpus_pipeline.near_dup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == sorted([(1, a), (2, b), (-1, c), (3, d)])
+
+
+def test_mixing_splits_rows_of_one_id(spark, monkeypatch):
+    """1,000 rows of ten words under one id, and under none: the taken words come within a document of the target."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 100)
+    rows = [(k, "ten words " * 5, s) for s, k in (("a", 7), ("b", None)) for _ in range(1000)] + [(i, prose(30), "c") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    by = {}
+    for r in mixing.mix(docs).collect():
+        by.setdefault(r.source, []).append(r)
+    for v in by.values():
+        assert abs(sum(r.taken for r in v) - v[0].target) <= 30 and {r.epochs for r in v} <= {r.epochs for r in v[:1]} | {v[0].epochs + 1, v[0].epochs - 1}
+    assert sum(r.epochs * r.size for r in mixing.take(docs).collect()) == sum(r.taken for v in by.values() for r in v)
