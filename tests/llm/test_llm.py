@@ -199,8 +199,87 @@ def test_language_model(spark):
     again = {(r.id, round(r.score, 6)) for r in language_model.score_texts(docs).collect()}
     assert again == {(r.id, round(r.score, 6)) for r in out}
     assert language_model.score_texts(empty(docs)).count() == 0
-    s = np.exp(language_model.log_stirling(0.5, 6))
-    assert np.allclose(s[3, 1:4], [0.5 * 1.5, 3 * 0.5, 1.0])  # S(3, t) at discount 1/2
+
+
+def test_table_draws_are_of_the_exact_distribution():
+    """Against the recursion S(c + 1, t) = S(c, t - 1) + (c - t / 2) S(c, t), over a wide range of customers and weights."""
+    for c, weight, parent in ((2, 5.0, 0.01), (3, 8.0, 0.3), (9, 40.0, 0.05), (60, 300.0, 0.1), (60, 5.0, 1e-6), (400, 2000.0, 0.02)):
+        s = np.array([-np.inf, 0.0])  # logs of S(1, t)
+        for k in range(1, c):
+            t = np.arange(1, k + 2)
+            with np.errstate(divide="ignore"):
+                s = np.concatenate(([-np.inf], np.logaddexp(s[t - 1], np.append(s[1:], -np.inf) + np.log(k - t / 2))))
+        logs = s[1:] + np.arange(1, c + 1) * math.log(parent) + np.cumsum(np.log(weight + np.arange(c) / 2))
+        want = np.exp(logs - logs.max())
+        want /= want.sum()
+        n = 4000
+        got = language_model.draw_tables(np.full(n, c), np.full(n, weight), np.full(n, parent), (np.arange(n) + 0.5) / n)
+        share = np.bincount(got, minlength=c + 1)[1:] / n
+        assert got.min() >= 1 and got.max() <= c and np.abs(share - want).sum() < 0.02 * (1 + (want > 1e-4).sum() ** 0.5), (c, weight, parent)
+
+
+def test_language_model_sums_to_one_and_agrees_with_a_plain_sampler(spark, monkeypatch):
+    """Small corpus: each context's probabilities sum to 1, and they equal those of customers that are seated one by one."""
+    monkeypatch.setattr(language_model, "SAMPLES", 8)
+    rng = random.Random(14)
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    vocab = ["a", "b", "c", "d", "e"]
+    train = [[rng.choices(vocab, [8, 4, 2, 1, 1])[0] for _ in range(rng.randint(3, 12))] for _ in range(60)]
+    train = [[w if w != "b" or i == 0 else ("a" if t[i - 1] == "c" else w) for i, w in enumerate(t)] for t in train]
+    probes = [[u, w] for u in [*vocab, "never"] for w in [*vocab, "unseen"]]
+    free, used = (iter([k for k in range(10**4) if held(k) == h]) for h in (True, False))
+    rows = [(next(used), " ".join(t)) for t in train] + [(next(free), " ".join(t)) for t in probes]
+    got = {x.id: x.token_scores for x in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), per_token=True).collect()}
+    of = {tuple(t.split()): 10 ** np.array(got[k]) for k, t in rows[len(train) :]}
+    end = {u: of[("a", u)][2] for u in vocab} | {"never": of[("a", "unseen")][2]}
+    for u in [*vocab, "never"]:
+        assert abs(sum(of[(u, w)][1] for w in [*vocab, "unseen"]) + end[u] - 1) < 1e-6
+
+    # customers one by one: tables of each dish in each context restaurant, and in the root
+    words, theta, root_theta = [*vocab, None], language_model.STRENGTH, language_model.ROOT_STRENGTH
+    pairs = [(a, b) for t in train for a, b in zip([None, *t], [*t, None])]
+    seats, root = {}, {w: [] for w in words}
+    draw = np.random.default_rng(3)
+
+    def base(w):
+        c, t = sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (sum(root[w]) - len(root[w]) / 2 + (root_theta + t / 2) / (len(words) + 1)) / (root_theta + c)
+
+    def sit(tables, new):
+        weights = np.array([n - 0.5 for n in tables] + [new])
+        k = draw.choice(len(weights), p=weights / weights.sum())
+        if k == len(tables):
+            tables.append(1)
+            return True
+        tables[k] += 1
+        return False
+
+    def leave(tables):
+        k = draw.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[k] -= 1
+        return tables[k] == 0 and tables.pop(k) == 0
+
+    def enter(u, w):
+        count = sum(len(x) for (v, _), x in seats.items() if v == u)
+        if sit(seats.setdefault((u, w), []), (theta + count / 2) * base(w)):
+            sit(root[w], (root_theta + sum(map(len, root.values())) / 2) / (len(words) + 1))
+
+    for u, w in pairs:
+        enter(u, w)
+    mean = {}
+    for sweep in range(60):
+        for u, w in pairs:
+            if leave(seats[u, w]):
+                leave(root[w])
+            enter(u, w)
+        if sweep >= 20:
+            for u in vocab:
+                c, t = (sum(f(x) for (v, _), x in seats.items() if v == u) for f in (sum, len))
+                for w in vocab:
+                    x = seats.get((u, w), [])
+                    mean[u, w] = mean.get((u, w), 0) + (sum(x) - len(x) / 2 + (theta + t / 2) * base(w)) / (theta + c) / 40
+    for (u, w), p in mean.items():
+        assert abs(math.log10(of[(u, w)][1] / p)) < 0.06, (u, w, of[(u, w)][1], p)
 
 
 def test_quality_and_toxicity(spark):
