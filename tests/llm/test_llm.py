@@ -353,14 +353,47 @@ def test_pii(spark, monkeypatch):
     assert rossi[0] == rossi[1] != "Rossi" and re.search(r"Госпожа [А-Я][а-я]+\.", new) and "Иванова" not in new and new.endswith("v2.0.1")
     assert got[12].text == "nothing 12 4.0" and not got[12].changed and got[1].text is None
     assert pii.replace_entities(empty(docs), "k").count() == 0
-    # collisions: few surrogates, all of which must stay distinct, also beyond the broadcast
-    real = pii._digest
-    monkeypatch.setattr(pii, "_digest", lambda k, kind, norm, attempt: F.when(attempt == 0, F.lit("0" * 64)).otherwise(real(k, kind, norm, attempt)))
-    many = spark.createDataFrame([(i, f"call 555-010-{i:04d} now") for i in range(50)], "doc_id long, text string")
+
+
+def test_pii_keeps_country_codes_networks_issuers_and_later_mentions(spark):
+    text = "Call +353 86 123 4567 or +1 12 34. Hosts 192.168.1.5, 10.1.2.3, 127.0.0.1, 8.8.4.4 and fe80:0:0:0:1ab:22:3:4. Card 4111-1111-1111-1111, DE89 3704 0044 0532 0130 00. Mrs. Anna Rossi met us. Rossi left; Anna Rossi wrote to Rossini."
+    docs = spark.createDataFrame([(1, text), (2, "086 1234567 isn't one; 861-234-567"), (3, "Rossi and Anna, no title")], "doc_id long, text string")
+    got = {r.id: r for r in pii.replace_entities(docs, "k").collect()}
+    new = got[1].text
+    assert re.search(r"\+353 \d\d \d{3} \d{4} or \+1 \d\d \d\d\.", new) and "123 4567" not in new
+    ips = re.search(r"192\.168\.(\d+)\.(\d+), 10\.(\d+)\.\d+\.\d+, 127\.\d+\.\d+\.\d+, 8\.\d+\.\d+\.\d+ and fe80:[0-9a-f:]+\.", new)
+    assert ips and ips.group(0).split(" and ")[0] not in text and "1ab:22" not in new
+    card = re.search(r"Card (4111-11\d\d-\d{4}-\d{4})", new).group(1).replace("-", "")
+    assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(card))) % 10 == 0 and card != "4111111111111111"
+    iban = re.search(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", new).group().replace(" ", "")
+    assert iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    first, last = re.search(r"Mrs\. (\w+) (\w+) met us", new).groups()
+    assert new.endswith(f"{last} left; {first} {last} wrote to Rossini.") and "Rossi " not in new and "Anna" not in new
+    assert got[3].text == "Rossi and Anna, no title" and not got[3].changed
+    assert (got[1].n_iban, got[1].n_ipv6, got[1].n_ip, got[1].n_phone) == (1, 1, 4, 2)
+
+
+def test_pii_permutation_is_one_to_one(spark):
+    rows = [(f"{i:04d}",) for i in range(10000)] + [(x,) for x in ("a", "b", "z", "ab1", "ab2", "Ж-2", "")]
+    df = spark.createDataFrame(rows, "s string").repartition(8)
+    got = [(r.s, r.p) for r in df.select("s", pii.permuted("k", F.lit("t"), F.col("s"))).toDF("s", "p").collect()]
+    assert len({p for _, p in got}) == len({s for s, _ in got})
+    kind = lambda s: re.sub("[a-z]", "a", re.sub(r"\d", "0", s))
+    assert all(kind(s) == kind(p) for s, p in got) and sum(s == p for s, p in got) < 20
+
+
+def test_pii_of_a_full_shape_and_of_colliding_names(spark, monkeypatch):
+    """All 10,000 numbers of a shape: no surrogate is free, so the plain permutation holds; names and mails that collide move on."""
+    many = spark.createDataFrame([(i, f"call +1 {i // 100:02d} {i % 100:02d} now") for i in range(10000)], "doc_id long, text string").repartition(8)
     out = [r.text for r in pii.replace_entities(many, "k").collect()]
-    assert len(set(out)) == 50
+    assert len(set(out)) == 10000
+    monkeypatch.setattr(pii, "SYLLABLES", {k: v[:1] * 14 + v[1:2] * 2 for k, v in pii.SYLLABLES.items()})  # few names
+    names = [(i, f"Mr Na{chr(97 + i // 8)}{chr(97 + i % 8)} and ann{i}@site.org and 555-010-{i:04d}") for i in range(60)]
+    docs = spark.createDataFrame(names, "doc_id long, text string")
+    first = sorted((r.id, r.text) for r in pii.replace_entities(docs, "k").collect())
+    assert len({t.split(" and ")[0] for _, t in first}) == 60 and len({t.split(" and ")[1] for _, t in first}) == 60
     monkeypatch.setattr(pii, "MOST_INLINE", 0)
-    assert sorted(r.text for r in pii.replace_entities(many, "k").collect()) == sorted(out)
+    assert sorted((r.id, r.text) for r in pii.replace_entities(docs, "k").collect()) == first
 
 
 def test_pipeline(spark, tmp_path):

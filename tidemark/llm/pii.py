@@ -1,9 +1,13 @@
 """PII surrogates: keyed replacements of detected entities, in SQL functions alone.
 
 Equal entities get equal surrogates everywhere, whatever their punctuation; different entities of a kind get
-different ones, none of which is itself an entity of the corpus. Surrogates keep kind, length and punctuation,
-letter case and script, the country code of a phone, the Luhn property of a card number, a name's title and
-the gender that it tells.
+different ones. Numbers, addresses and the names of mailboxes go through a keyed permutation of the strings of
+their shape, so that they are distinct by construction; made-up names and mail hosts are distinct by a check.
+A surrogate isn't itself an entity of the corpus, but where a shape has so few strings that a quarter of them
+are in use: there the plain permutation holds. Surrogates keep kind, length and punctuation, letter case and
+script, the country code of a phone, the issuer and the Luhn sum of a card, the checksum of an IBAN, the
+network of an address (its first octet or group; two octets of private and link-local ones), a name's title
+and the gender that it tells.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import Scratch, materialize, salted_join
 
 # Titles by gender, before which names are recognised.
 MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
@@ -26,10 +30,17 @@ PHONE = r"\+\d{1,3} ?\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]\d{2,4})
 SSN = r"\d{3}-\d{2}-\d{4}"
 CARD = r"\d{4}(?:[ -]\d{4}){3}|\d{13,19}"
 NAME = rf"(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-KINDS = ("email", "ip", "ssn", "phone", "card", "name")
-ENTITY = rf"(?<![\p{{L}}\p{{N}}_.+-])(?:{EMAIL}|{IP}|{SSN}|{PHONE}|{CARD}|{NAME})(?![\p{{L}}\p{{N}}_])"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{2,6}}(?::{_GROUP}){{1,4}}"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+KINDS = ("email", "ip", "ssn", "phone", "card", "name", "ipv6", "iban")
+ENTITY = rf"(?<![\p{{L}}\p{{N}}_.+-])(?:{EMAIL}|{IP}|{IPV6}|{IBAN}|{SSN}|{PHONE}|{CARD}|{NAME})(?![\p{{L}}\p{{N}}_])"
 #: Atoms with more than so many entries are joined instead of broadcast as one map.
 MOST_INLINE = 10_000
+#: A shape of which more than this share is in use has no surrogates to spare.
+FULL = 0.25
+#: Rounds in which colliding surrogates move on; each settles half of them or more.
+MOST_ROUNDS = 60
 #: Syllables of made-up names and letters of made-up words, sixteen each, by script.
 SYLLABLES = {
     "latin": "ba ce di fo gu ha ji ke lo mu na pe ri so tu ve".split(),
@@ -38,16 +49,36 @@ SYLLABLES = {
 }
 LETTERS = {"latin": "bcdfghjklmnprstv", "cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ"}
 _HEX = "0123456789abcdef"
+#: Alphabets in which the permutation moves characters; all others stay.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA))))
+FEISTEL = 6
 
 
-def _digest(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256)
+def _digest(key: str, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
 
-def _digits(digest: Column) -> Column:
-    """Thirty-six digits of a digest."""
-    part = lambda at: F.lpad(F.substring(F.lpad(F.conv(F.substring(digest, at, 15), 16, 10), 18, "0"), 1, 18), 18, "0")
-    return F.concat(part(1), part(16))
+def _moved(c: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
+    at = lambda a: F.instr(F.lit(a), c)
+    place = lambda a: F.substring(F.lit(a), ((at(a) - 1 + by) % len(a) + 1).cast("int"), F.lit(1))
+    return F.when(c == "", c).otherwise(reduce(lambda other, a: F.when(at(a) > 0, place(a)).otherwise(other), alphabets, c))
+
+
+def permuted(key: str, tweak: Column, text: Column, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
+    """A keyed permutation of the strings of ``text``'s shape: a Feistel network over its halves.
+
+    A round moves each character of a half within its alphabet, by digits of a digest of the other half.
+    """
+    half = F.floor(F.length(text) / 2).cast("int")
+    ends = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
+
+    def step(x, i):
+        digest = _digest(key, tweak, i, x["b"])
+        by = lambda k: F.conv(F.substring(digest, (k % 32 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        moved = F.array_join(F.transform(F.split(x["a"], ""), lambda c, k: _moved(c, by(k), alphabets)), "")
+        return F.struct(x["b"].alias("a"), moved.alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(FEISTEL)), ends, step, lambda x: F.concat(x["a"], x["b"]))
 
 
 def _script(x: Column) -> Column:
@@ -62,6 +93,8 @@ def kind_of(entity: Column) -> Column:
     return (
         F.when(F.contains(entity, F.lit("@")), "email")
         .when(entity.rlike(rf"^{IP}$"), "ip")
+        .when(F.contains(entity, F.lit(":")), "ipv6")
+        .when(entity.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(entity.rlike(rf"^{SSN}$"), "ssn")
         .when(entity.rlike(rf"^(?:{CARD})$"), "card")
         .when(entity.rlike(r"^\p{L}"), "name")
@@ -70,14 +103,23 @@ def kind_of(entity: Column) -> Column:
 
 
 def atoms(entity: Column, kind: Column) -> Column:
-    """The (kind, norm) parts of an entity that have surrogates of their own: the words of a name, else the whole."""
+    """The (kind, norm) parts of an entity that have surrogates of their own: the words of a name, else the whole.
+
+    A phone's norm is its digits without the country code, which stays as it is.
+    """
     digits = F.regexp_replace(entity, r"\D", "")
     words = F.split(F.regexp_replace(entity, r"^\p{L}+\.? ", ""), " ")
     gender = F.when(entity.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), "given_f").otherwise("given_m")
     atom = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
     surname = atom(F.lit("surname"), F.element_at(words, -1))
     names = F.when(F.size(words) > 1, F.array(atom(gender, words[0]), surname)).otherwise(F.array(surname))
-    norm = F.when(kind == "email", F.lower(entity)).when(kind == "ip", entity).when(kind == "phone", F.right(digits, F.lit(10))).otherwise(digits)
+    norm = (
+        F.when(kind.isin("email", "ipv6"), F.lower(entity))
+        .when(kind == "ip", entity)
+        .when(kind == "iban", F.regexp_replace(entity, " ", ""))
+        .when(kind == "phone", F.regexp_replace(F.regexp_replace(entity, r"^\+\d{1,3}(?=\D)", ""), r"\D", ""))
+        .otherwise(digits)
+    )
     return F.when(kind == "name", names).otherwise(F.array(atom(kind, norm)))
 
 
@@ -88,45 +130,90 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder of the number that digits and letters (A is 10) spell."""
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
+
+
+def _network(norm: Column) -> Column:
+    """The octets of an address that stay, with their last dot."""
+    return F.regexp_extract(norm, r"^(?:192\.168\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.|\d+\.)", 0)
+
+
+def shape(kind: Column, norm: Column) -> Column:
+    """(group, size): what the permutation of a norm keeps, and the log10 of how many strings share that; size is null where surrogates aren't permuted."""
+    spelled = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
+    local = F.substring_index(norm, "@", 1)
+    outline = F.regexp_replace(F.regexp_replace(local, r"\d", "0"), "[a-z]", "a")
+    group = (
+        F.when(kind.isin("phone", "ssn"), F.length(norm).cast("string"))
+        .when(kind == "card", F.concat_ws("|", F.substring(norm, 1, 6), F.length(norm), _luhn(norm)))
+        .when(kind == "ip", _network(norm))
+        .when(kind == "ipv6", F.concat_ws("|", F.substring_index(norm, ":", 1), F.regexp_replace(norm, "[0-9a-f]", "0")))
+        .when(kind == "iban", F.concat_ws("|", F.substring(norm, 1, 2), F.regexp_replace(F.regexp_replace(F.substring(norm, 5, 99), r"\d", "0"), "[A-Z]", "A")))
+        .when(kind == "email", F.concat_ws("|", outline, F.substring_index(norm, "@", -1)))
+    )
+    size = (
+        F.when(kind.isin("phone", "ssn"), F.length(norm))
+        .when(kind == "card", F.length(norm) - 7)
+        .when(kind == "ip", (4 - spelled(_network(norm), r"\.")) * F.log10(F.lit(256.0)))
+        .when(kind == "ipv6", (spelled(norm, "[0-9a-f]") - F.length(F.substring_index(norm, ":", 1))) * F.log10(F.lit(16.0)))
+        .when(kind == "iban", spelled(F.substring(norm, 5, 99), r"\d") + spelled(F.substring(norm, 5, 99), "[A-Z]") * F.log10(F.lit(26.0)))
+        .when(kind == "email", spelled(local, r"\d") + spelled(local, "[a-z]") * F.log10(F.lit(26.0)))
+    )
+    return F.struct(group.alias("group"), size.cast("double").alias("size"))
+
+
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate norm of an atom. ``attempt`` counts the surrogates that collisions have ruled out."""
-    digest = _digest(key, kind, norm, attempt)
-    digits = F.right(_digits(digest), F.length(norm))
-    odd = (_luhn(F.concat(F.substring(digits, 1, F.length(norm) - 1), F.lit("0"))) * 9) % 10  # the check digit
-    card = F.when(_luhn(norm) == 0, F.concat(F.substring(digits, 1, F.length(norm) - 1), odd.cast("string"))).otherwise(digits)
-    octet = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % 254 + 1).cast("string")
-    script = _script(norm)
+    tweak = lambda *more: F.concat_ws("|", kind, attempt, *more)
+    issuer, luhn = F.substring(norm, 1, 6), _luhn(norm)
+    middle = F.concat(issuer, permuted(key, tweak(issuer, luhn), F.substring(norm, F.lit(7), F.length(norm) - 7)))
+    card = F.concat(middle, F.pmod(luhn - _luhn(F.concat(middle, F.lit("0"))), F.lit(10)).cast("string"))
+
+    network = _network(norm)
+    octets = F.split(F.substring(norm, F.length(network) + 1, F.length(norm)), r"\.")
+    hexed = permuted(key, tweak(network), F.array_join(F.transform(octets, lambda o: F.lpad(F.lower(F.conv(o, 10, 16)), 2, "0")), ""), (_HEX,))
+    ip = F.concat(network, F.array_join(F.transform(F.sequence(F.lit(0), F.size(octets) - 1), lambda i: F.conv(F.substring(hexed, (2 * i + 1).cast("int"), F.lit(2)), 16, 10)), "."))
+    group = F.substring_index(norm, ":", 1)
+    ipv6 = F.concat(group, permuted(key, tweak(group), F.substring(norm, F.length(group) + 1, F.length(norm)), (_HEX,)))
+
+    country, account = F.substring(norm, 1, 2), F.substring(norm, 5, 99)
+    checked = lambda x: F.lit(98) - _mod97(F.concat(x, country, F.lit("00")))
+    other = permuted(key, tweak(country), account)
+    check = F.pmod(checked(other) - checked(account) + F.substring(norm, 3, 2).cast("int"), F.lit(97))
+    iban = F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), other)
+
+    script, digest = _script(norm), _digest(key, tweak(), norm)
     pick = lambda n: F.array_join(F.transform(F.split(F.substring(digest, 1, n), ""), lambda c: _by_script(script, lambda s: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.instr(F.lit(_HEX), c)))), "")
     ending = {"given_f": dict(latin="na", cyrillic="на", greek="να"), "given_m": dict(latin="nor", cyrillic="нор", greek="νορ"), "surname": dict(latin="l", cyrillic="л", greek="λ")}
     name = F.initcap(F.concat(pick(F.lit(3) + attempt), reduce(lambda a, k: F.when(kind == k, _by_script(script, lambda s: F.lit(ending[k][s]))).otherwise(a), ending, F.lit(""))))
+
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    letters = _by_script(script, lambda s: F.translate(digest, _HEX, LETTERS[s]))
-    numbers = _digits(digest)
-    shaped = F.array_join(
-        F.transform(
-            F.split(local, ""),
-            lambda c, i: F.when(c.rlike(r"\p{N}"), F.substring(numbers, i % 36 + 1, F.lit(1))).when(c.rlike(r"\p{L}"), F.substring(letters, i % 64 + 1, F.lit(1))).otherwise(c),
-        ),
-        "",
-    )
-    host = F.translate(F.substring(_digest(key, F.lit("domain"), domain, attempt), 1, 10), _HEX, LETTERS["latin"])
+    odd = F.transform(F.split(local, ""), lambda c, i: F.when(c.rlike(r"^[\p{L}\p{N}]$") & ~c.rlike(rf"^[{''.join(ALPHABETS)}]$"), F.translate(F.substring(digest, (i % 64 + 1).cast("int"), F.lit(1)), _HEX, LETTERS["latin"])).otherwise(c))
+    host = F.translate(F.substring(_digest(key, F.lit("domain"), domain), 1, 12), _HEX, LETTERS["latin"])
+    email = F.concat(permuted(key, tweak(domain), F.array_join(odd, "")), F.lit("@"), host, F.lit(".example"))
     return (
-        F.when(kind == "email", F.concat(shaped, F.lit("@"), host, F.lit(".example")))
-        .when(kind == "ip", F.concat_ws(".", octet(1), octet(9), octet(17), octet(25)))
+        F.when(kind == "email", email)
+        .when(kind == "ip", ip)
+        .when(kind == "ipv6", ipv6)
+        .when(kind == "iban", iban)
         .when(kind == "card", card)
         .when(kind.isin("given_f", "given_m", "surname"), name)
-        .otherwise(digits)
+        .otherwise(permuted(key, tweak(), norm))
     )
 
 
-def _fill(entity: Column, digits: Column) -> Column:
-    """``entity`` with its last digits replaced by ``digits``, punctuation and leading digits kept."""
-    zero = F.struct(F.lit("").alias("out"), (F.length(digits) - F.length(F.regexp_replace(entity, r"\D", ""))).alias("k"))
+def _fill(entity: Column, kind: Column, made: Column) -> Column:
+    """``entity`` with its last digits (an IBAN's letters, too) replaced by ``made``, punctuation and leading digits kept."""
+    counts = lambda c: F.when(kind == "iban", c.rlike("^[A-Z0-9]$")).otherwise(c.rlike(r"^\d$"))
+    own = F.when(kind == "iban", F.length(F.regexp_replace(entity, " ", ""))).otherwise(F.length(F.regexp_replace(entity, r"\D", "")))
+    zero = F.struct(F.lit("").alias("out"), (F.length(made) - own).alias("k"))
 
     def step(a, c):
-        digit = c.rlike(r"^\d$")
-        k = F.when(digit, a["k"] + 1).otherwise(a["k"])
-        return F.struct(F.concat(a["out"], F.when(digit & (k > 0), F.substring(digits, k, F.lit(1))).otherwise(c)).alias("out"), k.alias("k"))
+        k = F.when(counts(c), a["k"] + 1).otherwise(a["k"])
+        return F.struct(F.concat(a["out"], F.when(counts(c) & (k > 0), F.substring(made, k, F.lit(1))).otherwise(c)).alias("out"), k.alias("k"))
 
     return F.aggregate(F.split(entity, ""), zero, step, lambda a: a["out"])
 
@@ -134,7 +221,7 @@ def _fill(entity: Column, digits: Column) -> Column:
 def _render(entity: Column, kind: Column, made: Column) -> Column:
     """The text that replaces an entity, of whose atoms ``made`` holds the surrogates."""
     title = F.regexp_extract(entity, r"^\p{L}+\.? ", 0)
-    return F.when(kind == "name", F.concat(title, F.array_join(made, " "))).when(kind.isin("email", "ip"), made[0]).otherwise(_fill(entity, made[0]))
+    return F.when(kind == "name", F.concat(title, F.array_join(made, " "))).when(kind.isin("email", "ip", "ipv6"), made[0]).otherwise(_fill(entity, kind, made[0]))
 
 
 def _found(text: Column) -> Column:
@@ -142,49 +229,83 @@ def _found(text: Column) -> Column:
 
 
 def collisions(docs: DataFrame, text_col: str, key: str) -> DataFrame:
-    """(kind, norm, attempt) of the atoms of the corpus whose first surrogate another atom has, or is an atom itself.
+    """(kind, norm, attempt), a table: the atoms of the corpus whose first surrogate another atom has, or is an atom itself.
 
-    Each round gives the atoms in conflict their next surrogate, but for the smallest atom of each conflict,
-    until none is left. Rounds after the first hold the few atoms in conflict against all surrogates.
+    The smallest atom of a conflict keeps its surrogate, unless that is an atom; the others take their next
+    ones, round by round, until none is in conflict with any. Shapes that are FULL stay out: there the
+    permutation alone keeps surrogates distinct. A round handles the atoms in conflict only.
     """
-    found = docs.select(F.explode(_found(F.col(text_col))).alias("e")).select(F.explode(atoms(F.col("e.text"), F.col("e.kind"))).alias("a")).select("a.*").distinct()
-    made = lambda df: df.withColumn("made", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
-    now = materialize(made(found.withColumn("attempt", F.lit(0))), "atoms")
-    real = materialize(found, "norms").withColumnRenamed("norm", "made")
-    while True:
-        keep = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        clash = now.join(keep, ["kind", "made"]).filter((F.col("norm") != F.col("first.norm"))).select("kind", "norm")
-        taken = now.join(real, ["kind", "made"], "left_semi").select("kind", "norm")
-        again = materialize(clash.union(taken).distinct(), "clashes")
+    scratch = Scratch(docs.sparkSession)
+    atom = docs.select(F.explode(_found(F.col(text_col))).alias("e")).select(F.explode(atoms(F.col("e.text"), F.col("e.kind"))).alias("a")).select("a.*").distinct()
+    made = lambda df, n: df.withColumns({"attempt": F.lit(n), "made": surrogate(key, F.col("kind"), F.col("norm"), F.lit(n))})
+    every = scratch.keep(made(atom, 0).withColumn("shape", shape(F.col("kind"), F.col("norm"))), "atoms")
+    used = every.groupBy("kind", "shape").agg(F.count("*").alias("n")).filter(F.log10("n") - F.log10(F.lit(FULL)) > F.col("shape.size"))
+    free = every.join(used.select("kind", "shape"), ["kind", "shape"], "left_anti").select("kind", "norm", "attempt", "made")
+    real = every.select("kind", F.col("norm").alias("made"))
+
+    def clashing(df: DataFrame, *others: DataFrame) -> DataFrame:
+        """The rows of ``df`` that share a surrogate with a smaller atom, or that ``others`` have."""
+        several = df.groupBy("kind", "made").agg(F.min("norm").alias("least"), F.count("*").alias("n")).filter("n > 1")
+        out = df.join(several, ["kind", "made"]).filter("norm <> least").select("kind", "norm")
+        for other in others:
+            out = out.union(df.join(other, ["kind", "made"]).select("kind", "norm"))
+        return out.distinct()
+
+    again = scratch.keep(clashing(free, real), "clashes")
+    settled, tries = free.join(again, ["kind", "norm"], "left_anti").select("kind", "made"), None
+    for n in range(1, MOST_ROUNDS + 1):
         if again.isEmpty():
-            return now.filter("attempt > 0").select("kind", "norm", "attempt")
-        moved = now.join(again.withColumn("again", F.lit(1)), ["kind", "norm"], "left")
-        now = materialize(made(moved.select("kind", "norm", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))), "atoms")
+            break
+        moved = scratch.keep(made(again, n), "moved")
+        again = scratch.keep(clashing(moved, real, settled), "clashes")
+        kept = moved.join(again, ["kind", "norm"], "left_anti")
+        settled = settled.union(kept.select("kind", "made"))
+        tries = kept if tries is None else tries.union(kept)
+    else:
+        raise RuntimeError(f"surrogates still collide after {MOST_ROUNDS} rounds")
+    none = every.filter("false") if tries is None else tries
+    out = materialize(none.select("kind", "norm", "attempt"), "tries")
+    scratch.drop()
+    return out
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_email, n_ip, n_ssn, n_phone, n_card, n_name, changed) for each row of ``docs``.
+    """(id, text, n_email, n_ip, n_ssn, n_phone, n_card, n_name, n_ipv6, n_iban, changed) for each row of ``docs``.
 
     Null texts stay null and have no entities; rows without entities keep their texts. Names are recognised
-    after a title only, so that words which merely look like names stay. Texts are read whole; repeated rows
-    give equal results.
+    after a title, so that words which merely look like names stay; the words of a recognised name are then
+    replaced wherever the same text has them, by the same surrogates. Texts are read whole; repeated rows give
+    equal results.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    retried = materialize(collisions(plain, "text", key), "retried").withColumn("atom", F.concat_ws(":", "kind", "norm"))
+    tries = collisions(plain, "text", key).withColumn("atom", F.concat_ws(":", "kind", "norm"))
     entry = F.struct("atom", "attempt")
-    if retried.count() <= MOST_INLINE:  # so the one row is bounded
-        held = plain.crossJoin(F.broadcast(retried.agg(F.map_from_entries(F.collect_list(entry)).alias("tries"))))
+    if tries.count() <= MOST_INLINE:  # so the one row is bounded
+        held = plain.crossJoin(F.broadcast(tries.agg(F.map_from_entries(F.collect_list(entry)).alias("tries"))))
     else:
         of = lambda df: df.withColumn("h", F.xxhash64("text"))
         used = of(plain).select("id", "h", F.explode(_found(F.col("text"))).alias("e")).select("id", "h", F.explode(atoms(F.col("e.text"), F.col("e.kind"))).alias("a"))
-        mine = used.select("id", "h", F.concat_ws(":", "a.kind", "a.norm").alias("atom")).join(retried, "atom").groupBy("id", "h").agg(F.map_from_entries(F.collect_set(entry)).alias("tries"))
+        asked = used.select("id", "h", F.concat_ws(":", "a.kind", "a.norm").alias("atom")).distinct()
+        mine = salted_join(asked, tries.select("atom", "attempt"), "atom").groupBy("id", "h").agg(F.map_from_entries(F.collect_set(entry)).alias("tries"))
         mine = mine.withColumnsRenamed({"id": "i", "h": "g"})
         held = of(plain).join(mine, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").select("id", "text", F.coalesce("tries", F.create_map().cast("map<string,int>")).alias("tries"))
     marked = held.withColumn("found", F.coalesce(_found(F.col("text")), F.array().cast("array<struct<text:string,kind:string>>")))
     attempt = lambda a: F.coalesce(F.try_element_at("tries", F.concat_ws(":", a["kind"], a["norm"])), F.lit(0))
     made = lambda e: F.transform(atoms(e["text"], e["kind"]), lambda a: surrogate(key, a["kind"], a["norm"], attempt(a)))
-    new = F.transform("found", lambda e: _render(e["text"], e["kind"], made(e)))
+    marked = marked.withColumn("new", F.transform("found", lambda e: _render(e["text"], e["kind"], made(e))))
+    named = F.filter("found", lambda e: e["kind"] == "name")
+    known = F.flatten(F.transform(named, lambda e: F.transform(atoms(e["text"], e["kind"]), lambda a: F.struct(a["norm"].alias("norm"), surrogate(key, a["kind"], a["norm"], attempt(a)).alias("made")))))
+    marked = marked.withColumn("known", F.when(F.size(named) > 0, known))
+
+    def renamed(part: Column) -> Column:
+        """Text between entities, the words of the text's own names replaced."""
+        word = r"\p{L}[\p{L}'-]*"
+        other = lambda w: F.coalesce(F.try_element_at(F.filter("known", lambda k: k["norm"] == w), F.lit(1))["made"], w)
+        words = F.transform(F.regexp_extract_all(part, F.lit(word), F.lit(0)), other)
+        return F.array_join(F.flatten(F.zip_with(F.split(part, word, -1), words, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+
     between = F.split("text", ENTITY, -1)
-    text = F.when(F.size("found") > 0, F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(F.col("text"))
+    between = F.when(F.col("known").isNotNull(), F.transform(between, renamed)).otherwise(between)
+    text = F.when(F.size("found") > 0, F.array_join(F.flatten(F.zip_with(between, "new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(F.col("text"))
     count = lambda k: F.size(F.filter("found", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
     return marked.select("id", text.alias("text"), *map(count, KINDS), (F.size("found") > 0).alias("changed"))
