@@ -487,6 +487,7 @@ def test_near_dup_stage_against_brute_force(spark, monkeypatch):
     assert got == want and len(want) < len({frozenset(s) for s in sets}) - 20
     monkeypatch.setattr(near_copies, "FEW", 2)
     monkeypatch.setattr(near_copies, "PIVOTS", 1)
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect()) == want
     assert corpus_pipeline.near_dup_stage(spark, empty(docs), "").count() == 0
 
