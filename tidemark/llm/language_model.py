@@ -109,6 +109,17 @@ def _unsteps(raw: bytes) -> np.ndarray:
         return np.cumsum(unpack(raw).view(np.uint64), dtype=np.uint64)
 
 
+def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, where each occurs first, and the place of each element among them."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(x) else np.zeros(0, bool)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return ordered[starts], np.minimum.reduceat(order, starts) if len(x) else order, place
+
+
 def _slices(top: np.ndarray, shards: int):
     """(shard, from, to) of sorted hashes, of which ``top`` holds the highest 32 bits."""
     edges = np.searchsorted((top.astype(np.uint64) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1))
@@ -195,14 +206,8 @@ class Chunk:
         self.learn = np.repeat(~self.held, self.sizes)
         end = int(np.searchsorted(self.words, np.uint64(word_hash(END))))
         self.before = np.concatenate(([end], self.tokens[:-1]))
-        pairs, place = np.unique(self.before * len(words) + self.tokens, return_inverse=True)
-        u, w = pairs // len(words), pairs % len(words)
-        hashes = pair_hash(self.words[u], self.words[w])
-        order = np.argsort(hashes, kind="stable")
-        self.pairs, self.u, self.w = hashes[order], u[order], w[order]
-        rank = np.empty(len(pairs), np.int64)
-        rank[order] = np.arange(len(pairs))
-        self.pair = rank[place]
+        self.pairs, first, self.pair = _grouped(pair_hash(self.words[self.before], self.words[self.tokens]))
+        self.u, self.w = self.before[first], self.tokens[first]
 
     def word_slices(self, shards: int):
         return _slices(self.words >> np.uint64(31), shards)
@@ -233,7 +238,7 @@ def count_keys(messages: pa.Table) -> pa.Table:
     """
     (kind, rows), me = next(iter(_by_kind(messages).items())), messages["to"][0].as_py()
     keys, n = [_unsteps(r["a"]) for r in rows], _whole(rows, "b")
-    unique, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    unique, first, place = _grouped(np.concatenate(keys))
     count = np.bincount(place, weights=n, minlength=len(unique)).astype(np.int64)
     parts = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
     if kind == WORD:
@@ -380,17 +385,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return run
 
     start = parts.drop("ids").groupBy("chunk").cogroup(of(counted, PAIR_COUNT).groupBy("to")).applyInArrow(first_seats, MESSAGE)
-    seats = scratch.keep(start, "seats")
+    passing = Scratch(docs.sparkSession)  # tables that the next sweep replaces
+    seats = passing.keep(start, "seats")
     state, places = of(counted, STATE).filter("to >= 0"), of(counted, AT).filter("to >= 0")
     roots, answers = [], None
     for sweep in range(BURN_IN + SAMPLES + 1):
-        told = scratch.keep(state.union(places).union(of(seats, SUMS)).groupBy("to").applyInArrow(root_step(sweep, roots[-1][1] if roots else 0), MESSAGE), "root")
+        told = (scratch if sweep > BURN_IN else passing).keep(state.union(places).union(of(seats, SUMS)).groupBy("to").applyInArrow(root_step(sweep, roots[-1][1] if roots else 0), MESSAGE), "root")
         state = of(told, STATE)
         roots.append(tuple(state.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()))
         if sweep > BURN_IN:
             answers = of(told, ANSWER) if answers is None else answers.union(of(told, ANSWER))
         if sweep < BURN_IN + SAMPLES:
-            seats = scratch.keep(of(seats, SEATS).union(of(told, ANSWER)).groupBy("to").applyInArrow(seat_step(sweep + 1, roots[-1]), MESSAGE), "seats")
+            seats = passing.keep(of(seats, SEATS).union(of(told, ANSWER)).groupBy("to").applyInArrow(seat_step(sweep + 1, roots[-1]), MESSAGE), "seats")
+            passing.drop(but=1 if sweep > BURN_IN else 2)
 
     def tables_of(batches):
         """What owners tell the pair shards: the tables of their pairs, added up over the samples."""
@@ -448,6 +455,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = parts.groupBy("chunk").cogroup(known.groupBy("to")).applyInArrow(score, schema + ", token_scores array<double>" * per_token)
     out = materialize(scored, "scored")
     scratch.drop()
+    passing.drop()
     return out
 
 
