@@ -529,3 +529,76 @@ def test_mixing_splits_rows_of_one_id(spark, monkeypatch):
     for v in by.values():
         assert abs(sum(r.taken for r in v) - v[0].target) <= 30 and {r.epochs for r in v} <= {r.epochs for r in v[:1]} | {v[0].epochs + 1, v[0].epochs - 1}
     assert sum(r.epochs * r.size for r in mixing.take(docs).collect()) == sum(r.taken for v in by.values() for r in v)
+
+
+def test_guess_cost_is_the_minimum_over_all_segmentations():
+    from functools import lru_cache
+    from itertools import product
+
+    rank = {"pass": 1, "word": 2, "password": 3, "ssw": 4, "asd": 5, "rdq": 9, "bab": 2}
+
+    def whole(text):
+        """Cost of a span as one thing other than brute force, as the definitions say."""
+        n, low, out = len(text), text.lower(), []
+        if 3 <= n <= 15:
+            out.append(secrets.word_cost(text, rank))
+        if n >= 4 and secrets._DATE.fullmatch(text):
+            out.append(secrets.date_cost(text))
+        out += [secrets.repeat_cost(text[:p], n // p) for p in range(1, n) if n % p == 0 and text == text[:p] * (n // p) and n // p >= (3 if p == 1 else 2)]
+        if n >= 3 and any(low in way for way in secrets._WAYS):
+            out.append(secrets.walk_cost(n))
+        return min((c for c in out if c is not None), default=None)
+
+    def slow(value):
+        @lru_cache(None)
+        def best(i, pieces, brute):
+            if i == len(value):
+                return 0.0
+            out = secrets._brute(value[i]) + (0 if brute else math.log10(pieces + 1)) + best(i + 1, pieces + (not brute), True)
+            for j in range(i + 1, len(value) + 1):
+                if (c := whole(value[i:j])) is not None:
+                    out = min(out, c + math.log10(pieces + 1) + best(j, pieces + 1, False))
+            return out
+
+        return best(0, 0, False)
+
+    rng = random.Random(15)
+    values = ["".join(v) for n in range(1, 6) for v in product("ab1", repeat=n)]
+    values += ["".join(rng.choice(("pass", "word", "asd", "rd", "qwe", "12", "3", "a", "B", "-", "2004", "06", "zzz", "bab", "$")) for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    values += ["".join(rng.choice("as1") * rng.randint(1, 9) for _ in range(6)) for _ in range(40)] + ["z" * 60 + "pass", "ab" * 30 + "bab", "a" * 40 + "sdf", "123" * 12 + "4"]
+    for v in values:
+        assert abs(secrets.guess_cost(v, rank) - slow(v)) < 1e-9, v
+
+
+def test_common_words_count_all_texts_and_spare_ordinary_words(spark):
+    docs = hard(spark, ["The token: because of authentication", "because authentication, because", "pwd: Zk4#tR9wQ"] * 3)
+    rank = secrets.common_words(docs)
+    assert {"because", "authentication"} <= rank.keys() and rank["because"] < rank["authentication"] and rank["password"] == 1
+    got = {r.id: [(s.kind, s.start) for s in r.spans] for r in secrets.secret_spans(docs).collect()}
+    assert got[10] == got[11] == [] and got[12] == [("guess", 5)]
+    assert secrets.common_words(empty(docs)).keys() == secrets._RANK.keys()
+
+
+def test_secret_patterns_against_sql(spark):
+    """The base spans of the given documents: splits and matches of another engine's patterns give the same places."""
+    import hashlib
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    kinds = {"assign": (r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 0), "access": ("AKIA[A-Z0-9]+", 16), "hex": ("[0-9a-f]+", 32)}
+    spans = {}
+    for kind, (pattern, least) in kinds.items():
+        for k, text, found in duckdb.connect().execute(f"SELECT doc_id, coalesce(text, ''), regexp_extract_all(coalesce(text, ''), ?) FROM '{folder}/documents.parquet'", [pattern]).fetchall():
+            at = 0
+            for m in found:
+                at = text.index(m, at)
+                if (len(re.search("[A-Za-z0-9+/_.=-]+$", m).group()) >= 8) if kind == "assign" else len(m) >= least:
+                    spans.setdefault(k, []).append((at, list(kinds).index(kind), f"{kind}:{at}:{at + len(m)}"))
+                at += len(m)
+    rows = queries.QUERIES["op4_secrets"](spark, folder).collect()
+    for r in rows:
+        mine = sorted(spans.get(r.doc_id, []))
+        assert r.base_sha256 == hashlib.sha256(",".join(x for *_, x in mine).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in mine) for i in range(3))
+    assert spans and len(rows) == 1000
