@@ -3,50 +3,80 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import Scratch, materialize, salted_join
 from tidemark.llm.graph import connected_components
 
 SEED = 11
-#: Sorted lists, and the projections that cut each into cells before its own projection sorts it.
-LISTS, PREFIX = 12, 4
-#: Width of the cells, and half the width of the window around each vector.
-CELL, WINDOW = 1.0, 0.4
+#: Half the width of the query-centred windows, and the width of the cells that the cutting projections make.
+WINDOW, CELL = 0.4, 1.0
 #: A pair is verified if it collides in as many projections as this share of linked pairs does.
 RECALL = 0.995
-#: Rows of a block; longer cells are compared block by block, each two blocks in a task of their own.
+#: A pair at the limit meets in one of the sorted lists with at least this probability.
+MEET = 0.995
+#: Vectors of a cell, about, that the number of cutting projections aims at where vectors are spread out.
+SPREAD = 800
+#: Rows of a block; longer cells are compared block by block, each two blocks in a group of their own.
 BLOCK = 1024
 #: Pairs looked at at once.
 CHUNK = 200_000
 
 
-def projections(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng((SEED, dim))
-    return rng.normal(size=(dim, LISTS * (PREFIX + 1))), rng.uniform(0, CELL, LISTS * PREFIX)
+@dataclass(frozen=True)
+class Plan:
+    """``lists`` sorted projections; a list's windows slide within the cells that ``cuts`` further projections make."""
 
+    lists: int
+    cuts: int
+    least: int
+    cosine: float
 
-def least_count(cosine: float) -> int:
-    """The largest count that a pair at the limit reaches with probability RECALL, its projections being independent."""
-    n = LISTS * (PREFIX + 1)
-    distance = math.sqrt(max(0.0, 2 - 2 * cosine))
-    p = math.erf(WINDOW / distance / math.sqrt(2)) if distance else 1.0
-    below = 0.0
-    for m in range(n + 1):
-        below += math.comb(n, m) * p**m * (1 - p) ** (n - m)
-        if below > 1 - RECALL:
-            return m
-    return n
+    @property
+    def sorting(self) -> np.ndarray:
+        """Places of the projections that sort the lists."""
+        return np.arange(self.lists) * (self.cuts + 1) + self.cuts
+
+    def projections(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng((SEED, dim))
+        return rng.normal(size=(dim, self.lists * (self.cuts + 1))), rng.uniform(0, CELL, self.lists * self.cuts)
 
+    def cells(self, values: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """(rows, lists, cuts) cells of the projected ``values``."""
+        cut = values.reshape(len(values), self.lists, self.cuts + 1)[:, :, : self.cuts]
+        return np.floor((cut + shift.reshape(self.lists, self.cuts)) / CELL).astype(np.int64)
 
-def _cells(values: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """(rows, lists, PREFIX) cells; ``values`` holds LISTS groups of PREFIX cutting projections and a sorting one."""
-    cut = values.reshape(len(values), LISTS, PREFIX + 1)[:, :, :PREFIX]
-    return np.floor((cut + shift.reshape(LISTS, PREFIX)) / CELL).astype(np.int64)
+
+def make_plan(n: int, cosine: float) -> Plan:
+    """The cuts that ``n`` spread-out unit vectors need, the lists that a pair at the limit needs to meet, and the count to verify from.
+
+    A projection of a unit vector is about normal, and that of a pair's difference normal with the pair's
+    distance. ``least`` is the largest number of collisions that a pair at the limit reaches with probability
+    RECALL, all projections being independent.
+    """
+    erf = math.erf
+    distance = math.sqrt(max(0.0, 2 - 2 * cosine))
+    grid = np.linspace(-5, 5, 2001)
+    share = float(np.exp(-(grid**2)).sum() * 0.005 / (2 * math.pi) * CELL)  # of vectors in one cell of a cut
+    cuts = max(1, round(math.log(max(n, 1) / SPREAD) / -math.log(share))) if n > SPREAD else 1
+    if distance:
+        d = np.linspace(0, CELL, 2001)
+        inside = float(((1 - d / CELL) * np.exp(-0.5 * (d / distance) ** 2)).sum() * (d[1] - d[0]) * 2 / (distance * math.sqrt(2 * math.pi)))
+        near = erf(WINDOW / distance / math.sqrt(2))
+        lists = max(2, math.ceil(math.log(1 - MEET) / math.log(1 - inside**cuts * near)))
+    else:
+        near, lists = 1.0, 2
+    total, below = lists * (cuts + 1), 0.0
+    for m in range(total + 1 if near < 1 else 0):
+        below += math.exp(math.lgamma(total + 1) - math.lgamma(m + 1) - math.lgamma(total - m + 1) + m * math.log(near) + (total - m) * math.log1p(-near))
+        if below > 1 - RECALL:
+            return Plan(lists, cuts, m, cosine)
+    return Plan(lists, cuts, total, cosine)
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -54,19 +84,21 @@ def _unit(raw: bytes) -> np.ndarray:
     return x / np.sqrt(x @ x)
 
 
-def _links(unit: np.ndarray, at_list: int, first: np.ndarray | None, cosine: float):
-    """Pairs (i < j) of one block or, given ``first``, of two, that meet first in this list and are linked."""
+def _links(unit: np.ndarray, at_list: int, first: np.ndarray | None, plan: Plan):
+    """Pairs (i < j) of one block or, given ``first``, of two, that meet first in this list and are linked.
+
+    A window around each vector of the sorted list proposes pairs; their collisions are counted over all
+    projections, and pairs with enough of them are verified.
+    """
     n = len(unit)
-    matrix, shift = projections(unit.shape[1])
+    matrix, shift = plan.projections(unit.shape[1])
     values = unit @ matrix
-    cells = _cells(values, shift)
-    key = values.reshape(n, LISTS, PREFIX + 1)[:, at_list, PREFIX]
+    cells = plan.cells(values, shift)
+    key = values[:, plan.sorting[at_list]]
     order = np.argsort(key, kind="stable")
     upto = np.searchsorted(key[order], key[order] + WINDOW, side="right")
     reach = upto - np.arange(n) - 1
-    need = least_count(cosine)
-    sort_at = np.arange(LISTS) * (PREFIX + 1) + PREFIX
-    row = 0
+    row, most = 0, values.shape[1] * 2 // 3
     while row < n:
         stop = row + max(1, int(np.searchsorted(np.cumsum(reach[row:]), CHUNK, side="right")))
         size = reach[row:stop]
@@ -76,24 +108,27 @@ def _links(unit: np.ndarray, at_list: int, first: np.ndarray | None, cosine: flo
         if first is not None:
             other = first[a] != first[b]
             a, b = a[other], b[other]
+        near = np.abs(values[a, :most] - values[b, :most]) <= WINDOW
+        some = near.sum(1) >= plan.least - (values.shape[1] - most)  # the others can't reach the count
+        a, b = a[some], b[some]
         near = np.abs(values[a] - values[b]) <= WINDOW
-        some = near.sum(1) >= need
+        some = near.sum(1) >= plan.least
         a, b, near = a[some], b[some], near[some]
         if at_list:  # pairs that an earlier list has brought together are counted there
-            met = (cells[a, :at_list] == cells[b, :at_list]).all(2) & near[:, sort_at[:at_list]]
+            met = (cells[a, :at_list] == cells[b, :at_list]).all(2) & near[:, plan.sorting[:at_list]]
             a, b = a[~met.any(1)], b[~met.any(1)]
-        linked = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+        linked = np.einsum("ij,ij->i", unit[a], unit[b]) >= plan.cosine
         yield a[linked], b[linked]
 
 
-def _compare(block: list[dict], at_list: int, cosine: float):
+def _compare(block: list[dict], at_list: int, plan: Plan):
     """(id, n_links, root) of the block's vectors that have links; root is the smallest id linked to in the block, or its own."""
     unit = np.array([_unit(r["vec"]) for r in block])
     ids, copies = np.array([r["id"] for r in block]), np.array([r["copies"] for r in block])
     mine = np.array([r["part"] for r in block])
     split = block[0]["lo"] != block[0]["hi"]
     count, root = np.zeros(len(block), np.int64), ids.copy()
-    pairs = list(_links(unit, at_list, mine if split else None, cosine))
+    pairs = list(_links(unit, at_list, mine if split else None, plan))
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, int), np.empty(0, int))
     np.add.at(count, a, copies[b])
     np.add.at(count, b, copies[a])
@@ -115,34 +150,36 @@ def vector_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     vectors link (rows with equal ids too, each counted); they enter the search as one. A row with a null id
     is counted but names no component; alone, its component is null and it is kept.
 
-    Each of LISTS lists cuts the vectors into cells by PREFIX projections and sorts a cell by one more. Pairs
-    in a window around each vector count their collisions over all LISTS * (PREFIX + 1) projections; those
-    that reach the calibrated count are verified exactly, in the first list where they meet. A pair at the
-    limit meets in a list with a probability of about 0.25, closer ones more often; see the README for the
-    recall measured. Cells of more than BLOCK rows are compared block by block.
+    Many projections are sorted, each within cells that a few further ones cut, since a window of one
+    projection alone holds a fixed share of all vectors. Pairs in a window around each vector count their
+    collisions over all projections; those that reach the calibrated count are verified exactly, in the first
+    list where they meet. ``make_plan`` sets the numbers by that of the vectors, for the same recall at any
+    size; see the README for the recall measured. Cells of more than BLOCK rows are compared block by block.
     """
+    scratch = Scratch(rows.sparkSession)
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    good = plain.filter(
-        "vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(vec, x -> x <> 0)"
-    )
-    same = materialize(good.groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.xxhash64("vec")), "vectors")
+    usable = F.coalesce(F.expr("vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(vec, x -> x <> 0)"), F.lit(False))
+    good = plain.filter(usable)
+    same = good.groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    same = scratch.keep(same.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    plan = make_plan(same.count(), cosine)
 
     def place(batches):
         for b in batches:
             vecs = [np.array(v, np.float64) for v in b.column(0).to_pylist()]
             for dim in sorted({len(v) for v in vecs}):
                 at = [i for i, v in enumerate(vecs) if len(v) == dim]
-                matrix, shift = projections(dim)
+                matrix, shift = plan.projections(dim)
                 unit = np.array([_unit((vecs[i] / np.abs(vecs[i]).max()).tobytes()) for i in at])
-                cells = _cells(unit @ matrix, shift)
-                for t in range(LISTS):
+                cells = plan.cells(unit @ matrix, shift)
+                for t in range(plan.lists):
                     key = [f"{dim}|{t}|" + ",".join(map(str, c)) for c in cells[:, t].tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(key)], ["id", "copies", "vec", "cell"]
                     )
 
-    placed = materialize(same.select("vec", "rep", "copies").mapInArrow(place, "id long, copies long, vec binary, cell string"), "placed")
-    sizes = materialize(placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "cells")
+    placed = scratch.keep(same.select("vec", "rep", "copies").mapInArrow(place, "id long, copies long, vec binary, cell string"), "placed")
+    sizes = scratch.keep(placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "cells")
     parted = placed.join(sizes, "cell").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("parts")).cast("int"))
     tiled = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "copies", "vec"
@@ -154,7 +191,7 @@ def vector_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
         def done():
             if len(held) > 1:
-                ids, count, root = _compare(held, held[0]["list"], cosine)
+                ids, count, root = _compare(held, held[0]["list"], plan)
                 if len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count), pa.array(root)], ["id", "n", "root"])
 
@@ -167,14 +204,19 @@ def vector_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 held.append(r)
         yield from done()
 
-    found = materialize(
+    found = scratch.keep(
         tiled.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(search, "id long, n long, root long"), "found"
     )
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    roots = materialize(connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst"))), "roots").withColumnRenamed("node", "rep")
+    roots = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
     merged = same.select("vec", "rep", "least", "copies").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    merged = materialize(merged, "merged")
+    merged = scratch.keep(merged, "merged")
     named = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = materialize(merged.join(named, "root").select("vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "names")
-    out = plain.join(names, "vec", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
+    names = merged.join(named, "root").select("vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    # a vector that very many rows have is dealt over several tasks; rows without a usable vector need no partner
+    linked = salted_join(good, names, "vec").select("id", "n_links", "component_id")
+    useless = plain.filter(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.select("id", "n_links", F.coalesce("component_id", "id").alias("component_id")).union(useless).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
+    out = materialize(out, "vector_groups")
+    scratch.drop()
+    return out
