@@ -1,10 +1,13 @@
-"""Quality classifier: averaged vectors of hashed words and character n-grams, softmax output, numpy SGD."""
+"""Quality classifier: averaged vectors of hashed features, softmax output, numpy SGD.
+
+Features are words, their character n-grams, pairs of neighbouring words, and how far back a word occurred last:
+the latter is what tells of repetition, for which no single word stands.
+"""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -15,10 +18,10 @@ from pyspark.sql import types as T
 
 #: Labelled rows of each class that the model is fitted on, at most: those of the smallest hash of their id.
 SAMPLE_PER_CLASS = 1000
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 8, 6, 1.0, 17
+BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 18, 8, 6, 1.0, 17
 GRAMS = (3, 4)
-#: Words whose features a task remembers; the memory starts anew beyond.
-REMEMBER = 400_000
+#: Words whose features a task remembers; the memory starts anew beyond, between parts of texts of so many words.
+REMEMBER, PART = 400_000, 100_000
 
 
 def features(word: bytes) -> list[int]:
@@ -30,12 +33,28 @@ def features(word: bytes) -> list[int]:
     return out
 
 
-#: Feature of a word that repeats the one before it.
-SAME = crc32(b"\x00same") % BUCKETS
+def pairs(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of neighbouring words, of whose CRC-32 ``hashes`` are."""
+    with np.errstate(over="ignore"):
+        return ((hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def distances(words: np.ndarray) -> np.ndarray:
+    """Buckets of how far back each word occurred last, by powers of two; words that are new to the text have none."""
+    order = np.argsort(words, kind="stable")
+    again = words[order[1:]] == words[order[:-1]]
+    return (_DISTANCE + np.frexp((order[1:] - order[:-1])[again])[1].astype(np.int64)) % BUCKETS
+
 
+_DISTANCE = crc32(b"\x00distance")
 
-def repeats(words: list[bytes]) -> int:
-    return sum(map(eq, words, words[1:]))
+
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's features, and how often each occurs."""
+    words = text.split()
+    single = np.array([f for w in words for f in features(w)], np.int64)
+    hashes = np.array([crc32(w) for w in words], np.uint64)
+    return np.unique(np.concatenate((single, pairs(hashes), *(distances(hashes[k : k + PART]) for k in range(0, len(words), PART)))), return_counts=True)
 
 
 @dataclass
@@ -46,29 +65,49 @@ class Model:
     bias: float
 
     def scorer(self):
-        weight, bias = self.weight, self.bias
+        """text -> score; keeps the sums of the words met."""
+        weight, bias = self.weight.astype(np.float64), self.bias
+        sums, sizes, hashes = np.zeros(REMEMBER + PART), np.zeros(REMEMBER + PART, np.int64), np.zeros(REMEMBER + PART, np.uint64)
 
-        class Known(dict):  # word -> sum of its features' weights + 1j * their number
+        class Places(dict):
             def __missing__(self, word):
-                if len(self) >= REMEMBER:
-                    self.clear()
                 at = features(word)
-                self[word] = out = complex(float(weight[at].sum()), len(at))
-                return out
-
-        known = Known()
+                self[word] = i = len(self)
+                sums[i], sizes[i], hashes[i] = weight[at].sum(), len(at), crc32(word)
+                return i
 
-        same = complex(float(weight[SAME]), 1)
+        places = Places()
 
         def score(text: bytes) -> float:
-            words = text.split()
-            total = sum(map(known.__getitem__, words), 0j) + repeats(words) * same
-            logit = bias + (total.real / total.imag if total.imag else 0.0)
+            words, total, n, before = text.split(), 0.0, 0, np.empty(0, np.uint64)
+            for k in range(0, len(words), PART):
+                if len(places) > REMEMBER:
+                    places.clear()
+                part = words[k : k + PART]
+                at = np.fromiter(map(places.__getitem__, part), np.int64, len(part))
+                both = np.concatenate((before, hashes[at]))
+                more, before = np.concatenate((pairs(both), distances(both[len(before) :]))), both[-1:]
+                total += sums[at].sum() + weight[more].sum()
+                n += int(sizes[at].sum()) + len(more)
+            logit = bias + (total / n if n else 0.0)
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
         return score
 
 
+def step(vectors: np.ndarray, outputs: np.ndarray, ids: np.ndarray, n: np.ndarray, label: int, rate: float) -> None:
+    """One step of gradient descent on the cross entropy of a bag; a feature's step grows with the root of the bag's size, as shares shrink with it."""
+    share = n / n.sum()
+    mean = share @ vectors[ids]
+    z = outputs @ mean
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[label] -= 1
+    back = outputs.T @ p
+    outputs -= rate * np.outer(p, mean)
+    vectors[ids] -= (rate * math.sqrt(len(ids)) * share)[:, None] * back
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float) -> Model:
     """Fits vectors and outputs by stochastic gradient descent on bags of (features, counts).
 
@@ -83,18 +122,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: f
         for i in rng.permutation(len(bags)):
             rate = RATE * (1 - done / steps)
             done += 1
-            ids, n = bags[i]
-            if not len(ids):
-                continue
-            share = n / n.sum()
-            mean = share @ vectors[ids]
-            z = outputs @ mean
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[labels[i]] -= 1  # gradient of the cross entropy
-            back = outputs.T @ p
-            outputs -= rate * np.outer(p, mean)
-            vectors[ids] -= (rate * math.sqrt(len(ids)) * share)[:, None] * back
+            if len(bags[i][0]):
+                step(vectors, outputs, *bags[i], labels[i], rate)
     ones = sum(labels)
     offset = math.log(prior / (1 - prior)) - math.log((ones + 1) / (len(labels) - ones + 1))
     return Model((vectors @ (outputs[1] - outputs[0])).astype(np.float32), offset)
@@ -129,17 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model
     """Learns from at most 2 * SAMPLE_PER_CLASS labelled texts, whose features are counted on the executors."""
     sample, counts = labelled_sample(docs, labels, label_col, {0: SAMPLE_PER_CLASS, 1: SAMPLE_PER_CLASS})
 
-    def bag(batches):
+    def count(batches):
         for b in batches:
-            rows = []
-            for t in b.column(2).cast(pa.large_binary()):
-                words = t.as_py().split()
-                seen = [f for w in words for f in features(w)] + [SAME] * repeats(words)
-                ids, n = np.unique(np.array(seen, np.int32), return_counts=True)
-                rows.append((ids.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()))
+            rows = [[x.astype(np.int32).tobytes() for x in bag(t.as_py())] for t in b.column(2).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "label", "ids", "n"])
 
-    rows = sorted(sample.mapInArrow(bag, "doc_id long, label int, ids binary, n binary").collect(), key=lambda r: r["doc_id"])
+    rows = sorted(sample.mapInArrow(count, "doc_id long, label int, ids binary, n binary").collect(), key=lambda r: r["doc_id"])
     total = sum(counts.values())
     prior = (counts.get(1, 0) + 1) / (total + 2)
     return train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["n"], np.int32).astype(float)) for r in rows], [r["label"] for r in rows], prior)
