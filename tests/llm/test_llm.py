@@ -299,12 +299,12 @@ def test_quality_and_toxicity(spark):
     got = {r.doc_id: r.score for r in scored.collect()}
     assert len(got) == 206 + 0 * len(texts) and all(0 <= s <= 1 for s in got.values())
     assert sum((got[10 + i] >= 0.3) == bool(q) for i, q in enumerate(quality_of)) >= 198
-    found = {r.id: r for r in toxicity.severity(docs, toxicity.fit(docs, labels)).collect()}
+    found = {r.id: r for r in toxicity.severity(docs, toxicity.fit(docs, toxicity.graded(labels))).collect()}
     assert sum(found[10 + i].toxic == bool(x) for i, x in enumerate(toxic_of)) >= 195
     assert found[1].severity == found[2].severity and not found[1].toxic
     none = empty(labels)
     assert quality.quality_scores(docs, quality.fit(docs, none)).count() == docs.count()
-    assert toxicity.severity(docs, toxicity.fit(docs, none)).count() == docs.count()
+    assert toxicity.severity(docs, toxicity.fit(docs, toxicity.graded(none))).count() == docs.count()
     assert quality.quality_scores(empty(docs), quality.fit(docs, labels)).count() == 0
 
 
@@ -616,3 +616,73 @@ def test_secret_patterns_against_sql(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(x for *_, x in mine).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in mine) for i in range(3))
     assert spans and len(rows) == 1000
+
+
+def test_ordinal_likelihood_and_gradient():
+    """The likelihood against a loop over rows and grades, its gradient against finite differences."""
+    rng = np.random.default_rng(16)
+    counts, grades = rng.poisson(1.0, (30, 4)).astype(float), rng.integers(0, 4, 30)
+    x = np.concatenate((rng.normal(size=4), [0.3], rng.normal(size=2) * 0.5))
+    value, grad = toxicity.likelihood(x, counts, grades, 3)
+    theta = [x[4], x[4] + math.exp(x[5]), x[4] + math.exp(x[5]) + math.exp(x[6])]
+    passed = lambda row, k: 1.0 if k == 0 else 0.0 if k == 4 else 1 / (1 + math.exp(theta[k - 1] - sum(a * b for a, b in zip(row, x))))
+    assert abs(value - sum(math.log(passed(r, g) - passed(r, g + 1)) for r, g in zip(counts, grades)) / 30) < 1e-12
+    for i in range(len(x)):
+        d = np.zeros(len(x))
+        d[i] = 1e-6
+        slope = (toxicity.likelihood(x + d, counts, grades, 3)[0] - toxicity.likelihood(x - d, counts, grades, 3)[0]) / 2e-6
+        assert abs(slope - grad[i]) < 1e-6
+
+
+def test_grades_of_given_severities(spark):
+    """Four grades that are given as labels: thresholds come out in order, severities rise with the grade, long texts count whole."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(400):
+        g = rng.choice([0, 0, 1, 2, 3])
+        rows.append((i, " ".join(rng.sample([rng.choice(WORDS) for _ in range(40)] + ["vile"] * (g * g), 40 + g * g)), g))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, g) for k, _, g in rows], "doc_id long, grade int")
+    model = toxicity.fit(docs, labels, most={g: 300 for g in range(4)})
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    found = {r.id: r for r in toxicity.severity(docs, model).collect()}
+    mean = [np.mean([found[k].severity for k, _, g in rows if g == h]) for h in range(4)]
+    assert mean == sorted(mean) and sum(found[k].grade == g for k, _, g in rows) >= 360
+    longer = spark.createDataFrame([(1, "word " * 30000 + "vile " * 9), (2, "word " * 30000 + "vile " * 90)], "doc_id long, text string")
+    a, b = sorted(toxicity.severity(longer, model).collect(), key=lambda r: r.id)
+    assert a.severity < b.severity and a.grade == 3
+
+
+def test_quality_step_and_score_against_plain_loops():
+    rng = np.random.default_rng(18)
+    vectors, outputs = rng.normal(size=(50, 3)), rng.normal(size=(2, 3))
+    ids, n, label, rate = np.array([3, 7, 20]), np.array([1.0, 4.0, 2.0]), 1, 0.1
+
+    def loss(v, o):
+        mean = [sum(n[k] * v[ids[k]][d] for k in range(3)) / 7 for d in range(3)]
+        z = [sum(o[c][d] * mean[d] for d in range(3)) for c in range(2)]
+        return math.log(sum(map(math.exp, z))) - z[label]
+
+    v, o = vectors.copy(), outputs.copy()
+    quality.step(v, o, ids, n, label, rate)
+    for at, new, old, scale in [((c, d), o, outputs, 1.0) for c in range(2) for d in range(3)] + [((k, d), v, vectors, math.sqrt(3)) for k in (3, 7, 20, 21) for d in range(3)]:
+        up, down = old.copy(), old.copy()
+        up[at] += 1e-6
+        down[at] -= 1e-6
+        slope = (loss(up, outputs) - loss(down, outputs)) / 2e-6 if old is vectors else (loss(vectors, up) - loss(vectors, down)) / 2e-6
+        assert abs((old - new)[at] - rate * scale * slope) < 1e-6
+    weight = rng.normal(size=quality.BUCKETS).astype(np.float32)
+    text = "the cat the cat sat sat on a mat".encode()
+    words, total, count = text.split(), 0.0, 0
+    for i, w in enumerate(words):
+        buckets = quality.features(w)
+        if i:
+            buckets += quality.pairs(np.array([zlib.crc32(words[i - 1]), zlib.crc32(w)], np.uint64)).tolist()
+        if w in words[:i]:
+            back = i - max(j for j in range(i) if words[j] == w)
+            buckets.append((quality._DISTANCE + back.bit_length()) % quality.BUCKETS)
+        total += sum(float(weight[b]) for b in buckets)
+        count += len(buckets)
+    ids, n = quality.bag(text)
+    assert n.sum() == count and abs((weight[ids] * n).sum() - total) < 1e-4
+    score = quality.Model(weight, 0.2).scorer()
+    assert abs(score(text) - 1 / (1 + math.exp(-(0.2 + total / count)))) < 1e-6 and abs(score(b"") - 1 / (1 + math.exp(-0.2))) < 1e-9

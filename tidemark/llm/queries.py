@@ -85,9 +85,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected severity and likeliest grade of each document, whether it is toxic, and its indicator words."""
+    """Expected severity and grade of each document, whether it is toxic, and its indicator words."""
     docs = table(spark, sf_dir, "documents")
-    found = toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.severity(docs, toxicity.fit(docs, toxicity.graded(table(spark, sf_dir, "labels"))))
     return found.select(F.col("id").alias("doc_id"), "severity", "grade", "toxic", "n_terms")
 
 
