@@ -299,12 +299,12 @@ def test_quality_and_toxicity(spark):
     got = {r.doc_id: r.score for r in scored.collect()}
     assert len(got) == 206 + 0 * len(texts) and all(0 <= s <= 1 for s in got.values())
     assert sum((got[10 + i] >= 0.3) == bool(q) for i, q in enumerate(quality_of)) >= 198
-    found = {r.id: r for r in toxicity.severity(docs, toxicity.fit(docs, toxicity.graded(labels))).collect()}
+    found = {r.id: r for r in toxicity.severity(docs, toxicity.fit(docs, labels)).collect()}
     assert sum(found[10 + i].toxic == bool(x) for i, x in enumerate(toxic_of)) >= 195
     assert found[1].severity == found[2].severity and not found[1].toxic
     none = empty(labels)
     assert quality.quality_scores(docs, quality.fit(docs, none)).count() == docs.count()
-    assert toxicity.severity(docs, toxicity.fit(docs, toxicity.graded(none))).count() == docs.count()
+    assert toxicity.severity(docs, toxicity.fit(docs, none)).count() == docs.count()
     assert quality.quality_scores(empty(docs), quality.fit(docs, labels)).count() == 0
 
 
@@ -642,7 +642,7 @@ def test_grades_of_given_severities(spark):
         g = rng.choice([0, 0, 1, 2, 3])
         rows.append((i, " ".join(rng.sample([rng.choice(WORDS) for _ in range(40)] + ["vile"] * (g * g), 40 + g * g)), g))
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, g) for k, _, g in rows], "doc_id long, grade int")
-    model = toxicity.fit(docs, labels, most={g: 300 for g in range(4)})
+    model = toxicity.fit(docs, labels, "grade", {g: 300 for g in range(4)})
     assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
     found = {r.id: r for r in toxicity.severity(docs, model).collect()}
     mean = [np.mean([found[k].severity for k, _, g in rows if g == h]) for h in range(4)]

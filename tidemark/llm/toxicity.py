@@ -16,7 +16,7 @@ from tidemark.llm.decontaminate import words_of
 from tidemark.llm.quality import labelled_sample
 
 #: Labelled rows of each grade that the model is fitted on, at most: those of the smallest hash of their id.
-SAMPLE = {0: 1500, 1: 500, 2: 300}
+SAMPLE = {0: 1500, 1: 700}
 #: A word or prefix is a feature if this share of the toxic sample has it, its log odds ratio is as large as
 #: that, and so many standard errors above zero.
 LEAST_SHARE, LEAST_ODDS, LEAST_Z = 0.02, 2.0, 3.5
@@ -143,8 +143,12 @@ def best_ridge(counts: np.ndarray, grades: np.ndarray, words: dict[bytes, int])
     return max(RIDGES, key=score)
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", most: dict[int, int] | None = None) -> Model:
-    """Learns from a bounded sample of the labelled texts outside the held-out fold: of each grade of ``grade_col`` (0, 1, ...) at most ``most``, SAMPLE by default."""
+def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", most: dict[int, int] | None = None) -> Model:
+    """Learns from a bounded sample of the labelled texts outside the held-out fold: of each grade of ``grade_col`` (0, 1, ...) at most ``most``, SAMPLE by default.
+
+    Grades are the labels': as many thresholds are learned as the labels have grades above 0. Labels that only
+    say toxic or not have one.
+    """
     sample, _ = labelled_sample(docs, labels, grade_col, SAMPLE if most is None else most)
 
     def pack(batches):
@@ -162,14 +166,6 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", most: dict
     return train(counts, grades, finder.at, best_ridge(counts, grades, finder.at))
 
 
-def graded(labels: DataFrame) -> DataFrame:
-    """``labels`` with a grade for want of one: 0 unless toxic, 1 if toxic, 2 if toxic in a text of poor quality.
-
-    So the order comes from the labels alone, not from the words that are the features.
-    """
-    return labels.withColumn("grade", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)))
-
-
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, grade, toxic, n_terms) for each row of ``docs``.
 
