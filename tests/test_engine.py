@@ -1,4 +1,4 @@
-"""Properties of the operators, and of the simulator against conservation laws."""
+"""Properties of the operators."""
 
 import datetime
 import json
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import analysis, features, metrics, panel, periods, simulate, study, universe
+from tidemark.operators import analysis, features, lookups, metrics, panel, periods, study, universe
 from tidemark.sources import files
 
 DAY = datetime.date(2015, 1, 1)
@@ -71,7 +71,7 @@ def test_history_needs_unbroken_sessions(spark):
 
 def test_constituents(spark):
     d = lambda y: datetime.date(y, 1, 1)
-    rows = [(" aa ", "A", "tech", d(2000), d(2001)), ("AA", "B", None, d(2005), None), ("BB", None, "Energy", d(2003), d(2002)), (None, "x", "x", d(2000), None)]
+    rows = [(" aa ", "A", " TECHNOLOGY", d(2000), d(2001)), ("AA", "B", None, d(2005), None), ("BB", None, "Energy", d(2003), d(2002)), (None, "x", "x", d(2000), None)]
     con = universe.normalize_constituents(spark.createDataFrame(rows, "code string, name string, sector string, start_date date, end_date date"), F.lit("2010-01-01").cast("date"), ("Energy",))
     got = {(r.code, r.occurrence): r for r in con.collect()}
     assert set(got) == {("AA", 1), ("AA", 2)} and got["AA", 2].is_latest and got["AA", 1].suspect
@@ -91,36 +91,65 @@ def test_detectors_and_exclusions(spark):
     assert universe.exclude(df, x, ("close_adj",)).filter("close_adj IS NOT NULL").count() == 0
 
 
-def simulated(spark, price, n_names=4, days=24, haircut=0.0, dead=None, cost=0.0, capital=100_000.0):
-    rows = []
-    for t in range(days):
-        for k in range(n_names):
-            p = price(t, k) if dead is None or not (k == 0 and t > dead) else None
-            rows.append((t, k, p, p, price(min(t, dead) if dead is not None and k == 0 else t, k), dead if dead is not None and k == 0 else days, 0.0))
-    df = spark.createDataFrame(rows, "t int, ticker long, open_adj double, open_raw double, px_ff double, dead_after int, rf_period double")
-    sel = spark.createDataFrame([("r", t, k, k + 1) for t in range(days) for k in range(n_names)], "run_id string, t int, ticker long, ord int")
-    runs = study.run_rows(spark, Config(), [{"run_id": "r", "n_names": n_names, "haircut": haircut, "commission": cost, "spread_bps": 0.0, "capital": capital}])
-    folded = simulate.fold(df, sel, runs).persist()
-    return [r.equity for r in simulate.period_totals(folded, runs).orderBy("t").collect()], folded
-
-
-def test_flat_world_conserves_capital_and_costs_bite(spark):
-    equity, _ = simulated(spark, lambda t, k: 100.0)
-    assert all(abs(e - 100_000) < 1e-6 for e in equity)
-    costly, _ = simulated(spark, lambda t, k: 100.0, cost=10.0)
-    assert costly[-1] < 100_000 and len(costly) == 24
-
-
-def test_contributions_sum_to_profit(spark):
-    equity, folded = simulated(spark, lambda t, k: 100.0 * (1.01 + 0.002 * k) ** t)
-    pnl = folded.filter("ticker >= 0").agg(F.sum("pnl")).first()[0]
-    assert abs(pnl - (equity[-1] - 100_000)) < 1e-4 and pnl > 0
-
-
-def test_haircut_on_delisting(spark):
-    soft, _ = simulated(spark, lambda t, k: 100.0, dead=10)
-    hard, _ = simulated(spark, lambda t, k: 100.0, dead=10, haircut=-1.0)
-    assert abs(soft[-1] - 100_000) < 1e-6 and hard[-1] < 80_000
+def test_baskets_and_turnover(spark):
+    rows = [(t, k, 100.0 * (1.01 + 0.01 * k) ** t if not (k == 1 and t == 3) else None) for t in range(4) for k in range(3)]
+    px = spark.createDataFrame(rows, "t int, ticker long, px_ff double")
+    picks = spark.createDataFrame([("a", 0, 0), ("a", 0, 1), ("a", 1, 1), ("a", 1, 2), ("a", 2, 1), ("a", 3, 2)], "run_id string, t int, ticker long")
+    got = {r.t: r for r in periods.basket_returns(picks, px).collect()}
+    assert abs(got[0].r - 0.015) < 1e-9 and got[0].turnover == 1.0 and abs(got[1].r - 0.025) < 1e-9 and got[1].turnover == 0.5
+    assert got[2].r is None and got[2].turnover == 0.0 and got[3].turnover == 1.0 and got[3].r is None
+
+
+def test_lookups(spark):
+    d = lambda m, k=1: datetime.date(2020, m, k)
+    cal = panel.number_sessions(spark.createDataFrame([(d(2),), (d(4),), (d(6),)], "date date"))
+    asked = spark.createDataFrame([(d(1),), (d(2),), (d(3),), (d(7),), (d(3),), (None,)], "date date")
+    got = {r.date.month: (r.at_or_before, r.at_or_after) for r in lookups.as_of(asked, cal).collect()}
+    assert got == {1: (None, 0), 2: (0, 0), 3: (0, 1), 7: (2, None)}
+    rows = spark.createDataFrame([(1, d(1, 5), 2.0), (1, d(1, 9), None), (1, d(2, 1), None), (2, d(1, 1), 3.0)], "ticker long, date date, x double")
+    assert sorted((r.ticker, r.month.month, r.x) for r in lookups.month_end(rows, "x", "ticker").collect()) == [(1, 1, 2.0), (2, 1, 3.0)]
+    listed = spark.createDataFrame([(1,), (1,), (None,)], "ticker long")
+    assert lookups.among(rows, listed, "ticker").count() == 3 and lookups.among(rows, listed, "ticker", keep=False).count() == 1
+    bins = [(r.bin, r.n) for r in lookups.histogram(spark.createDataFrame([(0.0,), (0.1,), (0.5,), (1.0,), (None,)], "x double"), "x", 4).orderBy("bin").collect()]
+    assert bins == [(0, 2), (1, 0), (2, 1), (3, 1)] and lookups.histogram(rows.filter("false"), "x").count() == 0
+    lanes = {r.ticker: r.x for r in lookups.lanes(spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "B"), (5, "C")], "ticker long, sector string"), ("A", "B"), 0.4).collect()}
+    assert all(abs(lanes[k] - v) < 1e-12 for k, v in {1: -0.4, 2: 0.0, 3: 0.4, 4: 1.0}.items()) and lanes[5] is None
+    assert spark.createDataFrame([(d(3),)], "d date").select(lookups.month_label("d")).first()[0] == "March 2020"
+    run = spark.createDataFrame([("r", t, 0.01) for t in range(3)], "run_id string, t int, r double")
+    assert [round(r.p, 6) for r in lookups.running_sum(run, scale=100.0, out="p").orderBy("t").collect()] == [1.0, 2.0, 3.0]
+
+
+def test_exclusion_report_records_absent_tickers_and_overlaps(spark):
+    prices = spark.createDataFrame([(1, DAY + datetime.timedelta(t), 100.0 if t != 3 else None, 50.0) for t in range(10)], "ticker long, date date, close_adj double, close_raw double")
+    day = lambda t: DAY + datetime.timedelta(t)
+    rows = [(0, 1, day(0), day(4)), (1, 1, day(2), day(6)), (2, 9, None, None), (3, 1, None, None)]
+    report = universe.exclusion_report(prices, spark.createDataFrame(rows, "ord long, ticker long, start_date date, end_date date"), ("close_adj", "close_raw"))
+    assert sorted((r.ticker, r.applied, r.removed) for r in report.collect()) == [(1, True, 2), (1, True, 3), (1, True, 5), (9, False, 0)]
+
+
+def test_feasibility_and_coverage_by_year(spark):
+    con = spark.createDataFrame([("A", DAY, True, False), ("B", DAY, True, False), ("C", DAY, True, False), ("D", DAY, True, True), ("E", DAY, False, False)], "code string, end_date date, is_latest boolean, is_active_now boolean")
+    prices = spark.createDataFrame([("A", DAY - datetime.timedelta(29), 1.0), ("B", DAY - datetime.timedelta(31), 1.0), ("B", DAY, None)], "code string, date date, close_adj double")
+    report = universe.feasibility(con, prices)
+    assert {r.code: r.outcome for r in report.collect()} == {"A": "ok", "B": "truncated", "C": "no data"}
+    assert universe.feasibility_summary(report).first().verdict == "insufficient"
+    panel_ = spark.createDataFrame([(datetime.date(2020, 1, 31), 1, 1.0, True), (datetime.date(2020, 1, 31), 2, None, True), (datetime.date(2020, 2, 28), 1, 1.0, False)], "date date, ticker long, close_adj double, in_universe boolean")
+    assert [(r.members, r.priced, r.missing, r.coverage) for r in universe.coverage(panel_).orderBy("month").collect()] == [(2, 1, 1, 0.5), (0, 0, 0, None)]
+    row = universe.coverage_by_year(panel_, least=2).first()
+    assert row.coverage == 0.5 and row.members == 1.0 and row.thin
+
+
+def test_performance_with_dated_rates(spark):
+    x = [0.03, -0.02, 0.01, -0.04, 0.05]
+    run = spark.createDataFrame([("r", t, v) for t, v in enumerate(x)] + [("r", 9, None)], "run_id string, t int, r double")
+    rf = spark.createDataFrame([(0, 0.01), (3, 0.02)], "t int, rf_period double")
+    e = [0.02, -0.02, 0.01, -0.06, 0.05]
+    sd = lambda v: (sum((a - sum(v) / len(v)) ** 2 for a in v) / (len(v) - 1)) ** 0.5
+    got = metrics.performance(run, rf).first()
+    assert got.n == 5 and abs(got.sharpe - sum(e) / 5 / sd(e) * 12**0.5) < 1e-12 and abs(got.sortino - sum(e) / 5 / sd([-0.02, -0.06]) * 12**0.5) < 1e-12
+    best = metrics.drop_best(run, (1, 5)).collect()
+    grown = math.prod(1 + v for v in x)
+    assert len(best) == 1 and abs(best[0].total - grown + 1) < 1e-12 and abs(best[0].share - (grown - grown / 1.05)) < 1e-12
 
 
 def test_metrics(spark):
@@ -153,14 +182,21 @@ def test_rebalance_calendar(spark):
     assert got == [(datetime.date(2020, 1, 28), datetime.date(2020, 2, 2)), (datetime.date(2020, 2, 28), datetime.date(2020, 3, 2))]
 
 
-def test_verdict_and_export():
+def test_verdict_and_export(spark):
     months = [(datetime.date(2000 + i // 12, i % 12 + 1, 1), 0.02 + 0.001 * (i % 3), 0.01) for i in range(60)]
-    out = study.verdict(months, "top", "bottom", nw_t=3.0, p_random=0.01)
-    assert out.level == "convergent" and out.to_dict()["limits"]
-    flipped = study.verdict([(d, b, a) for d, a, b in months], "top", "bottom")
-    assert flipped.level == "weak"
-    assert json.loads(study.export(Config(), [{"cagr": float("nan")}], out, months))["metrics"] == [{"cagr": None}]
-    assert Config().fingerprint() != Config(seed=1).fingerprint() and Config.daily(1).horizons == (21, 63, 126)
+    df = spark.createDataFrame(months, "date date, win double, lose double")
+    passive = df.select("date", F.lit(0.005).alias("r"))
+    out = study.verdict(df, "top", "bottom", cost=(0.01, 0.02), persistence=(0.7, 0.6), p_random=0.01, stress_gap=0.1, reference=passive)
+    assert out.level == "convergent" and {n for n, _, _ in out.evidence} == {"sign", "halves", "years", "rolling_36", "stress", "cost", "persistence", "random", "reference"}  # a constant series has no skewness
+    n = out.numbers
+    assert n["n"] == 60 and n["years"] == 5 and n["low"] < 12 * n["mean"] < n["high"] and abs(n["mean"] - 0.011) < 1e-12 and n["p_sign"] == 0.5**60 and out.claims() and out.limits()
+    flipped = study.verdict(df.select("date", F.col("lose").alias("win"), F.col("win").alias("lose")), "top", "bottom")
+    assert flipped.level == "weak" and len(flipped.evidence) == 4 and any("against" in x for x in flipped.limits())
+    nothing = study.verdict(df.filter("false"), "top", "bottom")
+    assert nothing.level == "unknown" and nothing.limits()
+    whole = json.loads(study.export(Config(), [{"cagr": float("nan")}], out, monthly={"top": months}))
+    assert whole["metrics"] == [{"cagr": None}] and len(whole["caveats"]) == 14 and whole["caveats"][0]["direction_of_bias"] and whole["monthly"]["top"][0][0] == "2000-01-01"
+    assert Config().fingerprint() != Config(seed=1).fingerprint() and Config.daily(1).horizons == (21, 63, 126) and Config.daily(6).trail_weeks == 26
     with pytest.raises(ValueError):
         Config.daily(2)
 
@@ -178,7 +214,30 @@ def test_files(spark, tmp_path):
     files.save_manifest(spark, str(tmp_path), {"a": 1})
     assert files.load_manifest(spark, str(tmp_path)) == {"a": 1}
     files.save_table(spark.range(3).toDF("a"), str(tmp_path), "meta")
-    assert files.load_table(spark, str(tmp_path), "meta").count() == 3 and "meta" not in files.missing(spark, str(tmp_path)) and "prices" in files.missing(spark, str(tmp_path))
+    assert files.load_table(spark, str(tmp_path), "meta").count() == 3 and "meta" not in files.missing(spark, str(tmp_path)) and "close_adj" in files.missing(spark, str(tmp_path))
+    assert files.load_exclusions(spark, str(tmp_path / "absent.csv")).count() == files.load_exclusions(spark, "none").count() == 0
+    seen = files.exclusions_manifest(spark, str(tmp_path / "x.csv"))
+    import hashlib
+
+    assert seen["exists"] and seen["rows"] == 1 and seen["tickers"] == ["AA"] and seen["fingerprint"] == hashlib.sha256((tmp_path / "x.csv").read_bytes()).hexdigest()[:12]
+    assert not files.exclusions_manifest(spark, str(tmp_path / "absent.csv"))["exists"] and files.exclusions_manifest(spark, "NONE")["disabled"]
+    (tmp_path / "spells.csv").write_text("ticker,start_date,end_date\naa,2000-01-01,2001-01-01\nAA,2005-01-01,\n,2000-01-01,\nbb,never,\n")
+    (tmp_path / "now.csv").write_text("Symbol,Security,GICS Sector,GICS Sub-Industry\n AA ,First,Energy,x\nAA,Second,Utilities,y\n")
+    con = files.load_constituents(files.read_spells(spark, str(tmp_path / "spells.csv")), files.read_current(spark, str(tmp_path / "now.csv")))
+    assert [(r.code, r.name, r.sector, r.is_active_now) for r in con.orderBy("start_date").collect()] == [("AA", "Second", "Utilities", False), ("AA", "Second", "Utilities", True)]
+    with pytest.raises(ValueError):
+        files.read_current(spark, str(tmp_path / "spells.csv"))
+    day = spark.createDataFrame([(DAY, "A", 1.5), (DAY, "B", None)], "date date, ticker string, value double")
+    folder = str(tmp_path / "set")
+    files.save_dataset(spark, folder, {n: day for n in files.PANELS}, spark.createDataFrame([("A", "a", "x")], "ticker string, name string, sector string"), files.constant_risk_free(spark, "2024-01-01", "2024-01-07"), {"demo_data": "no"})
+    tables_, manifest = files.load_dataset(spark, folder)
+    assert set(tables_) == {*files.PANELS, *files.TABLES} and [tuple(r) for r in tables_["open_adj"].collect()] == [(DAY, "A", 1.5), (DAY, "B", None)] and not files.is_demo(manifest) and files.is_demo({"demo_data": "1"})
+    with pytest.raises(FileNotFoundError):
+        files.load_dataset(spark, str(tmp_path))
+    name, rate = files.first_risk_free(spark, [("a", None), ("b", spark.createDataFrame([(DAY, 5.0)], "date date, y double"))], "2024-01-01", "2024-01-07")
+    assert name == "b" and abs((1 + rate.first().rf) ** 252 - 1.05) < 1e-9 and files.first_risk_free(spark, [], "2024-01-01", "2024-01-07")[0] == "constant 2%"
+    files.save_proposals(spark.createDataFrame([("AA", DAY, DAY, "why")], "ticker string, start_date date, end_date date, reason string"), str(tmp_path / "new"))
+    assert files.load_exclusions(spark, str(tmp_path / "new")).first().reason == "why"
     spark.createDataFrame([(DAY, 1.0, float("nan"))], "date date, A double, B double").write.parquet(str(tmp_path / "wide"))
     assert {r.ticker: r.close for r in files.load_wide_panel(spark, str(tmp_path / "wide"), "close").collect()} == {"A": 1.0, "B": None}
     assert files.constant_risk_free(spark, "2024-01-01", "2024-01-07").count() == 5

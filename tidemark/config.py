@@ -1,4 +1,7 @@
-"""Study parameters. Horizons and windows count sessions of the calendar in use."""
+"""Study parameters. Horizons and windows count sessions of the calendar in use.
+
+Fixed values: the defaults of ``daily``, and its horizons, slope windows and trail weeks by holding period.
+"""
 
 from __future__ import annotations
 
@@ -27,8 +30,7 @@ class Config:
     commission: float = 1.5
     spread_bps: float = 3.0
     rf_monthly: float = 0.002
-    haircuts: tuple[float, ...] = (0.0, -0.3, -0.5, -1.0)
-    n_bootstrap: int = 20
+    n_bootstrap: int = 1000
     seed: int = 12345
 
     @classmethod
@@ -37,7 +39,12 @@ class Config:
         if holding_months not in by_holding:
             raise ValueError(f"holding_months must be one of {sorted(by_holding)}")
         horizons, slope = by_holding[holding_months]
-        return cls(**{"holding_months": holding_months, "horizons": horizons, "slope_window": slope, "sma_window": 200, "min_history": 273, "min_count": 20, "n_names": 30, "n_bootstrap": 1000} | more)
+        return cls(**{"holding_months": holding_months, "horizons": horizons, "slope_window": slope, "sma_window": 200, "min_history": 273, "min_count": 20, "n_names": 30} | more)
+
+    @property
+    def trail_weeks(self) -> int:
+        """Weeks of a trail on the map, by the holding period."""
+        return {1: 4, 3: 13, 6: 26}[self.holding_months]
 
     @property
     def n_tranches(self) -> int:

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Market regimes, bounds included.
+# Market regimes (label, first day, last day), bounds included.
 SUBPERIODS = (
-    ("2000-01-01", "2002-12-31"),
-    ("2003-01-01", "2007-10-31"),
-    ("2007-11-01", "2009-06-30"),
-    ("2009-07-01", "2019-12-31"),
-    ("2020-01-01", "2020-12-31"),
-    ("2021-01-01", "2022-12-31"),
-    ("2023-01-01", "9999-12-31"),
+    ("dot-com crash", "2000-01-01", "2002-12-31"),
+    ("recovery 2003-2007", "2003-01-01", "2007-10-31"),
+    ("financial crisis", "2007-11-01", "2009-06-30"),
+    ("bull 2009-2019", "2009-07-01", "2019-12-31"),
+    ("covid 2020", "2020-01-01", "2020-12-31"),
+    ("rates 2021-2022", "2021-01-01", "2022-12-31"),
+    ("recent", "2023-01-01", "2100-01-01"),
 )
 
 
@@ -37,13 +37,17 @@ def equity_curve(returns: DataFrame) -> DataFrame:
 
 
 def max_drawdown(curve: DataFrame) -> DataFrame:
-    """(run_id, depth, trough, peak, recovery, months) of ``curve`` (run_id, date, equity, drawdown); first extremes count."""
-    low = curve.groupBy("run_id").agg(F.min(F.struct("drawdown", "date")).alias("x"), F.max("date").alias("last")).select("run_id", F.col("x.drawdown").alias("depth"), F.col("x.date").alias("trough"), "last")
-    before = curve.join(low, "run_id").filter("date <= trough").groupBy("run_id").agg(F.min(F.struct((-F.col("equity")).alias("e"), "date")).alias("p"))
-    at = low.join(before, "run_id").select("run_id", "depth", "trough", "last", F.col("p.date").alias("peak"), (-F.col("p.e")).alias("height"))
-    after = curve.join(at, "run_id").filter("date > trough AND equity >= height").groupBy("run_id").agg(F.min("date").alias("back"))
-    out = at.join(after, "run_id", "left").withColumn("recovery", F.coalesce("back", "last"))
-    return out.select("run_id", "depth", "trough", "peak", "recovery", F.round(F.datediff("recovery", "peak") / 30.44).cast("int").alias("months"))
+    """(run_id, depth, trough, peak, recovery, months) of ``curve`` (run_id, date, equity, drawdown); first extremes count.
+
+    One pass: a run's series, which has one row per period, is gathered in its own group.
+    """
+    points = curve.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("date", "equity", "drawdown"))).alias("p"), F.min(F.struct("drawdown", "date")).alias("low"))
+    before = F.filter("p", lambda x: x["date"] <= F.col("low.date"))
+    at = points.withColumn("top", F.array_max(F.transform(before, lambda x: x["equity"])))
+    at = at.withColumn("peak", F.filter("p", lambda x: x["equity"] == F.col("top"))[0]["date"])
+    back = F.try_element_at(F.filter("p", lambda x: (x["date"] > F.col("low.date")) & (x["equity"] >= F.col("top"))), F.lit(1))["date"]
+    out = at.withColumn("recovery", F.coalesce(back, F.element_at("p", -1)["date"]))
+    return out.select("run_id", F.col("low.drawdown").alias("depth"), F.col("low.date").alias("trough"), "peak", "recovery", F.round(F.datediff("recovery", "peak") / 30.44).cast("int").alias("months"))
 
 
 def newey_west(series: DataFrame, lags: int = 3) -> DataFrame:
@@ -57,53 +61,56 @@ def newey_west(series: DataFrame, lags: int = 3) -> DataFrame:
     return out.select("run_id", "n", "mean", F.when((F.col("n") >= 8) & (F.col("s") > 0), F.col("mean") / F.sqrt(F.col("s") / F.col("n"))).alias("t_stat"))
 
 
-def performance(returns: DataFrame, rf: float) -> DataFrame:
-    """(run_id, n, cagr, vol, sharpe, sortino, hit_rate, total) with a constant rate per period."""
-    x = F.col("r") - rf
-    sd, down = F.stddev_samp(x), F.stddev_samp(F.when(x < 0, x))
+def performance(returns: DataFrame, rf: float | DataFrame) -> DataFrame:
+    """(run_id, n, cagr, vol, sharpe, sortino, hit_rate, total) with a constant rate per period, or rates ``rf`` (t, rf_period), 0 where there is none."""
+    if isinstance(rf, DataFrame):
+        dated = returns.join(rf.select("t", "rf_period"), "t", "left").withColumn("_rf", F.coalesce("rf_period", F.lit(0.0)))
+    else:
+        dated = returns.withColumn("_rf", F.lit(rf))
+    dated = dated.filter("r IS NOT NULL")
+    x = F.col("r") - F.col("_rf")
     n = F.count("r")
-    out = returns.groupBy("run_id").agg(n.alias("n"), _growth().alias("total"), F.stddev_samp("r").alias("sd"), F.avg(x).alias("mean"), sd.alias("xs"), down.alias("xd"), F.avg((F.col("r") > 0).cast("double")).alias("hit_rate"))
+    out = dated.groupBy("run_id").agg(n.alias("n"), _growth().alias("total"), F.stddev_samp("r").alias("sd"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("xs"), F.stddev_samp(F.when(x < 0, x)).alias("xd"), F.avg((F.col("r") > 0).cast("double")).alias("hit_rate"))
     ratio = lambda c: F.when(F.col(c) > 0, F.col("mean") / F.col(c) * math.sqrt(12))
     return out.select("run_id", "n", _cagr(F.col("n"), F.col("total")).alias("cagr"), (F.col("sd") * math.sqrt(12)).alias("vol"), ratio("xs").alias("sharpe"), ratio("xd").alias("sortino"), "hit_rate", "total")
 
 
-def run_metrics(totals: DataFrame, warm_up: int, rf: float) -> DataFrame:
-    """Metrics of simulated runs (run_id, t, equity, ...): returns after the warm-up, costs, turnover, positions and cash besides."""
-    w = W.partitionBy("run_id").orderBy("t")
-    moved = totals.withColumn("r", F.try_divide("equity", F.lag("equity").over(w)) - 1)
-    base = performance(moved.filter(F.col("t") >= warm_up).filter("r IS NOT NULL"), rf)
-    late = F.col("t") >= warm_up
-    rest = totals.groupBy("run_id").agg(
-        F.avg(F.when(late, F.col("turnover"))).alias("turnover"),
-        F.avg(F.when(late, F.col("n_positions"))).alias("positions"),
-        (F.avg(F.when(late, F.try_divide("costs", "equity"))) * 12).alias("cost_drag"),
-        F.sum("costs").alias("total_costs"),
-        F.avg(F.when(late, F.col("cash_weight"))).alias("cash"),
-        F.max_by("equity", "t").alias("final_value"),
-    )
-    return base.join(rest, "run_id")
-
-
-def subperiods(returns: DataFrame, bounds: tuple[tuple[str, str], ...] = SUBPERIODS, least: int = 6) -> DataFrame:
-    """(run_id, start, n, cagr) of each regime with enough months."""
-    which = reduce(lambda a, b: F.when(F.col("date").between(F.lit(b[0]).cast("date"), F.lit(b[1]).cast("date")), F.lit(b[0])).otherwise(a), bounds, F.lit(None).cast("string"))
-    out = returns.withColumn("start", which).filter("start IS NOT NULL").groupBy("run_id", "start").agg(F.count("r").alias("n"), _growth().alias("g"))
-    return out.filter(F.col("n") >= least).select("run_id", "start", "n", _cagr(F.col("n"), F.col("g")).alias("cagr"))
+def basket_metrics(baskets: DataFrame, rf: DataFrame, round_trip_bps: float) -> DataFrame:
+    """``performance`` of baskets (run_id, t, date, r, n, turnover), and max_dd, recovery_months, turnover, positions, cost_drag and final_value (of 1) besides.
 
+    cost_drag is what the turnover costs a year at ``round_trip_bps`` for each name that is replaced.
+    """
+    series = baskets.filter("r IS NOT NULL")
+    held = baskets.groupBy("run_id").agg(F.avg("turnover").alias("turnover"), F.avg("n").alias("positions"))
+    low = max_drawdown(equity_curve(series)).select("run_id", F.col("depth").alias("max_dd"), F.col("months").alias("recovery_months"))
+    out = performance(series, rf).withColumnRenamed("total", "final_value").join(low, "run_id").join(held, "run_id")
+    return out.withColumn("cost_drag", F.col("turnover") * round_trip_bps / 1e4 * 12)
 
-def drop_best(returns: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """(run_id, k, cagr) without each run's k best months."""
-    rank = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("r"), "t"))
-    each = returns.withColumn("i", rank).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("i > k")
-    out = each.groupBy("run_id", "k").agg(F.count("r").alias("n"), _growth().alias("g"))
-    return out.select("run_id", "k", _cagr(F.col("n"), F.col("g")).alias("cagr"))
 
+def subperiods(returns: DataFrame, bounds: tuple[tuple[str, str, str], ...] = SUBPERIODS, least: int = 6) -> DataFrame:
+    """(run_id, label, n, total, cagr, vol) of each regime with enough months."""
+    inside = lambda b: F.col("date").between(F.lit(b[1]).cast("date"), F.lit(b[2]).cast("date"))
+    which = reduce(lambda a, b: F.when(inside(b), F.lit(b[0])).otherwise(a), reversed(bounds), F.lit(None).cast("string"))
+    out = returns.withColumn("label", which).filter("label IS NOT NULL").groupBy("run_id", "label").agg(F.count("r").alias("n"), _growth().alias("g"), F.stddev_samp("r").alias("sd"))
+    return out.filter(F.col("n") >= least).select("run_id", "label", "n", (F.col("g") - 1).alias("total"), _cagr(F.col("n"), F.col("g")).alias("cagr"), (F.col("sd") * math.sqrt(12)).alias("vol"))
 
-def rolling_sums(series: DataFrame, window: int) -> DataFrame:
-    """(run_id, n, win_share, median, worst) of full sums over ``window`` periods."""
-    w = W.partitionBy("run_id").orderBy("t").rowsBetween(1 - window, 0)
-    full = series.withColumn("s", F.when(F.count("r").over(w) == window, F.sum("r").over(w))).filter("s IS NOT NULL")
-    return full.groupBy("run_id").agg(F.count("*").alias("n"), F.avg((F.col("s") > 0).cast("double")).alias("win_share"), F.median("s").alias("median"), F.min("s").alias("worst"))
+
+def drop_best(returns: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(run_id, k, cagr, total, without, share): each run's growth with and without its k best months, and the difference; runs of k months or fewer are left out."""
+    rank = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("r"), "t"))
+    each = returns.filter("r IS NOT NULL").withColumn("i", rank).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    left = F.col("i") > F.col("k")
+    out = each.groupBy("run_id", "k").agg(F.count_if(left).alias("n"), _growth().alias("all"), F.product(F.when(left, 1 + F.col("r")).otherwise(1.0)).alias("g")).filter("n > 0")
+    return out.select("run_id", "k", _cagr(F.col("n"), F.col("g")).alias("cagr"), (F.col("all") - 1).alias("total"), (F.col("g") - 1).alias("without"), (F.col("all") - F.col("g")).alias("share"))
+
+
+def rolling_sums(series: DataFrame, *windows: int) -> DataFrame:
+    """(run_id, window, n, win_share, median, worst) of full sums over each number of periods of ``windows``."""
+    by = W.partitionBy("run_id").orderBy("t")
+    full = lambda n: F.when(F.count("r").over(by.rowsBetween(1 - n, 0)) == n, F.sum("r").over(by.rowsBetween(1 - n, 0)))
+    each = F.array(*[F.struct(F.lit(n).alias("window"), full(n).alias("s")) for n in windows])
+    sums = series.withColumn("each", each).select("run_id", F.explode("each").alias("x")).select("run_id", "x.window", "x.s").filter("s IS NOT NULL")
+    return sums.groupBy("run_id", "window").agg(F.count("*").alias("n"), F.avg((F.col("s") > 0).cast("double")).alias("win_share"), F.median("s").alias("median"), F.min("s").alias("worst"))
 
 
 def empirical_p(null: DataFrame, observed: Column, value: str) -> DataFrame:

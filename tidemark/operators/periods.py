@@ -29,11 +29,12 @@ def rf_periods(periods: DataFrame, daily: DataFrame) -> DataFrame:
 def period_panel(signals: DataFrame, periods: DataFrame) -> DataFrame:
     """(t, ticker, rs_score, rs_slope, eligible, band, open_adj, open_raw, px_ff, dead_after): signals at the decision, prices at the execution.
 
-    px_ff is the last known adjusted open, dead_after the last period with one, or -1.
+    The execution is the session after the decision, so that one pass over each ticker's sessions finds both. px_ff is the last known adjusted open, dead_after the last period with one, or -1.
     """
-    at = signals.join(F.broadcast(periods.select(F.col("t").alias("p"), "decision_date")), F.col("date") == F.col("decision_date")).select(F.col("p").alias("t"), "ticker", "rs_score", "rs_slope", "eligible", "band")
-    px = signals.join(F.broadcast(periods.select(F.col("t").alias("p"), "exec_date")), F.col("date") == F.col("exec_date")).select(F.col("p").alias("t"), "ticker", "open_adj", "open_raw")
-    out = forward_fill(at.join(px, ["t", "ticker"], "left"), "open_adj", "px_ff")
+    w = W.partitionBy("ticker").orderBy("t")
+    nxt = signals.withColumns({c: F.lead(c).over(w) for c in ("open_adj", "open_raw")})
+    at = nxt.withColumnRenamed("t", "session").join(periods.select("t", "decision_date"), F.col("date") == F.col("decision_date"))
+    out = forward_fill(at.select("t", "ticker", "rs_score", "rs_slope", "eligible", "band", "open_adj", "open_raw"), "open_adj", "px_ff")
     dead = F.max(F.when(F.col("open_adj").isNotNull(), F.col("t"))).over(W.partitionBy("ticker"))
     return out.withColumn("dead_after", F.coalesce(dead, F.lit(-1)))
 
@@ -77,3 +78,16 @@ def baskets(panel: DataFrame, cfg: Config) -> DataFrame:
         .union(select_band(panel, "mid", mid, cfg.n_names))
         .union(select_all(panel, "universe"))
     )
+
+
+def basket_returns(selections: DataFrame, panel: DataFrame) -> DataFrame:
+    """(run_id, t, r, n, turnover) of equally weighted baskets from one execution to the next.
+
+    r is null in a period none of whose names has a next price; turnover is the share of names that the period
+    before didn't hold.
+    """
+    nxt = F.lead("px_ff").over(W.partitionBy("ticker").orderBy("t")) / F.col("px_ff") - 1
+    held = selections.join(panel.select("t", "ticker", nxt.alias("r")), ["t", "ticker"])
+    before = F.lag("t").over(W.partitionBy("run_id", "ticker").orderBy("t"))
+    held = held.withColumn("new", F.coalesce(before < F.col("t") - 1, F.lit(True)))
+    return held.groupBy("run_id", "t").agg(F.avg("r").alias("r"), F.count("*").alias("n"), F.avg(F.col("new").cast("double")).alias("turnover"))

@@ -1,4 +1,4 @@
-"""Families of simulated runs, the verdict over them and its JSON export."""
+"""The verdict on a pair of return series, the caveats that go with it, and the JSON export."""
 
 from __future__ import annotations
 
@@ -7,56 +7,50 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import periods, simulate
-
-
-def run_rows(spark, cfg: Config, runs: list[dict]) -> DataFrame:
-    """The parameters of each run: the configuration's unless given."""
-    base = {"n_tranches": cfg.n_tranches, "n_names": cfg.n_names, "capital": cfg.capital, "commission": cfg.commission, "spread_bps": cfg.spread_bps, "max_share_price": cfg.max_share_price, "haircut": 0.0}
-    rows = [tuple((base | r)[k] for k in ("run_id", *base)) for r in runs]
-    return spark.createDataFrame(rows, "run_id string, n_tranches int, n_names int, capital double, commission double, spread_bps double, max_share_price double, haircut double")
-
-
-def as_runs(selections: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Selections of each (basket, run) pair under the name of the run."""
-    spark = selections.sparkSession
-    names = spark.createDataFrame(pairs, "run_id string, run string")
-    return selections.join(F.broadcast(names), "run_id").select(F.col("run").alias("run_id"), "t", "ticker", "ord")
-
-
-def baskets_run(panel: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """Selections and runs of the five baskets; the universe trades without cost."""
-    names = ["top", "bottom", "pullback", "mid"]
-    runs = [{"run_id": n} for n in names] + [{"run_id": "universe", "commission": 0.0, "spread_bps": 0.0}]
-    return periods.baskets(panel, cfg), run_rows(panel.sparkSession, cfg, runs)
-
-
-def cost_grid(panel: DataFrame, cfg: Config, bps: tuple[int, ...] = tuple(range(0, 201, 20))) -> tuple[DataFrame, DataFrame]:
-    """Top and bottom at round-trip costs from 0 to 200 basis points, half on each side."""
-    pairs = [(b, f"{b}@{c}") for b in ("top", "bottom") for c in bps]
-    runs = [{"run_id": r, "commission": 0.0, "spread_bps": float(r.split("@")[1]) / 2} for _, r in pairs]
-    return as_runs(periods.baskets(panel, cfg), pairs), run_rows(panel.sparkSession, cfg, runs)
-
-
-def delisting_stress(panel: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    pairs = [(b, f"{b}@{h}") for b in ("top", "bottom") for h in cfg.haircuts]
-    runs = [{"run_id": r, "haircut": float(r.split("@")[1])} for _, r in pairs]
-    return as_runs(periods.baskets(panel, cfg), pairs), run_rows(panel.sparkSession, cfg, runs)
-
-
-def random_draws(panel: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    draws = panel.sparkSession.range(cfg.n_bootstrap).select(F.col("id").cast("int").alias("draw"))
-    return periods.select_random(panel, draws, cfg.n_names, cfg.seed), run_rows(panel.sparkSession, cfg, [{"run_id": f"draw{i}"} for i in range(cfg.n_bootstrap)])
-
-
-def simulate_runs(panel: DataFrame, family: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(folded rows, period totals) of a family of runs."""
-    selections, runs = family
-    folded = simulate.fold(panel, selections, runs)
-    return folded, simulate.period_totals(folded, runs)
+from tidemark.operators import metrics
+
+#: What every export states: id, what is wrong, whom it favours, what is done about it.
+CAVEATS = (
+    ("delisted_prices", "Prices of names that left the universe may be missing, and such names crowd the weakest band.", "favours the weakest band", "report coverage of names that left"),
+    ("constituents_are_a_reconstruction", "Past members come from a reconstruction, whose errors grow towards the past.", "uncertain", "report members by year"),
+    ("price_coverage_start", "Prices may begin later than the list of members, and horizons need a warm-up.", "none; shortens the sample", "report first prices"),
+    ("sectors_only_for_current_members", "Sectors come from the current list, so that former members may have none.", "spoils sector-neutral bands of the past", "fill sectors where a source has them"),
+    ("todays_costs_applied_historically", "Today's costs are applied to all of the past.", "favours high turnover in early years", "report costs by turnover"),
+    ("sma200_filter_not_neutral", "A filter on the moving average is itself a bet on the trend.", "mixes the filter's effect with the selection's", "compare with and without the filter"),
+    ("price_cap_excludes_compounders", "Names above the price cap are left out, which are often ones that never split.", "against the strongest band", "report names above the cap"),
+    ("excluded_series", "Series with known errors are left out before anything is computed.", "errors would favour the weakest band", "keep exclusions in a file and report them"),
+    ("post_hoc_data_cleaning", "Exclusions were found by looking at results.", "favours whatever is sought", "give each one a reason outside the results; report both ways"),
+    ("ticker_reuse", "Symbols pass to other companies; earlier spells of such symbols are dropped.", "thins the past universe a little", "report suspect codes"),
+    ("recent_ipos_excluded", "A name needs a minimum history before it is ranked.", "leaves out volatile names on both sides", "none"),
+    ("index_addition_effect", "Names enter an index after they have risen, and so land in the strongest band.", "favours the strongest band", "check which date an entry carries"),
+    ("multiple_testing", "Many settings can be tried, and some pass by chance.", "overstates significance", "fix a configuration beforehand; show all results"),
+    ("long_short_not_implementable", "The spread of two bands ignores what short selling costs.", "overstates a long-short result", "use it to separate selection from the market"),
+)
+
+
+def evidence(monthly: DataFrame) -> DataFrame:
+    """One row of numbers about ``monthly`` (date, win, lose): the difference, its halves, years, rolling windows, skewness, growth.
+
+    The windows without a partition run over one row per month.
+    """
+    d = monthly.filter("win IS NOT NULL AND lose IS NOT NULL").withColumn("d", F.col("win") - F.col("lose"))
+    order = W.orderBy("date")
+    full = lambda n: F.when(F.count("d").over(order.rowsBetween(1 - n, 0)) == n, F.sum("d").over(order.rowsBetween(1 - n, 0)))
+    d = d.withColumns({"i": F.row_number().over(order), "n": F.count("*").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "s36": full(36), "s120": full(120)})
+    year = d.groupBy(F.year("date").alias("y")).agg(F.sum("d").alias("s")).agg(F.count_if(F.col("s") > 0).alias("years_up"), F.count("*").alias("years"))
+    first = F.col("i") <= F.floor(F.col("n") / 2)
+    share = lambda c: F.avg((F.col(c) > 0).cast("double"))
+    out = d.agg(
+        F.count("*").alias("n"), F.min("date").alias("start"), F.max("date").alias("end"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count_if(F.col("d") > 0).alias("up"),
+        F.avg(F.when(first, F.col("d"))).alias("half1"), F.avg(F.when(~first, F.col("d"))).alias("half2"),
+        share("s36").alias("share36"), F.median("s36").alias("median36"), F.min("s36").alias("worst36"), share("s120").alias("share120"), F.median("s120").alias("median120"),
+        F.skewness("win").alias("skew_win"), F.skewness("lose").alias("skew_lose"), F.product(1 + F.col("win")).alias("growth_win"), F.product(1 + F.col("lose")).alias("growth_lose"),
+    )
+    return out.crossJoin(year)  # one row each
 
 
 @dataclass
@@ -66,6 +60,7 @@ class Verdict:
     winner: str
     loser: str
     evidence: list[tuple[str, bool | None, str]] = field(default_factory=list)
+    numbers: dict = field(default_factory=dict)
 
     @property
     def share(self) -> float | None:
@@ -77,9 +72,31 @@ class Verdict:
         s = self.share
         return "unknown" if s is None else "convergent" if s >= 0.75 else "moderate" if s >= 0.55 else "weak"
 
+    def claims(self) -> list[str]:
+        n = self.numbers
+        out = [f"{self.winner} returned {12 * n['mean']:.2%} a year more than {self.loser} over {n['n'] / 12:.0f} years."] if n.get("mean") is not None else []
+        if n.get("share36") is not None:
+            out.append(f"It led in {n['share36']:.0%} of the windows of three years and in {n['years_up']} of {n['years']} years.")
+        return [*out, f"{sum(bool(f) for _, f, _ in self.evidence)} of {sum(f is not None for _, f, _ in self.evidence)} indicators point the same way; that is convergence, not proof."]
+
+    def limits(self) -> list[str]:
+        """What can't be said; never empty."""
+        n, out = self.numbers, []
+        if n.get("t") is None or abs(n["t"]) < 2:
+            out.append("That the difference is significant: its t statistic is below 2.")
+        if n.get("low") is not None and n["low"] < 0 < n["high"]:
+            out.append(f"That the difference is positive: its 95% interval goes from {n['low']:.2%} to {n['high']:.2%}.")
+        against = [name for name, f, _ in self.evidence if f is False]
+        if against:
+            out.append(f"That all indicators agree; against: {', '.join(against)}.")
+        return [*out, "That the past will repeat itself: the sample holds few regimes."]
+
     def to_dict(self) -> dict:
-        limits = ["Past returns of a reconstructed universe; no promise of later ones.", "Delisted series, lots and costs are approximations.", "Many variants were looked at; single p-values don't correct for that."]
-        return {"winner": self.winner, "loser": self.loser, "share": self.share, "level": self.level, "evidence": [{"name": n, "favourable": f, "detail": d} for n, f, d in self.evidence], "limits": limits}
+        return {
+            "winner": self.winner, "loser": self.loser, "share": self.share, "level": self.level, "numbers": self.numbers, "claims": self.claims(), "limits": self.limits(),
+            "evidence": [{"name": n, "favourable": f, "detail": d} for n, f, d in self.evidence],
+            "notice": "This is the direction in which indicators converge, not a statistical proof.",
+        }
 
 
 def sign_test(positive: int, n: int) -> float:
@@ -87,39 +104,40 @@ def sign_test(positive: int, n: int) -> float:
     return sum(math.comb(n, k) for k in range(positive, n + 1)) / 2**n
 
 
-def verdict(monthly: list[tuple], winner: str, loser: str, nw_t: float | None = None, p_random: float | None = None, stress_gap: float | None = None) -> Verdict:
-    """``monthly`` is (date, winner's return, loser's return) in order, one row per month on the driver."""
-    out = Verdict(winner, loser)
-    d = [(day, a - b) for day, a, b in monthly]
-    n = len(d)
-    mean = lambda x: sum(x) / len(x) if x else 0.0
-    values = [x for _, x in d]
+def verdict(monthly: DataFrame, winner: str, loser: str, *, cost: tuple[float, float] | None = None, persistence: tuple[float, float] | None = None, p_random: float | None = None, stress_gap: float | None = None, reference: DataFrame | None = None) -> Verdict:
+    """The verdict over ``monthly`` (date, win, lose): Spark gathers one row of numbers, of which the indicators are made.
+
+    ``cost`` and ``persistence`` are the winner's and the loser's, ``p_random`` the share of random draws that
+    did better, ``stress_gap`` the difference in the worst scenario, ``reference`` a passive series (date, r).
+    What isn't given, or can't be told, is no indicator.
+    """
+    n = evidence(monthly).first().asDict()
+    out = Verdict(winner, loser, numbers=n)
+    if not n["n"]:
+        return out
+    series = monthly.select(F.lit("d").alias("run_id"), F.row_number().over(W.orderBy("date")).alias("t"), (F.col("win") - F.col("lose")).alias("r")).filter("r IS NOT NULL")
+    half = 1.96 * (n["sd"] or 0.0) / math.sqrt(n["n"]) * 12
+    n |= {"t": metrics.newey_west(series).first()["t_stat"], "low": 12 * n["mean"] - half, "high": 12 * n["mean"] + half, "p_sign": sign_test(n["up"], n["n"])}
     add = lambda name, ok, detail: out.evidence.append((name, ok, detail))
-    add("sign", 12 * mean(values) > 0, f"{12 * mean(values):.4f} a year")
-    half = n // 2
-    add("halves", mean(values[:half]) > 0 and mean(values[half:]) > 0, f"{mean(values[:half]):.4f}, {mean(values[half:]):.4f}")
-    years: dict[int, float] = {}
-    for day, x in d:
-        years[day.year] = years.get(day.year, 0.0) + x
-    up = sum(x > 0 for x in years.values())
-    add("years", up > len(years) / 2, f"{up} of {len(years)}")
-    for w in (36, 120):
-        sums = [sum(values[i : i + w]) for i in range(n - w + 1)]
-        if sums or w == 36:
-            add(f"rolling_{w}", bool(sums) and sum(s > 0 for s in sums) / len(sums) > 0.5, f"{len(sums)} windows")
+    add("sign", n["mean"] > 0, f"{12 * n['mean']:.4f} a year")
+    add("halves", n["half1"] is not None and n["half1"] > 0 and n["half2"] > 0, f"{12 * (n['half1'] or 0):.4f}, {12 * n['half2']:.4f} a year")
+    add("years", n["years_up"] > n["years"] / 2, f"{n['years_up']} of {n['years']}")
+    add("rolling_36", (n["share36"] or 0) > 0.5, "no window" if n["share36"] is None else f"{n['share36']:.0%}, median {n['median36']:.4f}, worst {n['worst36']:.4f}")
+    if n["share120"] is not None:
+        add("rolling_120", n["share120"] > 0.5, f"{n['share120']:.0%}, median {n['median120']:.4f}")
     if stress_gap is not None:
         add("stress", stress_gap > 0, f"{stress_gap:.4f}")
-
-    def skew(x):
-        m = mean(x)
-        s2 = mean([(v - m) ** 2 for v in x])
-        return mean([(v - m) ** 3 for v in x]) / s2**1.5 if s2 > 0 else 0.0
-
-    add("skewness", skew([a for _, a, _ in monthly]) > skew([b for _, _, b in monthly]), "biased skewness of monthly returns")
+    if cost is not None:
+        add("cost", cost[0] < cost[1], f"{cost[0]:.4f} against {cost[1]:.4f} a year")
+    if n["skew_win"] is not None and n["skew_lose"] is not None:
+        add("skewness", n["skew_win"] > n["skew_lose"], f"{n['skew_win']:.2f} against {n['skew_lose']:.2f}")
+    if persistence is not None:
+        add("persistence", persistence[0] > persistence[1], f"{persistence[0]:.0%} against {persistence[1]:.0%} stay in their band")
     if p_random is not None:
         add("random", p_random < 0.2, f"p = {p_random:.3f}")
-    if nw_t is not None:
-        add("significance", abs(nw_t) >= 2, f"t = {nw_t:.2f}")
+    if reference is not None:
+        gap = monthly.join(reference.select("date", "r"), "date").agg(F.avg(F.col("win") - F.col("r")).alias("m")).first()["m"]
+        add("reference", gap is not None and gap > 0, f"{12 * (gap or 0):.4f} a year")
     return out
 
 
@@ -134,9 +152,10 @@ def clean(value):
     return value.isoformat() if hasattr(value, "isoformat") else value
 
 
-def export(cfg: Config, metrics: list[dict], result: Verdict, monthly: list[tuple] | None = None) -> str:
-    """JSON of a study; with ``monthly`` the full form."""
-    body = {"config": json.loads(cfg.to_json()), "fingerprint": cfg.fingerprint(), "metrics": metrics, "verdict": result.to_dict()}
+def export(cfg: Config, metrics: list[dict], result: Verdict, provenance: dict | None = None, diagnostics: dict | None = None, monthly: dict[str, list] | None = None) -> str:
+    """JSON of a study: configuration, provenance, metrics, verdict, caveats, diagnostics; the full form has each basket's ``monthly`` returns, too."""
+    keys = ("id", "description", "direction_of_bias", "mitigation")
+    body = {"config": json.loads(cfg.to_json()), "fingerprint": cfg.fingerprint(), "provenance": provenance or {}, "metrics": metrics, "verdict": result.to_dict(), "caveats": [dict(zip(keys, c, strict=True)) for c in CAVEATS], "diagnostics": diagnostics or {}}
     if monthly is not None:
         body["monthly"] = monthly
     return json.dumps(clean(body), allow_nan=False, sort_keys=True)

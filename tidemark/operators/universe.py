@@ -6,27 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Other names of sectors.
+from tidemark.operators.lookups import as_of
+
+# Names of sectors, by the names that sources use.
 ALIASES = {
-    "tech": "Information Technology",
     "technology": "Information Technology",
-    "financial": "Financials",
-    "healthcare": "Health Care",
+    "information technology": "Information Technology",
     "consumer cyclical": "Consumer Discretionary",
+    "consumer discretionary": "Consumer Discretionary",
     "consumer defensive": "Consumer Staples",
+    "consumer staples": "Consumer Staples",
+    "healthcare": "Health Care",
+    "health care": "Health Care",
+    "financial services": "Financials",
+    "financial": "Financials",
+    "financials": "Financials",
     "basic materials": "Materials",
-    "telecommunication services": "Communication Services",
+    "materials": "Materials",
+    "industrials": "Industrials",
+    "industrial goods": "Industrials",
+    "energy": "Energy",
+    "utilities": "Utilities",
+    "real estate": "Real Estate",
+    "communication services": "Communication Services",
+    "communication": "Communication Services",
 }
 
 
-def sector_name(column, known: tuple[str, ...]):
+def sector_name(column, known: tuple[str, ...] = ()):
+    """The sector by its alias, or by its own name among ``known``; "unclassified" otherwise."""
     names = F.create_map(*[F.lit(x) for k, v in (ALIASES | {k.lower(): k for k in known}).items() for x in (k, v)])
     return F.coalesce(F.try_element_at(names, F.lower(F.trim(column))), F.lit("unclassified"))
 
 
-def normalize_constituents(spells: DataFrame, today, known: tuple[str, ...]) -> DataFrame:
-    """Clean spells with their occurrence number, whether they are their code's latest, and whether the code looks reused."""
-    clean = spells.withColumns({"code": F.upper(F.trim("code")), "sector": sector_name("sector", known), "end_date": F.coalesce("end_date", today)})
+def _day(column: str):
+    return F.to_date(F.expr(f"try_cast({column} AS timestamp)"))
+
+
+def normalize_constituents(spells: DataFrame, today, known: tuple[str, ...] = ()) -> DataFrame:
+    """Clean spells (dates that don't parse are null) with their occurrence number, whether they are their code's latest, and whether the code looks reused."""
+    clean = spells.withColumns({"code": F.upper(F.trim("code")), "sector": sector_name("sector", known), "start_date": _day("start_date"), "end_date": F.coalesce(_day("end_date"), today)})
     clean = clean.filter("code IS NOT NULL AND start_date IS NOT NULL AND end_date >= start_date")
     by = W.partitionBy("code")
     ordered = by.orderBy("start_date", "end_date", "name")
@@ -35,18 +54,34 @@ def normalize_constituents(spells: DataFrame, today, known: tuple[str, ...]) ->
 
 
 def membership(constituents: DataFrame, calendar: DataFrame, drop_reused_prior: bool = False) -> DataFrame:
-    """(t, date, code) of the sessions inside any spell: spells expand to session numbers between two lookups of the calendar."""
+    """(t, date, code) of the sessions inside any spell: a spell's bounds are looked up in the calendar, then it expands to the sessions between."""
     if drop_reused_prior:
         constituents = constituents.filter("is_latest OR NOT suspect")
-    inside = constituents.join(F.broadcast(calendar), F.col("date").between(F.col("start_date"), F.col("end_date")))
-    return inside.select("t", "date", "code").distinct()
+    days = as_of(constituents.select("start_date").union(constituents.select("end_date")), calendar, "start_date")
+    first, last = days.select(F.col("date").alias("start_date"), F.col("at_or_after").alias("t0")), days.select(F.col("date").alias("end_date"), F.col("at_or_before").alias("t1"))
+    spans = constituents.select("code", "start_date", "end_date").join(first, "start_date").join(last, "end_date").filter("t0 <= t1")
+    inside = spans.select("code", F.explode(F.sequence("t0", "t1")).alias("t")).distinct()
+    return inside.join(calendar.select("t", "date"), "t").select("t", "date", "code")
+
+
+def sector_map(constituents: DataFrame) -> DataFrame:
+    """(code, sector) of each code's latest spell."""
+    return constituents.filter("is_latest").groupBy("code").agg(F.max_by("sector", "occurrence").alias("sector"))
 
 
 def coverage(panel: DataFrame) -> DataFrame:
-    """(month, members, priced, coverage): of the last session of each month that has members."""
-    day = panel.filter("in_universe").groupBy("date").agg(F.count("*").alias("members"), F.count("close_adj").alias("priced"))
+    """(month, members, priced, missing, coverage): of the last session of each month; coverage is null without members."""
+    member = F.col("in_universe")
+    day = panel.groupBy("date").agg(F.count_if(member).alias("members"), F.count_if(member & F.col("close_adj").isNotNull()).alias("priced"))
     last = day.groupBy(F.trunc("date", "MM").alias("month")).agg(F.max_by(F.struct("members", "priced"), "date").alias("x"))
-    return last.select("month", "x.members", "x.priced", F.try_divide("x.priced", "x.members").alias("coverage"))
+    return last.select("month", "x.members", "x.priced", (F.col("x.members") - F.col("x.priced")).alias("missing"), F.try_divide("x.priced", "x.members").alias("coverage"))
+
+
+def coverage_by_year(panel: DataFrame, least: int = 480) -> DataFrame:
+    """(year, coverage, members, thin): mean of the months' coverage, median of the sessions' members, and whether these are fewer than ``least``."""
+    months = coverage(panel).groupBy(F.year("month").alias("year")).agg(F.avg("coverage").alias("coverage"))
+    days = panel.groupBy("date").agg(F.count_if("in_universe").alias("n")).groupBy(F.year("date").alias("year")).agg(F.median("n").alias("members"))
+    return months.join(days, "year").withColumn("thin", F.col("members") < least)
 
 
 def exclude(prices: DataFrame, exclusions: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -58,6 +93,22 @@ def exclude(prices: DataFrame, exclusions: DataFrame, columns: tuple[str, ...])
     return out.withColumns({c: F.when(~F.col("_hit"), F.col(c)) for c in columns}).drop("_w", "_hit")
 
 
+def exclusion_report(prices: DataFrame, exclusions: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(ticker, start_date, end_date, applied, removed) for each row of ``exclusions``, whose ``ord`` gives their order.
+
+    removed is the number of values that the window takes away, in the column where it takes most; a value that
+    several windows cover counts for the first. A ticker without prices is reported as not applied.
+    """
+    lo, hi = F.coalesce("start_date", F.lit("0001-01-01").cast("date")), F.coalesce("end_date", F.lit("9999-12-31").cast("date"))
+    windows = exclusions.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ord", lo.alias("lo"), hi.alias("hi")))).alias("w"))
+    first = F.filter("w", lambda w: (F.col("date") >= w["lo"]) & (F.col("date") <= w["hi"]))
+    hit = prices.join(windows, "ticker").withColumn("ord", F.try_element_at(first, F.lit(1))["ord"])
+    taken = hit.filter("ord IS NOT NULL").groupBy("ord").agg(F.greatest(*[F.count(c) for c in columns], F.lit(0)).alias("removed"))
+    present = prices.select("ticker").distinct().withColumn("applied", F.lit(True))
+    out = exclusions.join(present, "ticker", "left").join(taken, "ord", "left")
+    return out.select("ticker", "start_date", "end_date", F.coalesce("applied", F.lit(False)).alias("applied"), F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
 def broken_series(panel: DataFrame, extreme: float = 0.6, divergent: float = 0.25, reversal: float = 0.5) -> DataFrame:
     """Per ticker with a suspect day: counts of extreme, divergent and reversed returns, dates, and whether it is nearly certain."""
     w = W.partitionBy("ticker").orderBy("t")
@@ -77,3 +128,17 @@ def broken_series(panel: DataFrame, extreme: float = 0.6, divergent: float = 0.2
 def suggest_exclusions(broken: DataFrame, pad: int = 45) -> DataFrame:
     reason = F.concat_ws("; ", F.concat(F.lit("extreme "), "n_big"), F.concat(F.lit("divergent "), "n_apart"), F.concat(F.lit("reversed "), "n_back"))
     return broken.select("ticker", F.date_sub("first_date", pad).alias("start_date"), F.date_add("last_date", pad).alias("end_date"), reason.alias("reason"))
+
+
+def feasibility(constituents: DataFrame, prices: DataFrame, slack: int = 30) -> DataFrame:
+    """(code, end_date, last_price, outcome) of each latest spell that has ended: whether prices reach its end, ``slack`` days short of it at most."""
+    last = prices.filter("close_adj IS NOT NULL").groupBy("code").agg(F.max("date").alias("last_price"))
+    left = constituents.filter("is_latest AND NOT is_active_now").select("code", "end_date").join(last, "code", "left")
+    outcome = F.when(F.col("last_price").isNull(), "no data").when(F.col("last_price") >= F.date_sub("end_date", slack), "ok").otherwise("truncated")
+    return left.withColumn("outcome", outcome)
+
+
+def feasibility_summary(report: DataFrame, good: float = 0.98, fair: float = 0.90) -> DataFrame:
+    """(n, usable, rate, verdict): the share of ended spells whose prices are usable, and what it is good for."""
+    out = report.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "ok").alias("usable")).withColumn("rate", F.try_divide("usable", "n"))
+    return out.withColumn("verdict", F.when(F.col("rate") >= good, "excellent").when(F.col("rate") >= fair, "acceptable").otherwise("insufficient"))

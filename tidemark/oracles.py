@@ -85,7 +85,7 @@ _put("history_flag", CRITERIA, "SELECT t, ticker, enough_history FROM elig")
 _put("eligibility", CRITERIA, "SELECT t, ticker, eligible FROM elig")
 _NAMES = ("in_universe", "has_price", "enough_history", "under_price_cap", "above_sma", "eligible")
 _put("eligibility_criteria", CRITERIA, "SELECT " + ", ".join(f"round(avg({n}), 6) + 0.0 AS {n}" for n in _NAMES) + " FROM (SELECT t, " + ", ".join(f"count(*) FILTER (WHERE {n}) AS {n}" for n in _NAMES) + " FROM elig GROUP BY t)")
-_put("bands", SIGNALS, "SELECT t, ticker, band FROM signals WHERE t >= 71")
+_put("bands", SIGNALS, "SELECT t, ticker, band FROM signals")
 _put(
     "bands_sector_neutral",
     SLOPE + _CRITERIA.format(source="rs_slope_c") + SECTORS + ",\nes AS (SELECT e.*, sec.sector FROM elig e LEFT JOIN sec USING (ticker))" + _bands("t, sector", "(SELECT * FROM es WHERE sector IS NOT NULL)"),
@@ -93,7 +93,13 @@ _put(
 )
 _put("constituents_norm", SPELLS, "SELECT code, name, coalesce(sector, 'unclassified') AS sector, start_date, end_date, occurrence, is_latest, suspect FROM norm")
 _put("membership", PANEL + "," + SPELLS, "SELECT DISTINCT t, code FROM norm JOIN calendar ON calendar.date BETWEEN start_date AND end_date WHERE is_latest OR NOT suspect")
-_put("coverage_monthly", PANEL, "SELECT date AS month, count(*) AS members, count(close_adj) AS priced, round(count(close_adj) / count(*), 6) + 0.0 AS coverage FROM panel WHERE in_universe GROUP BY date")
+_COVERAGE = "SELECT date AS month, members, priced, members - priced AS missing, round(priced / nullif(members, 0), 6) + 0.0 AS coverage FROM (SELECT date, count(*) FILTER (WHERE in_universe) AS members, count(*) FILTER (WHERE in_universe AND close_adj IS NOT NULL) AS priced FROM {source} GROUP BY date)"
+_put("coverage_monthly", PANEL, _COVERAGE.format(source="panel"))
+_put(
+    "coverage_by_year",
+    PANEL + ",\ncv AS (SELECT date, count(*) FILTER (WHERE in_universe) AS n, count(*) FILTER (WHERE in_universe AND close_adj IS NOT NULL) AS k FROM panel GROUP BY date)",
+    "SELECT year(date)::INTEGER AS year, round(avg(k / nullif(n, 0)), 6) + 0.0 AS coverage, median(n)::DOUBLE AS members, median(n) < 95 AS thin FROM cv GROUP BY 1",
+)
 _put("coverage_by_band", SIGNALS, "SELECT date, count(*) AS eligible, count(band) AS banded, round(count(band) / count(*), 6) + 0.0 AS share FROM signals WHERE eligible GROUP BY date")
 _put("universe_size", SIGNALS, "SELECT date, count(*) FILTER (WHERE eligible) AS n_eligible FROM signals GROUP BY date")
 _CHANGES = PANEL + """,
@@ -151,8 +157,8 @@ rnd AS (SELECT 'draw' || draw AS run_id, t, ticker, (row_number() OVER (PARTITIO
         FROM pp CROSS JOIN range({n}) g(draw) WHERE eligible AND rs_score IS NOT NULL)"""
 
 
-_put("select_random", _random(5), "SELECT run_id, t, ticker, ord FROM rnd WHERE ord <= 3")
-_NULL = _random(20) + """,
+_put("select_random", _random(1000), "SELECT run_id, t, ticker, ord FROM rnd WHERE ord <= 3")
+_NULL = _random(1000) + """,
 fwd AS (SELECT t, ticker, lead(px_ff) OVER (PARTITION BY ticker ORDER BY t) / px_ff - 1 AS r FROM pp),
 nul AS (SELECT run_id, avg(r) AS r FROM rnd JOIN fwd USING (t, ticker) WHERE ord <= 3 AND r IS NOT NULL GROUP BY run_id)"""
 _put("null_quantiles", _NULL, "SELECT " + ", ".join(f"round(quantile_cont(r, {x}), 6) + 0.0 AS q{int(x * 100):02d}" for x in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM nul")
@@ -173,19 +179,19 @@ ru AS (SELECT ticker, band, g, count(*) AS len FROM gi GROUP BY 1, 2, 3)""",
     "SELECT band, count(*) AS n, round(avg(len), 6) + 0.0 AS mean, round(median(len), 6) + 0.0 AS median, max(len) AS longest FROM ru GROUP BY band",
 )
 _IN_BAND = SIGNALS + """,
-cu AS (SELECT ticker, band AS cur FROM signals WHERE t = 81 AND band IS NOT NULL),
-ot AS (SELECT s.ticker, max(t) AS b FROM signals s JOIN cu USING (ticker) WHERE t <= 81 AND band <> cur GROUP BY s.ticker),
-sib AS (SELECT s.ticker, cur AS band, count(*) AS sessions_in_band FROM signals s JOIN cu USING (ticker) LEFT JOIN ot USING (ticker) WHERE t <= 81 AND band IS NOT NULL AND t > coalesce(b, -1) GROUP BY 1, 2)"""
+cu AS (SELECT ticker, band AS cur FROM signals WHERE t = (SELECT max(t) - 1 FROM calendar) AND band IS NOT NULL),
+ot AS (SELECT s.ticker, max(t) AS b FROM signals s JOIN cu USING (ticker) WHERE t <= (SELECT max(t) - 1 FROM calendar) AND band <> cur GROUP BY s.ticker),
+sib AS (SELECT s.ticker, cur AS band, count(*) AS sessions_in_band FROM signals s JOIN cu USING (ticker) LEFT JOIN ot USING (ticker) WHERE t <= (SELECT max(t) - 1 FROM calendar) AND band IS NOT NULL AND t > coalesce(b, -1) GROUP BY 1, 2)"""
 _put("sessions_in_band", _IN_BAND, "SELECT ticker, band, sessions_in_band FROM sib")
 _put(
     "snapshot",
     _IN_BAND + SECTORS,
     f"""SELECT n.ticker, {_r('rs_score', 'rs_slope', digits=5)}, n.band, n.above_sma, p.band AS prev_band, name, sector, sessions_in_band,
 CASE WHEN n.band > p.band THEN 'up' WHEN n.band < p.band THEN 'down' WHEN n.band = p.band THEN 'flat' END AS movement, ['Q1 Laggard', 'Q2', 'Q3', 'Q4', 'Q5 Leader'][n.band] AS label
-FROM (SELECT * FROM signals WHERE t = 81 AND eligible) n LEFT JOIN (SELECT ticker, band FROM signals WHERE t = 78) p USING (ticker) LEFT JOIN sec USING (ticker) LEFT JOIN (SELECT ticker, sessions_in_band FROM sib) USING (ticker)""",
+FROM (SELECT * FROM signals WHERE t = (SELECT max(t) - 1 FROM calendar) AND eligible) n LEFT JOIN (SELECT ticker, band FROM signals WHERE t = (SELECT max(t) - 4 FROM calendar)) p USING (ticker) LEFT JOIN sec USING (ticker) LEFT JOIN (SELECT ticker, sessions_in_band FROM sib) USING (ticker)""",
 )
-_put("trails", SIGNALS, f"SELECT t, ticker, {_r('rs_score', 'rs_slope', digits=5)} FROM signals WHERE t BETWEEN 70 AND 81 AND (t - 70) % 3 = 0 AND rs_score IS NOT NULL AND rs_slope IS NOT NULL")
-_put("band_sector_matrix", SIGNALS + SECTORS, "SELECT sector, " + ", ".join(f"count(*) FILTER (WHERE band = {b}) AS b{b}" for b in range(1, 6)) + " FROM signals JOIN sec USING (ticker) WHERE t = 81 AND band IS NOT NULL GROUP BY sector")
+_put("trails", SIGNALS, f"SELECT t, ticker, {_r('rs_score', 'rs_slope', digits=5)} FROM signals WHERE t BETWEEN (SELECT max(t) - 12 FROM calendar) AND (SELECT max(t) - 1 FROM calendar) AND (t - (SELECT max(t) - 12 FROM calendar)) % 3 = 0 AND rs_score IS NOT NULL AND rs_slope IS NOT NULL")
+_put("band_sector_matrix", SIGNALS + SECTORS, "SELECT sector, " + ", ".join(f"count(*) FILTER (WHERE band = {b}) AS b{b}" for b in range(1, 6)) + " FROM signals JOIN sec USING (ticker) WHERE t = (SELECT max(t) - 1 FROM calendar) AND band IS NOT NULL GROUP BY sector")
 _put("monthly_heatmap", SPREAD, "SELECT year(date)::INTEGER AS year, " + ", ".join(f"round(avg(r) FILTER (WHERE month(date) = {m}), 6) + 0.0 AS m{m}" for m in range(1, 13)) + " FROM sp GROUP BY 1")
 _put(
     "drawdown",
@@ -212,20 +218,28 @@ x AS (SELECT run_id, count(r) AS n, product(1 + r) AS total, stddev_samp(r) AS s
 y AS (SELECT run_id, n, CASE WHEN total > 0 THEN total ** (12.0 / n) - 1 END AS cagr, sd * sqrt(12) AS vol, CASE WHEN xs > 0 THEN m / xs * sqrt(12) END AS sharpe, CASE WHEN xd > 0 THEN m / xd * sqrt(12) END AS sortino, hit_rate, total FROM x)""",
     f"SELECT run_id, n, {_r('cagr', 'vol', 'sharpe', 'sortino', 'hit_rate', 'total')} FROM y",
 )
-_put(
-    "subperiods",
-    BAND_RETURNS + ",\nw AS (SELECT *, CASE WHEN date <= DATE '1993-12-31' THEN '1992-01-01' WHEN date <= DATE '1995-12-31' THEN '1994-01-01' ELSE '1996-01-01' END AS start FROM br WHERE date BETWEEN DATE '1992-01-01' AND DATE '1998-12-31')",
-    "SELECT run_id, start, count(*) AS n, round(product(1 + r) ** (12.0 / count(*)) - 1, 6) + 0.0 AS cagr FROM w GROUP BY 1, 2 HAVING count(*) >= 6",
-)
-_put(
-    "drop_best_months",
-    BAND_RETURNS + ",\nk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY r DESC, t) AS i FROM br)",
-    "SELECT run_id, k.k::INTEGER AS k, round(product(1 + r) ** (12.0 / count(*)) - 1, 6) + 0.0 AS cagr FROM (SELECT * FROM k) b CROSS JOIN (VALUES (0), (3), (6), (12)) k(k) WHERE i > k.k GROUP BY 1, 2",
-)
+_SUBPERIODS = BAND_RETURNS + """,
+w AS (SELECT *, CASE WHEN date BETWEEN DATE '1992-01-01' AND DATE '1993-12-31' THEN 'early' WHEN date BETWEEN DATE '1994-01-01' AND DATE '1995-12-31' THEN 'middle' WHEN date BETWEEN DATE '1996-01-01' AND DATE '2100-01-01' THEN 'late' END AS label FROM br),
+su AS (SELECT run_id, label, count(*) AS n, product(1 + r) - 1 AS total, product(1 + r) ** (12.0 / count(*)) - 1 AS cagr, stddev_samp(r) * sqrt(12) AS vol FROM w WHERE label IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 6)"""
+_put("subperiods", _SUBPERIODS, f"SELECT run_id, label, n, {_r('total', 'cagr', 'vol')} FROM su")
+_BANDS = [f"band{b}" for b in range(1, 6)]
+
+
+def _by_band(key: str, value: str, source: str) -> str:
+    return f"SELECT {key}, " + ", ".join(f"round(max({value}) FILTER (WHERE run_id = '{b}'), 6) + 0.0 AS {b}" for b in _BANDS) + f" FROM {source} GROUP BY 1"
+
+
+_put("subperiods_by_band", _SUBPERIODS, _by_band("label", "cagr", "su"))
+_DROP = BAND_RETURNS + """,
+ki AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY r DESC, t) AS i FROM br),
+dr AS (SELECT run_id, k.k::INTEGER AS k, product(1 + r) AS whole, product(CASE WHEN i > k.k THEN 1 + r ELSE 1 END) AS g, count(*) FILTER (WHERE i > k.k) AS n FROM ki CROSS JOIN (VALUES (0), (3), (6), (12)) k(k) GROUP BY 1, 2),
+de AS (SELECT run_id, k, g ** (12.0 / n) - 1 AS cagr, whole - 1 AS total, g - 1 AS without, whole - g AS share FROM dr WHERE n > 0)"""
+_put("drop_best_months", _DROP, f"SELECT run_id, k, {_r('cagr', 'total', 'without', 'share')} FROM de")
+_put("drop_best_by_band", _DROP, _by_band("k", "without", "de"))
 _put(
     "rolling_win_rate",
-    BAND_RETURNS + ",\nf AS (SELECT run_id, CASE WHEN count(r) OVER w = 12 THEN sum(r) OVER w END AS s FROM br WINDOW w AS (PARTITION BY run_id ORDER BY t ROWS 11 PRECEDING))",
-    "SELECT run_id, count(*) AS n, round(avg((s > 0)::INTEGER), 6) + 0.0 AS win_share, round(median(s), 6) + 0.0 AS median, round(min(s), 6) + 0.0 AS worst FROM f WHERE s IS NOT NULL GROUP BY run_id",
+    BAND_RETURNS + ",\nf AS (" + " UNION ALL ".join(f"SELECT run_id, {n} AS \"window\", CASE WHEN count(r) OVER w{n} = {n} THEN sum(r) OVER w{n} END AS s FROM br WINDOW w{n} AS (PARTITION BY run_id ORDER BY t ROWS {n - 1} PRECEDING)" for n in (12, 36)) + ")",
+    "SELECT run_id, \"window\"::INTEGER AS \"window\", count(*) AS n, round(avg((s > 0)::INTEGER), 6) + 0.0 AS win_share, round(median(s), 6) + 0.0 AS median, round(min(s), 6) + 0.0 AS worst FROM f WHERE s IS NOT NULL GROUP BY ALL",
 )
 _put("positive_years", BAND_RETURNS, "SELECT run_id, count(*) FILTER (WHERE s > 0) AS positive, count(*) AS total FROM (SELECT run_id, year(date), sum(r) AS s FROM br GROUP BY 1, 2) GROUP BY run_id")
 _put(
@@ -234,3 +248,95 @@ _put(
     "SELECT run_id, round(avg(d ** 3) / avg(d ** 2) ** 1.5, 5) + 0.0 AS skew FROM c GROUP BY run_id",
 )
 _put("anomalous_periods", BAND_RETURNS, "SELECT run_id, t, round(r, 6) + 0.0 AS r, abs(r) <= 0.3 AS plausible FROM br WHERE abs(r) > 0.1")
+_put(
+    "null_histogram",
+    _NULL + """,
+ra AS (SELECT min(r) AS lo, max(r) AS hi, (max(r) - min(r)) / 20 AS width FROM nul),
+ct AS (SELECT CASE WHEN hi > lo THEN least(floor((r - lo) / width), 19)::INTEGER ELSE 0 END AS bin, count(*) AS c FROM nul CROSS JOIN ra GROUP BY 1)""",
+    "SELECT g.bin::INTEGER AS bin, round(lo + g.bin * width, 6) + 0.0 AS low, round(lo + g.bin * width + width, 6) + 0.0 AS high, coalesce(c, 0) AS n FROM ra CROSS JOIN range(20) g(bin) LEFT JOIN ct ON ct.bin = g.bin",
+)
+_RF = "," + _DAYS.format(more="") + """,
+gr AS (SELECT date, product(1 + 0.0001 * (day(date) % 3)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS growth FROM days),
+rf AS (SELECT t, coalesce(growth / lag(growth) OVER (ORDER BY t) - 1, 0.0) AS rf_period FROM cal JOIN gr ON gr.date = cal.exec_date)"""
+
+
+def _performance(source: str) -> str:
+    return f""",
+ex AS (SELECT s.*, r - coalesce(rf_period, 0.0) AS x FROM {source} s LEFT JOIN rf USING (t) WHERE r IS NOT NULL),
+pa AS (SELECT run_id, count(r) AS n, product(1 + r) AS total, stddev_samp(r) AS sd, avg(x) AS m, stddev_samp(x) AS xs, stddev_samp(x) FILTER (WHERE x < 0) AS xd, avg((r > 0)::INTEGER) AS hit_rate FROM ex GROUP BY run_id),
+pf AS (SELECT run_id, n, CASE WHEN total > 0 THEN total ** (12.0 / n) - 1 END AS cagr, sd * sqrt(12) AS vol, CASE WHEN xs > 0 THEN m / xs * sqrt(12) END AS sharpe, CASE WHEN xd > 0 THEN m / xd * sqrt(12) END AS sortino, hit_rate, total FROM pa)"""
+
+
+_put("perf_metrics_dated_rf", BAND_RETURNS + _RF + _performance("br"), f"SELECT run_id, n, {_r('cagr', 'vol', 'sharpe', 'sortino', 'hit_rate', 'total')} FROM pf")
+_BASKETS = PERIODS + """,
+ba AS (SELECT 'top' AS run_id, t, ticker FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rs_score DESC, ticker) AS o FROM pp WHERE band = 5) WHERE o <= 3
+       UNION ALL SELECT 'bottom', t, ticker FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rs_score, ticker) AS o FROM pp WHERE band = 1) WHERE o <= 3
+       UNION ALL SELECT 'mid', t, ticker FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rs_score DESC, ticker) AS o FROM pp WHERE band = 3) WHERE o <= 3
+       UNION ALL SELECT 'pullback', t, ticker FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rs_slope, ticker) AS o FROM pp WHERE band = 5 AND rs_slope < 0) WHERE o <= 3
+       UNION ALL SELECT 'universe', t, ticker FROM pp WHERE eligible AND rs_score IS NOT NULL),
+pr AS (SELECT t, ticker, lead(px_ff) OVER (PARTITION BY ticker ORDER BY t) / px_ff - 1 AS r FROM pp),
+hd AS (SELECT run_id, t, ticker, r, coalesce(lag(t) OVER (PARTITION BY run_id, ticker ORDER BY t) < t - 1, true) AS new FROM ba JOIN pr USING (t, ticker)),
+bk AS (SELECT run_id, h.t, exec_date AS date, avg(r) AS r, count(*) AS n, avg(new::INTEGER) AS turnover FROM hd h JOIN per ON per.p = h.t GROUP BY 1, 2, 3)"""
+_put("basket_returns", _BASKETS, f"SELECT run_id, t, date, n, {_r('r', 'turnover')} FROM bk")
+_put(
+    "basket_metrics",
+    _BASKETS + _RF + _performance("bk") + """,
+eq AS (SELECT *, product(1 + r) OVER (PARTITION BY run_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS equity FROM bk WHERE r IS NOT NULL),
+dd AS (SELECT *, equity / max(equity) OVER (PARTITION BY run_id ORDER BY t ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM eq),
+lo AS (SELECT run_id, min(drawdown) AS depth, arg_min(date, drawdown) AS trough, max(date) AS last FROM dd GROUP BY run_id),
+pk AS (SELECT dd.run_id, arg_max(date, equity) AS peak, max(equity) AS height FROM dd JOIN lo USING (run_id) WHERE date <= trough GROUP BY dd.run_id),
+rc AS (SELECT dd.run_id, min(date) AS back FROM dd JOIN lo USING (run_id) JOIN pk USING (run_id) WHERE date > trough AND equity >= height GROUP BY dd.run_id),
+tu AS (SELECT run_id, avg(turnover) AS turnover, avg(n) AS positions FROM bk GROUP BY run_id)""",
+    f"""SELECT pf.run_id, pf.n, {_r('cagr', 'vol', 'sharpe', 'sortino', 'hit_rate', digits=5)}, round(total, 5) + 0.0 AS final_value, round(depth, 5) + 0.0 AS max_dd, round((coalesce(back, last) - peak) / 30.44)::INTEGER AS recovery_months,
+{_r('turnover', 'positions', digits=5)}, round(turnover * 20.0 / 1e4 * 12, 5) + 0.0 AS cost_drag FROM pf JOIN lo USING (run_id) JOIN pk USING (run_id) LEFT JOIN rc USING (run_id) JOIN tu USING (run_id)""",
+)
+_put("fixed_capital_profit", BAND_RETURNS, "SELECT run_id, t, round(10000000.0 * sum(r) OVER (PARTITION BY run_id ORDER BY t ROWS UNBOUNDED PRECEDING), 3) + 0.0 AS profit FROM br")
+_put("return_overlap", BAND_RETURNS, f"SELECT a.date, round(a.r, 6) + 0.0 AS a, round(b.r, 6) + 0.0 AS b FROM br a JOIN br b ON a.date = b.date WHERE a.run_id = 'band5' AND b.run_id = 'band1'")
+_put(
+    "as_of_sessions",
+    PANEL,
+    "SELECT date, (SELECT max(t) FROM calendar c WHERE c.date <= o.date) AS at_or_before, (SELECT min(t) FROM calendar c WHERE c.date >= o.date) AS at_or_after FROM (SELECT DISTINCT o_orderdate::DATE AS date FROM orders) o",
+)
+_put(
+    "month_end_price",
+    "dy AS (SELECT l_suppkey AS ticker, l_shipdate::DATE AS date, max(l_extendedprice / l_quantity) FILTER (WHERE l_returnflag <> 'R') AS price FROM lineitem GROUP BY 1, 2)",
+    "SELECT ticker, date_trunc('month', date)::DATE AS month, arg_max(price, date) AS price FROM dy WHERE price IS NOT NULL GROUP BY 1, 2",
+)
+_put("sector_map", SPELLS, "SELECT code, coalesce(arg_max(sector, occurrence), 'unclassified') AS sector FROM norm WHERE is_latest GROUP BY code")
+_put(
+    "member_coverage",
+    PANEL + "," + SPELLS + """,
+mb AS (SELECT DISTINCT t, substr(code, 2)::BIGINT AS ticker FROM norm JOIN calendar ON calendar.date BETWEEN start_date AND end_date WHERE is_latest OR NOT suspect),
+mp AS (SELECT calendar.date, p.close_adj, m.t IS NOT NULL AS in_universe FROM panel p FULL JOIN mb m USING (t, ticker) JOIN calendar ON calendar.t = coalesce(p.t, m.t))""",
+    _COVERAGE.format(source="mp"),
+)
+_EXCLUDED = """,
+xs AS (SELECT s_suppkey AS ticker, DATE '1995-01-01' AS start_date, DATE '1995-12-31' AS end_date FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 11 = 0)"""
+_put(
+    "exclusion_report",
+    PANEL + _EXCLUDED + """,
+xl AS (SELECT *, ticker * 2 + (start_date IS NULL)::INTEGER AS ord FROM xs UNION ALL SELECT -1, DATE '1995-01-01', NULL, -1),
+hi AS (SELECT p.ticker, p.date, min(ord) AS ord, any_value(close_adj) AS ca, any_value(close_raw) AS cr FROM panel p JOIN xl ON xl.ticker = p.ticker AND p.date BETWEEN coalesce(xl.start_date, DATE '0001-01-01') AND coalesce(xl.end_date, DATE '9999-12-31') GROUP BY 1, 2),
+rm AS (SELECT ord, greatest(count(ca), count(cr)) AS removed FROM hi GROUP BY ord)""",
+    "SELECT xl.ticker, start_date, end_date, xl.ticker IN (SELECT ticker FROM panel) AS applied, coalesce(removed, 0) AS removed FROM xl LEFT JOIN rm USING (ord)",
+)
+_put("new_proposals", _BROKEN + _EXCLUDED, "SELECT ticker, (first_date - 45)::DATE AS start_date, (last_date + 45)::DATE AS end_date, 'extreme ' || n_big || '; divergent ' || n_apart || '; reversed ' || n_back AS reason FROM bs WHERE ticker NOT IN (SELECT ticker FROM xs)")
+_put("excluded_prices", PANEL + _EXCLUDED, "SELECT ticker, round(arg_max(close_adj, t), 3) + 0.0 AS close_adj, count(close_adj) AS n FROM panel WHERE ticker IN (SELECT ticker FROM xs) GROUP BY ticker")
+_put("over_cap", PANEL, "SELECT ticker, count(*) AS sessions FROM panel WHERE open_raw > 24000 AND in_universe GROUP BY ticker")
+_put(
+    "map_lanes",
+    SECTORS.strip().lstrip(",") + ",\nln AS (SELECT ticker, sector, count(*) OVER (PARTITION BY sector) AS k, row_number() OVER (PARTITION BY sector ORDER BY ticker) - 1 AS i, list_position(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE'], sector) - 1 AS lane FROM sec)",
+    "SELECT ticker, sector, round(CASE WHEN lane >= 0 THEN lane + CASE WHEN k > 1 THEN -0.38 + i * 0.76 / (k - 1) ELSE 0 END END, 6) + 0.0 AS x FROM ln",
+)
+_FEASIBLE = SPELLS + """,
+pc AS (SELECT 'S' || l_suppkey AS code, max(date_trunc('month', l_shipdate)::DATE) AS last_price FROM lineitem WHERE l_suppkey % 7 <> 0 AND (l_suppkey % 5 <> 0 OR date_trunc('month', l_shipdate)::DATE < DATE '1994-01-01') GROUP BY 1),
+fe AS (SELECT code, end_date, last_price, CASE WHEN last_price IS NULL THEN 'no data' WHEN last_price >= end_date - 30 THEN 'ok' ELSE 'truncated' END AS outcome FROM norm LEFT JOIN pc USING (code) WHERE end_date <> DATE '1999-12-31')"""
+_put("feasibility", _FEASIBLE, "SELECT code, end_date, last_price, outcome FROM fe")
+_put("feasibility_rate", _FEASIBLE + ",\nfr AS (SELECT count(*) AS n, count(*) FILTER (WHERE outcome = 'ok') AS usable FROM fe)", "SELECT n, usable, round(usable / n, 6) + 0.0 AS rate, CASE WHEN usable / n >= 0.98 THEN 'excellent' WHEN usable / n >= 0.9 THEN 'acceptable' ELSE 'insufficient' END AS verdict FROM fr")
+_put(
+    "adjusted_opens",
+    """ra AS (SELECT l_suppkey AS ticker, l_shipdate::DATE AS date, arg_min(l_extendedprice / l_quantity - 15000, (l_orderkey, l_linenumber)) AS open, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) AS close,
+       arg_max(l_extendedprice * (1 - l_discount) / l_quantity, (l_orderkey, l_linenumber)) AS adjusted_close FROM lineitem GROUP BY 1, 2),
+ad AS (SELECT *, CASE WHEN open > 0 THEN open END AS open_raw, CASE WHEN close > 0 THEN adjusted_close / close END AS factor FROM ra)""",
+    "SELECT ticker, date, adjusted_close AS close_adj, open_raw * factor AS open_adj, open_raw FROM ad",
+)

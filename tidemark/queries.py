@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import analysis, features, metrics, panel, periods, study, universe
+from tidemark.operators import analysis, features, lookups, metrics, panel, periods, universe
 from tidemark.oracles import ORACLES  # noqa: F401
 from tidemark.sources import tables
 
@@ -16,7 +16,7 @@ QUERIES: dict = {}
 SCALE = {"max_share_price": 20_000.0, "capital": 10_000_000.0}
 CFG = Config(**SCALE)
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-LATEST = 82  # the last of the 83 ship months
+DRAWS = CFG.n_bootstrap
 
 
 def query(f):
@@ -41,6 +41,12 @@ def _signals(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     return features.signals(_panel(spark, sf_dir), Config(**SCALE, **more))
 
 
+def _as_of(spark: SparkSession, sf_dir: str) -> int:
+    """The last session but one: the last that has a session to trade on."""
+    months = tables.table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "MM").alias("date")).distinct()
+    return months.filter("date IS NOT NULL").count() - 2
+
+
 def _monthly_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = tables.monthly_cells(spark, sf_dir).select("date")
     return periods.rebalance_calendar(days).withColumn("rf_period", F.lit(CFG.rf_monthly))
@@ -115,7 +121,7 @@ def eligibility_criteria(spark, sf_dir):
 
 @query
 def bands(spark, sf_dir):
-    return _signals(spark, sf_dir).filter(F.col("t") >= LATEST - 11).select("t", "ticker", "band")
+    return _signals(spark, sf_dir).select("t", "ticker", "band")
 
 
 @query
@@ -224,7 +230,7 @@ for _name in ("top", "bottom", "pullback", "mid", "universe"):
 
 @query
 def select_random(spark, sf_dir):
-    draws = spark.range(5).select(F.col("id").cast("int").alias("draw"))
+    draws = spark.range(DRAWS).select(F.col("id").cast("int").alias("draw"))
     return periods.select_random(_period_panel(spark, sf_dir), draws, CFG.n_names, CFG.seed)
 
 
@@ -240,22 +246,22 @@ def dwell_time(spark, sf_dir):
 
 @query
 def sessions_in_band(spark, sf_dir):
-    return analysis.sessions_in_band(_signals(spark, sf_dir), LATEST - 1)
+    return analysis.sessions_in_band(_signals(spark, sf_dir), _as_of(spark, sf_dir))
 
 
 @query
 def snapshot(spark, sf_dir):
-    return _rounded(analysis.snapshot(_signals(spark, sf_dir), tables.sectors(spark, sf_dir), LATEST - 1, 3).drop("date"), 5)
+    return _rounded(analysis.snapshot(_signals(spark, sf_dir), tables.sectors(spark, sf_dir), _as_of(spark, sf_dir), 3).drop("date"), 5)
 
 
 @query
 def trails(spark, sf_dir):
-    return _rounded(analysis.trails(_signals(spark, sf_dir), LATEST - 1, 12, 3), 5)
+    return _rounded(analysis.trails(_signals(spark, sf_dir), _as_of(spark, sf_dir), 12, 3), 5)
 
 
 @query
 def band_sector_matrix(spark, sf_dir):
-    now = _signals(spark, sf_dir).filter((F.col("t") == LATEST - 1) & F.col("band").isNotNull()).join(tables.sectors(spark, sf_dir), "ticker")
+    now = _signals(spark, sf_dir).filter((F.col("t") == _as_of(spark, sf_dir)) & F.col("band").isNotNull()).join(tables.sectors(spark, sf_dir), "ticker")
     return now.groupBy("sector").pivot("band", [1, 2, 3, 4, 5]).agg(F.count(F.lit(1))).select("sector", *[F.coalesce(F.col(str(b)), F.lit(0)).alias(f"b{b}") for b in range(1, 6)])
 
 
@@ -280,10 +286,19 @@ def perf_metrics(spark, sf_dir):
     return _rounded(metrics.performance(_band_returns(spark, sf_dir), CFG.rf_monthly))
 
 
+BOUNDS = (("early", "1992-01-01", "1993-12-31"), ("middle", "1994-01-01", "1995-12-31"), ("late", "1996-01-01", "2100-01-01"))
+
+
 @query
 def subperiods(spark, sf_dir):
-    bounds = (("1992-01-01", "1993-12-31"), ("1994-01-01", "1995-12-31"), ("1996-01-01", "1998-12-31"))
-    return _rounded(metrics.subperiods(_band_returns(spark, sf_dir), bounds))
+    return _rounded(metrics.subperiods(_band_returns(spark, sf_dir), BOUNDS))
+
+
+@query
+def subperiods_by_band(spark, sf_dir):
+    names = [f"band{b}" for b in range(1, 6)]
+    table = metrics.subperiods(_band_returns(spark, sf_dir), BOUNDS).groupBy("label").pivot("run_id", names).agg(F.first("cagr"))
+    return _rounded(table.select("label", *names))
 
 
 @query
@@ -291,9 +306,16 @@ def drop_best_months(spark, sf_dir):
     return _rounded(metrics.drop_best(_band_returns(spark, sf_dir), (0, 3, 6, 12)))
 
 
+@query
+def drop_best_by_band(spark, sf_dir):
+    names = [f"band{b}" for b in range(1, 6)]
+    table = metrics.drop_best(_band_returns(spark, sf_dir), (0, 3, 6, 12)).groupBy("k").pivot("run_id", names).agg(F.first("without"))
+    return _rounded(table.select("k", *names))
+
+
 @query
 def rolling_win_rate(spark, sf_dir):
-    return _rounded(metrics.rolling_sums(_band_returns(spark, sf_dir), 12))
+    return _rounded(metrics.rolling_sums(_band_returns(spark, sf_dir), 12, 36))
 
 
 @query
@@ -308,8 +330,8 @@ def skewness(spark, sf_dir):
 
 
 def _null(spark, sf_dir):
-    """(run_id, r): mean next return of twenty random selections."""
-    draws = spark.range(20).select(F.col("id").cast("int").alias("draw"))
+    """(run_id, r): mean next return of random selections."""
+    draws = spark.range(DRAWS).select(F.col("id").cast("int").alias("draw"))
     rows = _period_panel(spark, sf_dir)
     nxt = F.lead("px_ff").over(W.partitionBy("ticker").orderBy("t")) / F.col("px_ff") - 1
     picked = periods.select_random(rows, draws, CFG.n_names, CFG.seed).join(rows.select("t", "ticker", nxt.alias("r")), ["t", "ticker"])
@@ -332,56 +354,141 @@ def anomalous_periods(spark, sf_dir):
     return _rounded(analysis.anomalous(_band_returns(spark, sf_dir), 0.1))
 
 
-def _family(spark, sf_dir, make, **more):
-    rows = _period_panel(spark, sf_dir, **more).persist()  # read by each basket and by the fold
-    return study.simulate_runs(rows, make(rows, Config(**SCALE, **more)))
+@query
+def null_histogram(spark, sf_dir):
+    return _rounded(lookups.histogram(_null(spark, sf_dir), "r", 20))
+
+
+def _rf(spark, sf_dir):
+    """(t, rf_period) of the monthly periods, from rates that change with the day."""
+    daily = tables.ship_days(spark, sf_dir).withColumn("rf", F.lit(0.0001) * (F.day("date") % 3))
+    return periods.rf_periods(periods.rebalance_calendar(tables.ship_days(spark, sf_dir)), daily).select("t", "rf_period")
+
+
+@query
+def perf_metrics_dated_rf(spark, sf_dir):
+    return _rounded(metrics.performance(_band_returns(spark, sf_dir), _rf(spark, sf_dir)))
+
+
+def _baskets(spark, sf_dir):
+    panel_ = _period_panel(spark, sf_dir)
+    dates = _monthly_periods(spark, sf_dir).select("t", F.col("exec_date").alias("date"))
+    return periods.basket_returns(periods.baskets(panel_, CFG), panel_).join(dates, "t")
+
+
+@query
+def basket_returns(spark, sf_dir):
+    return _rounded(_baskets(spark, sf_dir))
+
+
+@query
+def basket_metrics(spark, sf_dir):
+    return _rounded(metrics.basket_metrics(_baskets(spark, sf_dir), _rf(spark, sf_dir), 20.0), 5)
+
+
+@query
+def fixed_capital_profit(spark, sf_dir):
+    return _rounded(lookups.running_sum(_band_returns(spark, sf_dir), scale=CFG.capital, out="profit").select("run_id", "t", "profit"), 3)
+
+
+@query
+def return_overlap(spark, sf_dir):
+    r = _band_returns(spark, sf_dir)
+    return _rounded(lookups.common_periods(r.filter("run_id = 'band5'"), r.filter("run_id = 'band1'")))
+
+
+@query
+def as_of_sessions(spark, sf_dir):
+    """The session at or before, and at or after, each day on which orders were made."""
+    days = tables.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"))
+    return lookups.as_of(days, panel.number_sessions(tables.monthly_cells(spark, sf_dir)))
+
+
+@query
+def month_end_price(spark, sf_dir):
+    """Each ticker's last daily price of a month that isn't null."""
+    line = tables.table(spark, sf_dir, "lineitem")
+    daily = line.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(F.max(F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice") / F.col("l_quantity"))).alias("price"))
+    return lookups.month_end(daily, "price", "ticker")
+
+
+@query
+def coverage_by_year(spark, sf_dir):
+    return _rounded(universe.coverage_by_year(_panel(spark, sf_dir), least=95))
 
 
 @query
-def simulate_baskets(spark, sf_dir):
-    return _family(spark, sf_dir, study.baskets_run)[1]
+def sector_map(spark, sf_dir):
+    return universe.sector_map(_constituents(spark, sf_dir))
+
+
+def _member_panel(spark, sf_dir):
+    """(t, date, ticker, close_adj, in_universe): members by their spells, prices by the panel."""
+    sessions = panel.number_sessions(tables.monthly_cells(spark, sf_dir))
+    members = universe.membership(_constituents(spark, sf_dir), sessions, drop_reused_prior=True).select("t", F.substring("code", 2, 12).cast("long").alias("ticker"))
+    joined = lookups.joint_panel(tables.monthly_panel(spark, sf_dir), members)
+    return joined.join(sessions, "t").select("t", "date", "ticker", F.col("price").alias("close_adj"), F.col("member").alias("in_universe"))
 
 
 @query
-def attribution(spark, sf_dir):
-    from tidemark.operators.simulate import attribution as by_ticker
+def member_coverage(spark, sf_dir):
+    return _rounded(universe.coverage(_member_panel(spark, sf_dir)))
+
 
-    return by_ticker(_family(spark, sf_dir, study.baskets_run)[0], 10)
+def _listed_exclusions(spark, sf_dir):
+    """The exclusions in order, and one of a ticker that isn't there."""
+    each = _exclusions(spark, sf_dir).withColumn("ord", F.col("ticker") * 2 + F.col("start_date").isNull().cast("int"))
+    absent = spark.range(1).select(F.lit(-1).cast("long").alias("ticker"), F.lit("1995-01-01").cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit(-1).cast("long").alias("ord"))
+    return each.unionByName(absent)
 
 
-def _measured(family, cfg=CFG):
-    return metrics.run_metrics(family[1], cfg.n_tranches, cfg.rf_monthly)
+@query
+def exclusion_report(spark, sf_dir):
+    return universe.exclusion_report(_panel(spark, sf_dir), _listed_exclusions(spark, sf_dir), ("close_adj", "close_raw"))
+
+
+@query
+def new_proposals(spark, sf_dir):
+    """Proposed exclusions of tickers that aren't excluded yet."""
+    proposed = universe.suggest_exclusions(universe.broken_series(_panel(spark, sf_dir), extreme=0.5, divergent=0.04))
+    return lookups.among(proposed, _exclusions(spark, sf_dir), "ticker", keep=False)
+
+
+@query
+def excluded_prices(spark, sf_dir):
+    """The last sessions' prices of the tickers that have an exclusion."""
+    rows = lookups.among(_panel(spark, sf_dir), _exclusions(spark, sf_dir), "ticker")
+    return _rounded(rows.groupBy("ticker").agg(F.max_by("close_adj", F.when(F.col("close_adj").isNotNull(), F.col("t"))).alias("close_adj"), F.count("close_adj").alias("n")), 3)
 
 
 @query
-def bootstrap_null(spark, sf_dir):
-    return _measured(_family(spark, sf_dir, study.random_draws))
+def over_cap(spark, sf_dir):
+    return lookups.over_cap(_panel(spark, sf_dir), 24_000.0)
 
 
 @query
-def cost_sensitivity(spark, sf_dir):
-    return _measured(_family(spark, sf_dir, study.cost_grid)).select("run_id", "cagr", "cost_drag")
+def map_lanes(spark, sf_dir):
+    return _rounded(lookups.lanes(tables.sectors(spark, sf_dir).select("ticker", "sector"), REGIONS[:4]))
 
 
 @query
-def delisting_stress(spark, sf_dir):
-    return _measured(_family(spark, sf_dir, study.delisting_stress)).select("run_id", "cagr", "final_value")
+def feasibility(spark, sf_dir):
+    """Whether prices reach the end of each spell that has ended, of prices that some tickers lack altogether or after 1993."""
+    con = _constituents(spark, sf_dir).withColumn("is_active_now", F.col("end_date") == F.lit("1999-12-31").cast("date")).withColumn("is_latest", F.lit(True))
+    cells = tables.monthly_cells(spark, sf_dir).filter("ticker % 7 <> 0 AND (ticker % 5 <> 0 OR date < '1994-01-01')")
+    return universe.feasibility(con, cells.select(F.concat(F.lit("S"), "ticker").alias("code"), "date", "close_adj"))
 
 
 @query
-def filter_2x2(spark, sf_dir):
-    out = None
-    for on in (True, False):
-        part = _measured(_family(spark, sf_dir, study.baskets_run, sma_filter=on)).withColumn("sma_filter", F.lit(on))
-        out = part if out is None else out.union(part)
-    return out.filter(F.col("run_id").isin("top", "bottom")).select("run_id", "sma_filter", "cagr", "sharpe")
+def feasibility_rate(spark, sf_dir):
+    return _rounded(universe.feasibility_summary(feasibility(spark, sf_dir)))
 
 
 @query
-def horizon_grid(spark, sf_dir):
-    out = None
-    for holding, horizons in ((1, (1, 3, 6)), (3, (3, 6, 12)), (6, (6, 12))):
-        more = {"holding_months": holding, "horizons": horizons}
-        part = _measured(_family(spark, sf_dir, study.baskets_run, **more), Config(**SCALE, **more)).withColumn("holding", F.lit(holding))
-        out = part if out is None else out.union(part)
-    return out.filter(F.col("run_id").isin("top", "bottom")).select("run_id", "holding", "cagr", "sharpe")
+def adjusted_opens(spark, sf_dir):
+    """Opens of the days of a ticker, adjusted as its close is; a day opens at its first line."""
+    line = tables.table(spark, sf_dir, "lineitem")
+    unit, net = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")
+    place = F.struct("l_orderkey", "l_linenumber")
+    raw = line.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(F.min_by(unit - 15_000, place).alias("open"), F.max_by(unit, place).alias("close"), F.max_by(net, place).alias("adjusted_close"))
+    return panel.adjust(raw).select("ticker", "date", "close_adj", "open_adj", "open_raw")
