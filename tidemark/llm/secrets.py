@@ -22,7 +22,7 @@ _CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 #: Values of this cost (log10 of the guesses) or more are secrets; see the README for how it was chosen.
-LEAST_COST = 8.0
+LEAST_COST = 10.0
 #: Characters of a group that counts as repeated, at most: a longer one costs more than 10^16 guesses by itself.
 LONGEST_GROUP = 16
 #: The most frequent words of the corpus that a guesser would try, and the letters of such a word.
