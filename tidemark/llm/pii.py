@@ -54,6 +54,11 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 FEISTEL = 6
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _digest(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
@@ -69,16 +74,21 @@ def permuted(key: str, tweak: Column, text: Column, alphabets: tuple[str, ...] =
 
     A round moves each character of a half within its alphabet, by digits of a digest of the other half.
     """
-    half = F.floor(F.length(text) / 2).cast("int")
-    ends = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
+    def halves(v):
+        half = F.floor(F.length(v["s"]) / 2).cast("int")
+        return F.struct(F.substring(v["s"], F.lit(1), half).alias("a"), F.substring(v["s"], half + 1, F.length(v["s"])).alias("b"))
+
+    def rounds(v):
+        def step(x, i):
+            def moved(digest):
+                by = lambda k: F.conv(F.substring(digest, (k % 32 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+                return F.array_join(F.transform(F.split(x["a"], ""), lambda c, k: _let(by(k), lambda n: _moved(c, n, alphabets))), "")
+
+            return F.struct(x["b"].alias("a"), _let(_digest(key, v["t"], i, x["b"]), moved).alias("b"))
 
-    def step(x, i):
-        digest = _digest(key, tweak, i, x["b"])
-        by = lambda k: F.conv(F.substring(digest, (k % 32 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-        moved = F.array_join(F.transform(F.split(x["a"], ""), lambda c, k: _moved(c, by(k), alphabets)), "")
-        return F.struct(x["b"].alias("a"), moved.alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(FEISTEL)), halves(v), step, lambda x: F.concat(x["a"], x["b"]))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(FEISTEL)), ends, step, lambda x: F.concat(x["a"], x["b"]))
+    return _let(F.struct(tweak.alias("t"), text.alias("s")), rounds)
 
 
 def _script(x: Column) -> Column:
@@ -168,32 +178,35 @@ def shape(kind: Column, norm: Column) -> Column:
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate norm of an atom. ``attempt`` counts the surrogates that collisions have ruled out."""
     tweak = lambda *more: F.concat_ws("|", kind, attempt, *more)
-    issuer, luhn = F.substring(norm, 1, 6), _luhn(norm)
-    middle = F.concat(issuer, permuted(key, tweak(issuer, luhn), F.substring(norm, F.lit(7), F.length(norm) - 7)))
-    card = F.concat(middle, F.pmod(luhn - _luhn(F.concat(middle, F.lit("0"))), F.lit(10)).cast("string"))
-
-    network = _network(norm)
-    octets = F.split(F.substring(norm, F.length(network) + 1, F.length(norm)), r"\.")
-    hexed = permuted(key, tweak(network), F.array_join(F.transform(octets, lambda o: F.lpad(F.lower(F.conv(o, 10, 16)), 2, "0")), ""), (_HEX,))
-    ip = F.concat(network, F.array_join(F.transform(F.sequence(F.lit(0), F.size(octets) - 1), lambda i: F.conv(F.substring(hexed, (2 * i + 1).cast("int"), F.lit(2)), 16, 10)), "."))
+    issuer = F.substring(norm, 1, 6)
+    checked = lambda middle, luhn: F.concat(middle, F.pmod(luhn - _luhn(F.concat(middle, F.lit("0"))), F.lit(10)).cast("string"))
+    middle = lambda luhn: F.concat(issuer, permuted(key, tweak(issuer, luhn), F.substring(norm, F.lit(7), F.length(norm) - 7)))
+    card = _let(_luhn(norm), lambda luhn: _let(middle(luhn), lambda m: checked(m, luhn)))
+
+    octets = lambda network: F.split(F.substring(norm, F.length(network) + 1, F.length(norm)), r"\.")
+    hexed = lambda network: permuted(key, tweak(network), F.array_join(F.transform(octets(network), lambda o: F.lpad(F.lower(F.conv(o, 10, 16)), 2, "0")), ""), (_HEX,))
+    spelled = lambda x: F.array_join(F.transform(F.sequence(F.lit(0), (F.length(x) / 2).cast("int") - 1), lambda i: F.conv(F.substring(x, (2 * i + 1).cast("int"), F.lit(2)), 16, 10)), ".")
+    ip = _let(_network(norm), lambda network: F.concat(network, _let(hexed(network), spelled)))
     group = F.substring_index(norm, ":", 1)
     ipv6 = F.concat(group, permuted(key, tweak(group), F.substring(norm, F.length(group) + 1, F.length(norm)), (_HEX,)))
 
     country, account = F.substring(norm, 1, 2), F.substring(norm, 5, 99)
-    checked = lambda x: F.lit(98) - _mod97(F.concat(x, country, F.lit("00")))
-    other = permuted(key, tweak(country), account)
-    check = F.pmod(checked(other) - checked(account) + F.substring(norm, 3, 2).cast("int"), F.lit(97))
-    iban = F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), other)
+    valid = lambda x: F.lit(98) - _mod97(F.concat(x, country, F.lit("00")))
+    check = lambda other: F.pmod(valid(other) - valid(account) + F.substring(norm, 3, 2).cast("int"), F.lit(97))
+    two = lambda n: F.lpad(F.when(n < 2, n + 97).otherwise(n).cast("string"), 2, "0")
+    iban = _let(permuted(key, tweak(country), account), lambda other: F.concat(country, _let(check(other), two), other))
 
-    script, digest = _script(norm), _digest(key, tweak(), norm)
-    pick = lambda n: F.array_join(F.transform(F.split(F.substring(digest, 1, n), ""), lambda c: _by_script(script, lambda s: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.instr(F.lit(_HEX), c)))), "")
+    syllable = lambda script, c: _by_script(script, lambda s: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.instr(F.lit(_HEX), c)))
     ending = {"given_f": dict(latin="na", cyrillic="на", greek="να"), "given_m": dict(latin="nor", cyrillic="нор", greek="νορ"), "surname": dict(latin="l", cyrillic="л", greek="λ")}
-    name = F.initcap(F.concat(pick(F.lit(3) + attempt), reduce(lambda a, k: F.when(kind == k, _by_script(script, lambda s: F.lit(ending[k][s]))).otherwise(a), ending, F.lit(""))))
+    tail = lambda script: reduce(lambda a, k: F.when(kind == k, _by_script(script, lambda s: F.lit(ending[k][s]))).otherwise(a), ending, F.lit(""))
+    letters = F.split(F.substring(_digest(key, tweak(), norm), F.lit(1), F.lit(3) + attempt), "")
+    name = _let(_script(norm), lambda script: F.initcap(F.concat(F.array_join(F.transform(letters, lambda c: syllable(script, c)), ""), tail(script))))
 
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    odd = F.transform(F.split(local, ""), lambda c, i: F.when(c.rlike(r"^[\p{L}\p{N}]$") & ~c.rlike(rf"^[{''.join(ALPHABETS)}]$"), F.translate(F.substring(digest, (i % 64 + 1).cast("int"), F.lit(1)), _HEX, LETTERS["latin"])).otherwise(c))
+    rare = lambda c: c.rlike(r"^[\p{L}\p{N}]$") & ~c.rlike(rf"^[{''.join(ALPHABETS)}]$")
+    common = lambda digest: F.array_join(F.transform(F.split(local, ""), lambda c, i: F.when(rare(c), F.translate(F.substring(digest, (i % 64 + 1).cast("int"), F.lit(1)), _HEX, LETTERS["latin"])).otherwise(c)), "")
     host = F.translate(F.substring(_digest(key, F.lit("domain"), domain), 1, 12), _HEX, LETTERS["latin"])
-    email = F.concat(permuted(key, tweak(domain), F.array_join(odd, "")), F.lit("@"), host, F.lit(".example"))
+    email = F.concat(permuted(key, tweak(domain), _let(_digest(key, tweak(), norm), common)), F.lit("@"), host, F.lit(".example"))
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
@@ -291,11 +304,11 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         held = of(plain).join(mine, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").select("id", "text", F.coalesce("tries", F.create_map().cast("map<string,int>")).alias("tries"))
     marked = held.withColumn("found", F.coalesce(_found(F.col("text")), F.array().cast("array<struct<text:string,kind:string>>")))
     attempt = lambda a: F.coalesce(F.try_element_at("tries", F.concat_ws(":", a["kind"], a["norm"])), F.lit(0))
-    made = lambda e: F.transform(atoms(e["text"], e["kind"]), lambda a: surrogate(key, a["kind"], a["norm"], attempt(a)))
-    marked = marked.withColumn("new", F.transform("found", lambda e: _render(e["text"], e["kind"], made(e))))
-    named = F.filter("found", lambda e: e["kind"] == "name")
-    known = F.flatten(F.transform(named, lambda e: F.transform(atoms(e["text"], e["kind"]), lambda a: F.struct(a["norm"].alias("norm"), surrogate(key, a["kind"], a["norm"], attempt(a)).alias("made")))))
-    marked = marked.withColumn("known", F.when(F.size(named) > 0, known))
+    one = lambda a: F.struct(a["norm"].alias("norm"), surrogate(key, a["kind"], a["norm"], attempt(a)).alias("made"))
+    marked = marked.withColumn("made", F.transform("found", lambda e: F.transform(atoms(e["text"], e["kind"]), one)))
+    new = F.zip_with("found", "made", lambda e, m: _let(F.transform(m, lambda x: x["made"]), lambda x: _render(e["text"], e["kind"], x)))
+    known = F.flatten(F.zip_with("found", "made", lambda e, m: F.when(e["kind"] == "name", m).otherwise(F.slice(m, F.lit(1), F.lit(0)))))
+    marked = marked.withColumns({"new": new, "known": known})
 
     def renamed(part: Column) -> Column:
         """Text between entities, the words of the text's own names replaced."""
@@ -305,7 +318,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         return F.array_join(F.flatten(F.zip_with(F.split(part, word, -1), words, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
     between = F.split("text", ENTITY, -1)
-    between = F.when(F.col("known").isNotNull(), F.transform(between, renamed)).otherwise(between)
+    between = F.when(F.size("known") > 0, F.transform(between, renamed)).otherwise(between)
     text = F.when(F.size("found") > 0, F.array_join(F.flatten(F.zip_with(between, "new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(F.col("text"))
     count = lambda k: F.size(F.filter("found", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
     return marked.select("id", text.alias("text"), *map(count, KINDS), (F.size("found") > 0).alias("changed"))
