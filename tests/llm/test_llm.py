@@ -179,6 +179,9 @@ def test_chat_round_trip(spark):
     assert sorted(t.role for t in got[None].t) == ["User", "tool: #### \\x"]
     assert got[1].formatted.count("</turn>") == 9 and got[1].formatted.count("###") == 9
     assert chat.format_chats(empty(df)).count() == 0
+    odd = df.union(df).withColumns({"id": F.lit(5), "t": F.lit("x"), "segments": F.lit(1), "formatted": F.lit("f")})  # rows twice, and clashing names
+    twice = {r.id: r for r in chat.format_chats(odd).select("id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert len(twice[1].t) == 18 and sorted(t.text for t in twice[1].t) == sorted(2 * [t or "" for t in texts])
 
 
 def test_language_model(spark):
@@ -433,6 +436,12 @@ def test_pipeline(spark, tmp_path):
     assert ids("decontamination") == ids("near_dup") == ids("secrets") and not steps["secrets"].filter("contains(text, 'ab12')").count()
     assert steps["mixing"].filter("epochs < 1").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == steps["mixing"].count()
+    for name, stage in corpus_pipeline.STAGES:  # no rows; and columns of the names that the stages use themselves
+        assert stage(spark, empty(docs), str(tmp_path)).count() == 0, name
+        if name != "mixing":
+            odd = docs.withColumns({"score": F.lit(1.5), "row": F.lit(7), "root": F.lit("r"), "cut": F.lit("c"), "_row": F.lit(1), "_text": F.lit("t")})
+            out = stage(spark, odd, str(tmp_path))
+            assert out.columns == odd.columns and {(r.score, r.row, r.root, r.cut, r._row, r._text) for r in out.collect()} == {(1.5, 7, "r", "c", 1, "t")}, name
 
 
 @pytest.mark.parametrize("name", sorted(n for n in queries.ORACLES))
@@ -520,7 +529,10 @@ def test_decontaminate_shares_equal_one_automaton(spark, monkeypatch):
     rows = lambda: sorted(str(r) for r in decontaminate.decontaminate(docs, bench).collect())
     one = rows()
     assert len(one) == docs.count() - 132
+    odd = docs.withColumns({"row": F.lit(1), "_row": F.lit(2), "_text": F.lit("t"), "cut": F.lit("c")})
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 60)
+    more = decontaminate.decontaminate(odd, bench)
+    assert more.columns == odd.columns and sorted(str(r) for r in more.select(docs.columns).collect()) == one and more.filter("row = 1 AND _row = 2 AND _text = 't' AND cut = 'c'").count() == len(one)
     assert decontaminate.shares_of(bench, "item_id", "text")[1] > 1
     assert rows() == one
 

@@ -251,8 +251,11 @@ def _decontaminate_shares(docs: DataFrame, named: DataFrame, shares: int, text_c
             new = [without(t, np.array(h, np.int64)) for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], ["_row", "_text"])
 
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    now, done, dropped = numbered.select("_row", F.col(text_col).cast("string").alias("_text")), None, None
+    number, mark = "row", "cut"  # of names that the documents don't have
+    while number in docs.columns or mark in docs.columns:
+        number, mark = number + "_", mark + "_"
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    now, done, dropped = numbered.select(F.col(number).alias("_row"), F.col(text_col).cast("string").alias("_text")), None, None
     while True:
         plain = now.select(F.col("_row").alias("row"), F.lit(None).cast("long").alias("id"), F.col("_text").alias("text"))
         hits = materialize(_united(plain, named, shares, window).filter("size(hits) > 0").select(F.col("row").alias("_row"), "n_words", "hits"), "hits")
@@ -264,8 +267,8 @@ def _decontaminate_shares(docs: DataFrame, named: DataFrame, shares: int, text_c
         texts = materialize(now.join(hits.select("_row", "hits"), "_row").select("_row", "_text", "hits").mapInArrow(cut, "_row long, _text string"), "cut")
         done = texts if done is None else materialize(done.join(texts, "_row", "left_anti").union(texts), "done")
         now = texts
-    kept = numbered.join(dropped, "_row", "left_anti")
+    kept = numbered.join(dropped.withColumnRenamed("_row", number), number, "left_anti")
     if done is None:
         return kept.select(docs.columns)
-    kept = kept.join(done.withColumn("_cut", F.lit(True)), "_row", "left")
-    return kept.select(*[F.when(F.col("_cut"), F.col("_text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    kept = kept.join(done.select(F.col("_row").alias(number), F.struct("_text").alias(mark)), number, "left")
+    return kept.select(*[F.when(F.col(mark).isNotNull(), F.col(f"{mark}._text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
