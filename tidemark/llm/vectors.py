@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, materialize, salted_join
+from tidemark.llm.common import Scratch, materialize
 from tidemark.llm.graph import connected_components
 
 SEED = 11
@@ -213,8 +213,8 @@ def vector_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     merged = scratch.keep(merged, "merged")
     named = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     names = merged.join(named, "root").select("vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    # a vector that very many rows have is dealt over several tasks; rows without a usable vector need no partner
-    linked = salted_join(good, names, "vec").select("id", "n_links", "component_id")
+    # rows without a usable vector need no partner, so that the only hot keys are vectors that very many rows have, whose partitions Spark splits
+    linked = good.join(names, "vec").select("id", "n_links", "component_id")
     useless = plain.filter(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.select("id", "n_links", F.coalesce("component_id", "id").alias("component_id")).union(useless).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
     out = materialize(out, "vector_groups")
