@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, decontaminate, language_model, mixing, pii, quality, secrets, simhash, toxicity, vectors
+from tidemark.llm import chat, decontaminate, language_id, language_model, mixing, pii, quality, secrets, simhash, spelling, token_alignment, toxicity, vectors
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -164,6 +166,34 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and spans (language:start:end, by code points) for each document."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    line = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["start"], s["end"])), ",")
+    return found.select(F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "lang_pred", "score", line.alias("spans"))
+
+
+#: Where the vocabularies of op12 are on each machine.
+TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of each document under two tokenizers, with the links' counts over the corpus."""
+    docs = table(spark, sf_dir, "documents")
+    found = token_alignment.align(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word's form and root among the words one edit away."""
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture that the stages of corpus_pipeline.py make of all documents."""
