@@ -116,7 +116,9 @@ def near_sets(sets: DataFrame) -> DataFrame:
 def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
     """(word, other): ordered pairs of words one edit apart, from a table with a column ``word``."""
     held = scratch.keep(words.select("word", _letters("word").alias("letters")), "letters")
-    near = scratch.keep(near_sets(held.select("letters").distinct()), "sets")
+    # as many tasks as other shuffles have: each set becomes as many rows as there are signatures
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = scratch.keep(near_sets(held.select("letters").repartition(tasks, "letters").distinct()), "sets")
     at = F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.lit(1)) == F.col("less"))
     edit = lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.col("more"), F.substring(F.col("word"), i + 1, F.length("word")))
     once = F.length("word") - F.length(F.replace("word", F.col("less"), F.lit(""))) == 1
