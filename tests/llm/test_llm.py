@@ -605,6 +605,20 @@ def test_common_words_count_all_texts_and_spare_ordinary_words(spark):
     assert secrets.common_words(empty(docs)).keys() == secrets._RANK.keys()
 
 
+def test_a_value_gets_one_verdict_in_any_table(spark):
+    value = "zxkqvbnwjhtrp"
+    planted = [f"pwd: {value}", f"the password = '{value}' again", f"token: {value}"]
+    ordinary = [f"yesterday the morning {prose(30)} pwd: yesterday" for _ in range(40)]
+    for texts in (planted[:1], planted, planted * 30, planted + ordinary):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rank = secrets.common_words(docs)
+        assert value not in rank and ("yesterday" in rank) == (len(texts) == 43)
+        found = {r.id: [texts[r.id][s.start : s.end] for s in r.spans] for r in secrets.secret_spans(docs).collect()}
+        for i, t in enumerate(texts):
+            assert any(value in x for x in found[i]) == (value in t)
+    assert found[10] == []  # a word of many documents isn't a secret
+
+
 def test_secret_patterns_against_sql(spark):
     """The base spans of the given documents: splits and matches of another engine's patterns give the same places."""
     import hashlib

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Scratch
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -25,8 +27,8 @@ _CONTEXT = re.compile(
 LEAST_COST = 10.0
 #: Characters of a group that counts as repeated, at most: a longer one costs more than 10^16 guesses by itself.
 LONGEST_GROUP = 16
-#: The most frequent words of the corpus that a guesser would try, and the letters of such a word.
-MOST_WORDS, WORD_LETTERS = 200_000, (3, 15)
+#: Letters of a word that a guesser would try; such words stand in this share of the documents, and in so many, at least.
+WORD_LETTERS, LEAST_SHARE, LEAST_DOCUMENTS = (3, 15), 1 / 2000, 5
 #: Distinct words that a task counts before it passes them on.
 REMEMBER = 500_000
 
@@ -49,24 +51,39 @@ _STEPS = [frozenset(w[i : i + 2] for i in range(len(w) - 1)) for w in _WAYS]
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
 
 
-def common_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> dict[str, int]:
-    """Ranks of words: the fixed ones first, then those of the corpus by number of occurrences, ``most`` at most.
+def ordinary(text: str) -> str:
+    """``text`` without what might be a secret: values in a credential context and matches of the patterns."""
+    for pattern in (_CONTEXT, _ASSIGN, _ACCESS, _HEX):
+        text = pattern.sub(" ", text)
+    return text
+
+
+def common_words(docs: DataFrame, text_col: str = "text", share: float = LEAST_SHARE, least: int = LEAST_DOCUMENTS) -> dict[str, int]:
+    """Ranks of words: the fixed ones first, then those of the corpus by number of documents.
 
-    A word is a run of WORD_LETTERS lower-cased ASCII letters between blanks or punctuation. All texts count.
+    A word is a run of WORD_LETTERS lower-cased ASCII letters between blanks or punctuation, in ``share`` of the
+    documents and ``least`` of them. All texts count, but for values that are to be judged: a value doesn't
+    make itself a word, however often it is there. As the limit is a share, a word is in or out whatever the
+    table's size is, and there are no more than 1 / share times the words of an average document.
     """
 
     def run(batches):
-        seen, word = Counter(), re.compile(r"(?<![a-z])[a-z]{%d,%d}(?![a-z])" % WORD_LETTERS)
+        seen, n, word = Counter(), 0, re.compile(r"(?<![a-z])[a-z]{%d,%d}(?![a-z])" % WORD_LETTERS)
         for b in batches:
+            n += b.num_rows
             for t in b.column(0):
-                seen.update(word.findall((t.as_py() or "").lower()))
+                seen.update(set(word.findall(ordinary(t.as_py() or "").lower())))
                 if len(seen) >= REMEMBER:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
                     seen = Counter()
+        seen[""] = n  # the documents
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column("word").to_pylist()
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.keep(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    documents = counted.filter("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counted.filter((F.col("word") != "") & (F.col("n") >= max(least, share * documents))).orderBy(F.desc("n"), "word").select("word").toArrow().column("word").to_pylist()
+    scratch.drop()
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*_RANK, *found]))}
 
 
