@@ -4,12 +4,14 @@ import datetime
 import json
 import math
 import random
+import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import analysis, features, lookups, metrics, panel, periods, study, universe
+from tidemark.operators import analysis, features, lookups, metrics, panel, periods, sampling, selection, study, universe
 from tidemark.sources import files
 
 DAY = datetime.date(2015, 1, 1)
@@ -128,11 +130,13 @@ def test_exclusion_report_records_absent_tickers_and_overlaps(spark):
 
 
 def test_feasibility_and_coverage_by_year(spark):
-    con = spark.createDataFrame([("A", DAY, True, False), ("B", DAY, True, False), ("C", DAY, True, False), ("D", DAY, True, True), ("E", DAY, False, False)], "code string, end_date date, is_latest boolean, is_active_now boolean")
+    rows = [("A", "Energy", DAY, True, False), ("B", "unclassified", DAY, True, False), ("C", None, DAY, True, False), ("D", "Energy", DAY, True, True), ("E", "Energy", DAY, False, False)]
+    con = spark.createDataFrame(rows, "code string, sector string, end_date date, is_latest boolean, is_active_now boolean")
     prices = spark.createDataFrame([("A", DAY - datetime.timedelta(29), 1.0), ("B", DAY - datetime.timedelta(31), 1.0), ("B", DAY, None)], "code string, date date, close_adj double")
     report = universe.feasibility(con, prices)
     assert {r.code: r.outcome for r in report.collect()} == {"A": "ok", "B": "truncated", "C": "no data"}
-    assert universe.feasibility_summary(report).first().verdict == "insufficient"
+    summary = universe.feasibility_summary(report).first()
+    assert summary.verdict == "insufficient" and abs(summary.sector_known - 1 / 3) < 1e-12 and summary.earliest == DAY - datetime.timedelta(31)
     panel_ = spark.createDataFrame([(datetime.date(2020, 1, 31), 1, 1.0, True), (datetime.date(2020, 1, 31), 2, None, True), (datetime.date(2020, 2, 28), 1, 1.0, False)], "date date, ticker long, close_adj double, in_universe boolean")
     assert [(r.members, r.priced, r.missing, r.coverage) for r in universe.coverage(panel_).orderBy("month").collect()] == [(2, 1, 1, 0.5), (0, 0, 0, None)]
     row = universe.coverage_by_year(panel_, least=2).first()
@@ -165,7 +169,7 @@ def test_metrics(spark):
     assert abs(metrics.newey_west(series).first().t_stat - sum(x) / 40 / math.sqrt(s / 40)) < 1e-9
     assert metrics.newey_west(series.limit(7)).first().t_stat is None
     null = spark.createDataFrame([(i / 99,) for i in range(100)], "r double")
-    assert metrics.empirical_p(null, F.lit(2.0), "r").first().p == 1 / 101
+    assert metrics.empirical_p(null, spark.createDataFrame([(2.0,)], "r double"), "r").first().p == 1 / 101
 
 
 def test_dwell_and_sessions_bridge_gaps(spark):
@@ -241,3 +245,71 @@ def test_files(spark, tmp_path):
     spark.createDataFrame([(DAY, 1.0, float("nan"))], "date date, A double, B double").write.parquet(str(tmp_path / "wide"))
     assert {r.ticker: r.close for r in files.load_wide_panel(spark, str(tmp_path / "wide"), "close").collect()} == {"A": 1.0, "B": None}
     assert files.constant_risk_free(spark, "2024-01-01", "2024-01-07").count() == 5
+
+
+def test_medians_without_a_group_in_a_task(spark, monkeypatch):
+    rng = random.Random(11)
+    groups = {
+        0: [rng.gauss(0, 1) for _ in range(5000)],
+        1: [float(rng.randint(0, 3)) for _ in range(4001)],  # ties fill the bracket
+        2: [7.0] * 1000,
+        3: [1.0, 2.0],
+        4: [None, None],
+        5: [math.exp(rng.gauss(0, 20)) for _ in range(3000)],
+    }
+    rows = [(t, x, None if x is None or x > 1 else -x) for t, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "t int, x double, y double").repartition(7)
+    for accuracy in (1000, 40):
+        monkeypatch.setattr(selection, "ACCURACY", accuracy)
+        got = {r.t: (r.medians, r.counts) for r in selection.medians(df, ["t"], ["x", "y"]).collect()}
+        for t, xs in groups.items():
+            ys = [-x for x in xs if x is not None and x <= 1]
+            xs = [x for x in xs if x is not None]
+            want = ([statistics.median(v) if v else None for v in (xs, ys)], [len(xs), len(ys)])
+            assert got.get(t, ([None, None], [0, 0])) == want, t
+    # the same scores by either plan
+    cells = spark.createDataFrame([(t, i, rng.gauss(0, 1) if rng.random() > 0.1 else None) for t in range(4) for i in range(60)] + [(9, i, 1.0) for i in range(60)] + [(10, 1, 2.0)], "t int, ticker int, x double")
+    z = [{(r.t, r.ticker): r.z and round(r.z, 9) for r in features.robust_z(cells, "x", "z", large=large).collect()} for large in (False, True)]
+    assert z[0] == z[1] and len(z[0]) == 301 and sum(v is not None for v in z[0].values()) > 200
+
+
+def test_draws_are_distinct_and_every_set_is_equally_likely(spark):
+    groups = spark.createDataFrame([(0, 5), (1, 2), (2, 0), (3, 10**9)], "t int, m long")
+    picked = {}
+    for r in sampling.draw_ranks(groups, 3000, 3, 7).collect():
+        picked.setdefault((r.t, r.draw), []).append((r.ord, r.rank))
+    assert {k[0] for k in picked} == {0, 1, 3} and len(picked) == 9000
+    for (t, _), x in picked.items():
+        ranks = [rank for _, rank in sorted(x)]
+        assert [o for o, _ in sorted(x)] == list(range(1, min(3, {0: 5, 1: 2, 3: 10**9}[t]) + 1))
+        assert len(set(ranks)) == len(ranks) and all(0 <= rank < {0: 5, 1: 2, 3: 10**9}[t] for rank in ranks)
+    sets = Counter(frozenset(rank for _, rank in x) for (t, _), x in picked.items() if t == 0)
+    assert len(sets) == 10 and all(abs(n - 300) < 75 for n in sets.values())
+    rows = spark.range(1000).select(F.col("id").alias("k"))
+    one, two = ({r.k for r in sampling.sample_rows(df, 50, 3, "k").collect()} for df in (rows, rows.repartition(9)))
+    assert one == two and len(one) == 50 and sampling.sample_rows(rows.limit(4), 50, 3, "k").count() == 4
+
+
+def test_exclusion_sweeps_against_a_scan_of_windows(spark):
+    rng, day = random.Random(3), datetime.date(2000, 1, 1)
+    at = lambda n: None if n is None else day + datetime.timedelta(n)
+    windows = []
+    for ticker in range(6):
+        for _ in range([0, 1, 3, 40, 300, 2][ticker]):
+            lo = rng.randint(0, 400)
+            windows.append((ticker, rng.choice([lo, lo, lo, None]) if ticker < 4 else lo, rng.choice([lo + rng.randint(0, 9), lo, lo + 60 if ticker == 3 else lo])))
+    windows += [(5, 100, None), (5, 10, 300), (5, 50, 60), (5, 55, 55), (77, None, None)]
+    prices = [(t, d, float(d)) for t in range(6) for d in range(0, 420, 3)]
+    df = spark.createDataFrame([(t, at(d), x, "k") for t, d, x in prices], "ticker int, date date, x double, other string")
+    listed = spark.createDataFrame([(i, t, at(a), at(b)) for i, (t, a, b) in enumerate(windows)], "ord int, ticker int, start_date date, end_date date")
+    inside = lambda w, d: (w[1] is None or w[1] <= d) and (w[2] is None or d <= w[2])
+    first = {(t, d): next((i for i, w in enumerate(windows) if w[0] == t and inside(w, d)), None) for t, d, _ in prices}
+    got = {(r.ticker, r.date): r.x for r in universe.exclude(df, listed, ("x",)).collect()}
+    assert got == {(t, at(d)): None if first[t, d] is not None else x for t, d, x in prices}
+    report = sorted((r.ticker, str(r.start_date), str(r.end_date), r.applied, r.removed) for r in universe.exclusion_report(df, listed, ("x",)).collect())
+    removed = Counter(i for i in first.values() if i is not None)
+    assert report == sorted((t, str(at(a)), str(at(b)), t < 6, removed[i]) for i, (t, a, b) in enumerate(windows))
+
+
+def test_round_trip_cost():
+    assert Config(capital=100_000.0, n_names=30, commission=1.5, spread_bps=3.0).round_trip_bps == 2 * 1.5 / (100_000 / 30) * 1e4 + 6

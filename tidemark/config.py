@@ -22,6 +22,7 @@ class Config:
     sma_window: int = 10
     min_history: int = 13
     min_count: int = 5
+    large_sessions: bool = False  # sessions of more tickers than a task should hold
     winsor: float = 3.0
     max_share_price: float = 1500.0
     sector_neutral: bool = False

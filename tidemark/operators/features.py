@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
+from tidemark.operators.selection import medians
 
 
 def _series(last: int | None = None):
@@ -21,27 +22,52 @@ def log_return(price: str, h: int) -> Column:
     return logged - F.lag(logged, h).over(_series())
 
 
-def robust_z(df: DataFrame, column: str, out: str, winsor: float = 3.0, min_count: int = 20) -> DataFrame:
-    """Distance from the session's median in robust deviations, clipped; null on sessions with few values or no spread.
+def _local(stats: DataFrame) -> DataFrame:
+    """``stats``, which has a row for each session, computed and held by the driver, so that plans don't nest."""
+    return stats.sparkSession.createDataFrame(stats.collect(), stats.schema)
 
-    Both medians and the count share one exchange by session, which holds one value per ticker.
+
+def robust_zs(df: DataFrame, outs: dict[str, str], winsor: float = 3.0, min_count: int = 20, large: bool = False) -> DataFrame:
+    """Adds for each column of ``outs`` its distance from the session's median in robust deviations, clipped; null on sessions with few values or no spread.
+
+    By default both medians and the count share one exchange by session, which holds one value per ticker:
+    right for an index, whose sessions fit in tasks. With ``large``, sessions may have any number of tickers:
+    medians come from sketches and counts (``medians``), so no session is gathered in a task, and rows stay
+    partitioned as they were; they are read five times, and kept for that.
     """
-    w = W.partitionBy("t")
-    df = df.withColumns({"_med": F.median(column).over(w), "_n": F.count(column).over(w)})
-    df = df.withColumn("_mad", 1.4826 * F.median(F.abs(F.col(column) - F.col("_med"))).over(w))
-    z = (F.col(column) - F.col("_med")) / F.col("_mad")
-    ok = F.col(column).isNotNull() & (F.col("_n") >= min_count) & (F.col("_mad") > 0)
-    return df.withColumn(out, F.when(ok, F.greatest(F.lit(-winsor), F.least(F.lit(winsor), z)))).drop("_med", "_n", "_mad")
+    names = list(outs)
+    if large:
+        df = df.persist()
+        med = _local(medians(df, ["t"], names))
+        apart = df.join(F.broadcast(med), "t").select("t", *[F.abs(F.col(c) - F.col("medians")[k]).alias(c) for k, c in enumerate(names)])
+        dev = _local(medians(apart, ["t"], names))
+        each = lambda x, out: [F.col(x)[k].alias(f"{out}{k}") for k in range(len(names))]
+        stats = med.select("t", *each("medians", "_med"), *each("counts", "_n")).join(dev.select("t", *each("medians", "_dev")), "t")
+        df = df.join(F.broadcast(stats), "t", "left")
+    else:
+        w = W.partitionBy("t")
+        df = df.withColumns({f"_med{k}": F.median(c).over(w) for k, c in enumerate(names)} | {f"_n{k}": F.count(c).over(w) for k, c in enumerate(names)})
+        df = df.withColumns({f"_dev{k}": F.median(F.abs(F.col(c) - F.col(f"_med{k}"))).over(w) for k, c in enumerate(names)})
+    new = {}
+    for k, (c, out) in enumerate(outs.items()):
+        mad = 1.4826 * F.col(f"_dev{k}")
+        ok = F.col(c).isNotNull() & (F.col(f"_n{k}") >= min_count) & (mad > 0)
+        new[out] = F.when(ok, F.greatest(F.lit(-winsor), F.least(F.lit(winsor), (F.col(c) - F.col(f"_med{k}")) / mad)))
+    return df.withColumns(new).drop(*[f"{x}{k}" for x in ("_med", "_n", "_dev") for k in range(len(names))])
+
+
+def robust_z(df: DataFrame, column: str, out: str, winsor: float = 3.0, min_count: int = 20, large: bool = False) -> DataFrame:
+    """``robust_zs`` of one column."""
+    return robust_zs(df, {column: out}, winsor, min_count, large)
 
 
 def rs_score(panel: DataFrame, cfg: Config, price: str = "close_adj") -> DataFrame:
     """Adds rs_score: the robust z of the mean robust z of all horizons' returns, all of which must be there."""
     names = [f"_r{h}" for h in cfg.horizons]
     out = panel.withColumns({n: log_return(price, h) for n, h in zip(names, cfg.horizons, strict=True)})
-    for n in names:
-        out = robust_z(out, n, f"{n}z", cfg.winsor, cfg.min_count)
+    out = robust_zs(out, {n: f"{n}z" for n in names}, cfg.winsor, cfg.min_count, cfg.large_sessions)
     mean = reduce(lambda a, b: a + b, [F.col(f"{n}z") for n in names]) / len(names)
-    out = robust_z(out.withColumn("_mean", mean), "_mean", "rs_score", cfg.winsor, cfg.min_count)
+    out = robust_z(out.withColumn("_mean", mean), "_mean", "rs_score", cfg.winsor, cfg.min_count, cfg.large_sessions)
     return out.drop("_mean", *names, *[f"{n}z" for n in names])
 
 
@@ -49,7 +75,7 @@ def rs_slope(scored: DataFrame, cfg: Config) -> DataFrame:
     """Adds rs_slope: the robust z of the score's regression slope over the window, which must be unbroken."""
     w = _series(cfg.slope_window)
     slope = F.when(F.count("rs_score").over(w) == cfg.slope_window, F.regr_slope(F.col("rs_score"), F.col("t").cast("double")).over(w))
-    return robust_z(scored.withColumn("_slope", slope), "_slope", "rs_slope", cfg.winsor, cfg.min_count).drop("_slope")
+    return robust_z(scored.withColumn("_slope", slope), "_slope", "rs_slope", cfg.winsor, cfg.min_count, cfg.large_sessions).drop("_slope")
 
 
 def criteria(panel: DataFrame, cfg: Config) -> DataFrame:

@@ -113,7 +113,8 @@ def rolling_sums(series: DataFrame, *windows: int) -> DataFrame:
     return sums.groupBy("run_id", "window").agg(F.count("*").alias("n"), F.avg((F.col("s") > 0).cast("double")).alias("win_share"), F.median("s").alias("median"), F.min("s").alias("worst"))
 
 
-def empirical_p(null: DataFrame, observed: Column, value: str) -> DataFrame:
-    """(n, p): share of null values at least as large as observed, one added to both counts."""
-    out = null.agg(F.count(value).alias("n"), F.count_if(F.col(value) >= observed).alias("above"))
+def empirical_p(null: DataFrame, observed: DataFrame, value: str) -> DataFrame:
+    """(n, p): share of null values at least as large as the one of ``observed`` (one row with column ``value``), one added to both counts."""
+    seen = null.join(F.broadcast(observed.select(F.col(value).alias("_seen"))))
+    out = seen.agg(F.count(value).alias("n"), F.count_if(F.col(value) >= F.col("_seen")).alias("above"))
     return out.select("n", ((F.col("above") + 1) / (F.col("n") + 1)).alias("p"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.operators.panel import forward_fill
+from tidemark.operators.sampling import draw_ranks
 
 
 def rebalance_calendar(days: DataFrame, start: str | None = None) -> DataFrame:
@@ -60,24 +61,32 @@ def select_all(panel: DataFrame, run: str) -> DataFrame:
     return rows.select(F.lit(run).alias("run_id"), "t", "ticker", F.row_number().over(W.partitionBy("t").orderBy("ticker")).cast("int").alias("ord"))
 
 
-def select_random(panel: DataFrame, draws: DataFrame, n: int, seed: int) -> DataFrame:
-    """n eligible tickers for each draw of ``draws`` (draw) and period, by the digest of seed, draw, period and ticker."""
-    rows = panel.filter("eligible AND rs_score IS NOT NULL").select("t", "ticker").join(F.broadcast(draws))
-    key = F.md5(F.concat_ws("|", F.lit(seed), "draw", "t", "ticker").cast("binary"))
-    ranked = rows.withColumn("ord", F.row_number().over(W.partitionBy("draw", "t").orderBy(key, "ticker"))).filter(F.col("ord") <= n)
-    return ranked.select(F.concat(F.lit("draw"), "draw").alias("run_id"), "t", "ticker", F.col("ord").cast("int").alias("ord"))
+def select_random(panel: DataFrame, draws: int, n: int, seed: int) -> DataFrame:
+    """n eligible tickers for each draw and period, by ranks that ``draw_ranks`` takes: rows are numbered once per period, whatever the number of draws."""
+    w = W.partitionBy("t")
+    rows = panel.filter("eligible AND rs_score IS NOT NULL").select("t", "ticker", (F.row_number().over(w.orderBy("ticker")) - 1).cast("long").alias("rank"))
+    picks = draw_ranks(rows.groupBy("t").agg(F.count("*").alias("m")), draws, n, seed)
+    return picks.join(rows, ["t", "rank"]).select(F.concat(F.lit("draw"), "draw").alias("run_id"), "t", "ticker", F.col("ord").cast("int").alias("ord"))
 
 
 def baskets(panel: DataFrame, cfg: Config) -> DataFrame:
-    """The five baskets as runs: top, bottom, pullback, mid and universe."""
+    """The five baskets as runs: top, bottom, pullback, mid and universe, in one pass: each row's ranks among a period's rows of each basket, then a row for each basket it is in."""
     top, mid = cfg.n_bands, (cfg.n_bands + 1) // 2
-    return (
-        select_band(panel, "top", top, cfg.n_names)
-        .union(select_band(panel, "bottom", 1, cfg.n_names, strongest=False))
-        .union(select_pullback(panel, "pullback", top, cfg.n_names))
-        .union(select_band(panel, "mid", mid, cfg.n_names))
-        .union(select_all(panel, "universe"))
-    )
+    scored = F.col("rs_score").isNotNull()
+    runs = {
+        "top": ((F.col("band") == top) & scored, F.desc("rs_score"), cfg.n_names),
+        "bottom": ((F.col("band") == 1) & scored, F.asc("rs_score"), cfg.n_names),
+        "pullback": ((F.col("band") == top) & (F.col("rs_slope") < 0), F.asc("rs_slope"), cfg.n_names),
+        "mid": ((F.col("band") == mid) & scored, F.desc("rs_score"), cfg.n_names),
+        "universe": (F.col("eligible") & scored, F.asc("ticker"), None),
+    }
+    ranked = panel.select("t", "ticker", "rs_score", "rs_slope", *[F.coalesce(inside, F.lit(False)).alias(f"_in_{run}") for run, (inside, *_) in runs.items()])
+    each = []
+    for run, (_, order, n) in runs.items():
+        place = F.row_number().over(W.partitionBy("t").orderBy(F.desc(f"_in_{run}"), order, "ticker"))
+        kept = F.col(f"_in_{run}") & (place <= n) if n else F.col(f"_in_{run}")
+        each.append(F.when(kept, F.struct(F.lit(run).alias("run_id"), place.cast("int").alias("ord"))))
+    return ranked.select("t", "ticker", F.array_compact(F.array(*each)).alias("e")).select("t", "ticker", F.inline("e")).select("run_id", "t", "ticker", "ord")
 
 
 def basket_returns(selections: DataFrame, panel: DataFrame) -> DataFrame:

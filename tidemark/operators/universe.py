@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,26 +87,64 @@ def coverage_by_year(panel: DataFrame, least: int = 480) -> DataFrame:
     return months.join(days, "year").withColumn("thin", F.col("members") < least)
 
 
+def _bounds() -> list[Column]:
+    return [F.coalesce("start_date", F.lit("0001-01-01").cast("date")).alias("date"), F.coalesce("end_date", F.lit("9999-12-31").cast("date")).alias("_hi")]
+
+
+def _swept(prices: DataFrame, windows: DataFrame) -> tuple[DataFrame, WindowSpec]:
+    """Prices and windows (ticker, date, ...) in one table, and the frame of all that begins at or before a price.
+
+    A window stands before the prices of its first day. So one pass in order of days meets both, however many
+    windows a ticker has.
+    """
+    both = prices.withColumn("_price", F.lit(True)).unionByName(windows.withColumn("_price", F.lit(False)), allowMissingColumns=True)
+    return both, W.partitionBy("ticker").orderBy("date", "_price").rowsBetween(W.unboundedPreceding, 0)
+
+
 def exclude(prices: DataFrame, exclusions: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Prices with nulls inside exclusion windows; a window without bounds covers the whole series."""
-    lo, hi = F.coalesce("start_date", F.lit("0001-01-01").cast("date")), F.coalesce("end_date", F.lit("9999-12-31").cast("date"))
-    windows = exclusions.groupBy("ticker").agg(F.collect_list(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("_w"))
-    hit = F.exists(F.coalesce("_w", F.array()), lambda w: (F.col("date") >= w["lo"]) & (F.col("date") <= w["hi"]))
-    out = prices.join(windows, "ticker", "left").withColumn("_hit", hit)
-    return out.withColumns({c: F.when(~F.col("_hit"), F.col(c)) for c in columns}).drop("_w", "_hit")
+    """Prices with nulls inside exclusion windows; a window without bounds covers the whole series.
+
+    A day is excluded if the latest end of the windows begun so far isn't before it: overlapping and nested
+    windows need no merging.
+    """
+    both, past = _swept(prices, exclusions.select("ticker", *_bounds()))
+    hit = F.coalesce(F.max("_hi").over(past) >= F.col("date"), F.lit(False))
+    return both.withColumn("_hit", hit).filter("_price").withColumns({c: F.when(~F.col("_hit"), F.col(c)) for c in columns}).select(*prices.columns)
+
+
+def _first_windows(key, rows):
+    """Disjoint stretches of a ticker's windows, each with the smallest ``ord`` of the windows that cover it."""
+    ends = []
+    starts = sorted((lo, o, hi) for lo, hi, o in zip(rows["lo"], rows["hi"], rows["ord"], strict=True))
+    edges = sorted({lo for lo, *_ in starts} | {hi + 1 for *_, hi in starts})
+    out, k = [], 0
+    for a, b in zip(edges, edges[1:], strict=False):
+        while k < len(starts) and starts[k][0] <= a:
+            heapq.heappush(ends, (starts[k][1], starts[k][2]))
+            k += 1
+        while ends and ends[0][1] < a:
+            heapq.heappop(ends)
+        if ends:
+            out.append((key[0], a, b - 1, ends[0][0]))
+    return pd.DataFrame(out, columns=["ticker", "lo", "hi", "ord"])
 
 
 def exclusion_report(prices: DataFrame, exclusions: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(ticker, start_date, end_date, applied, removed) for each row of ``exclusions``, whose ``ord`` gives their order.
 
     removed is the number of values that the window takes away, in the column where it takes most; a value that
-    several windows cover counts for the first. A ticker without prices is reported as not applied.
+    several windows cover counts for the first. A ticker without prices is reported as not applied. A ticker's
+    windows become disjoint stretches by one sweep, which a second sweep with the prices then meets.
     """
-    lo, hi = F.coalesce("start_date", F.lit("0001-01-01").cast("date")), F.coalesce("end_date", F.lit("9999-12-31").cast("date"))
-    windows = exclusions.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ord", lo.alias("lo"), hi.alias("hi")))).alias("w"))
-    first = F.filter("w", lambda w: (F.col("date") >= w["lo"]) & (F.col("date") <= w["hi"]))
-    hit = prices.join(windows, "ticker").withColumn("ord", F.try_element_at(first, F.lit(1))["ord"])
-    taken = hit.filter("ord IS NOT NULL").groupBy("ord").agg(F.greatest(*[F.count(c) for c in columns], F.lit(0)).alias("removed"))
+    # days as numbers, since open windows lie outside the range of pandas' dates
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    lo, hi = _bounds()
+    windows = exclusions.select("ticker", number(lo).alias("lo"), number(hi).alias("hi"), F.col("ord").cast("long").alias("ord"))
+    kind = prices.schema["ticker"].dataType.simpleString()
+    stretches = windows.groupBy("ticker").applyInPandas(_first_windows, f"ticker {kind}, lo long, hi long, ord long")
+    both, past = _swept(prices.select("ticker", number("date").alias("date"), *columns), stretches.select("ticker", F.col("lo").alias("date"), F.struct("hi", "ord").alias("_w")))
+    met = both.withColumn("_w", F.last("_w", ignorenulls=True).over(past)).filter(F.col("_price") & (F.col("_w.hi") >= F.col("date")))
+    taken = met.groupBy(F.col("_w.ord").alias("ord")).agg(F.greatest(*[F.count(c) for c in columns], F.lit(0)).alias("removed"))
     present = prices.select("ticker").distinct().withColumn("applied", F.lit(True))
     out = exclusions.join(present, "ticker", "left").join(taken, "ord", "left")
     return out.select("ticker", "start_date", "end_date", F.coalesce("applied", F.lit(False)).alias("applied"), F.coalesce("removed", F.lit(0)).alias("removed"))
@@ -131,14 +172,17 @@ def suggest_exclusions(broken: DataFrame, pad: int = 45) -> DataFrame:
 
 
 def feasibility(constituents: DataFrame, prices: DataFrame, slack: int = 30) -> DataFrame:
-    """(code, end_date, last_price, outcome) of each latest spell that has ended: whether prices reach its end, ``slack`` days short of it at most."""
-    last = prices.filter("close_adj IS NOT NULL").groupBy("code").agg(F.max("date").alias("last_price"))
-    left = constituents.filter("is_latest AND NOT is_active_now").select("code", "end_date").join(last, "code", "left")
+    """(code, sector, end_date, first_price, last_price, outcome) of each latest spell that has ended: whether prices reach its end, ``slack`` days short of it at most."""
+    seen = prices.filter("close_adj IS NOT NULL").groupBy("code").agg(F.min("date").alias("first_price"), F.max("date").alias("last_price"))
+    left = constituents.filter("is_latest AND NOT is_active_now").select("code", "sector", "end_date").join(seen, "code", "left")
     outcome = F.when(F.col("last_price").isNull(), "no data").when(F.col("last_price") >= F.date_sub("end_date", slack), "ok").otherwise("truncated")
     return left.withColumn("outcome", outcome)
 
 
 def feasibility_summary(report: DataFrame, good: float = 0.98, fair: float = 0.90) -> DataFrame:
-    """(n, usable, rate, verdict): the share of ended spells whose prices are usable, and what it is good for."""
-    out = report.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "ok").alias("usable")).withColumn("rate", F.try_divide("usable", "n"))
-    return out.withColumn("verdict", F.when(F.col("rate") >= good, "excellent").when(F.col("rate") >= fair, "acceptable").otherwise("insufficient"))
+    """(n, usable, rate, sector_known, earliest, verdict): the share of ended spells whose prices are usable, the share whose sector is classified, the first price, and what it is good for."""
+    known = F.avg((F.coalesce("sector", F.lit("unclassified")) != "unclassified").cast("double"))
+    out = report.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "ok").alias("usable"), known.alias("sector_known"), F.min("first_price").alias("earliest"))
+    out = out.withColumn("rate", F.try_divide("usable", "n"))
+    verdict = F.when(F.col("rate") >= good, "excellent").when(F.col("rate") >= fair, "acceptable").otherwise("insufficient")
+    return out.select("n", "usable", "rate", "sector_known", "earliest", verdict.alias("verdict"))

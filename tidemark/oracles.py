@@ -80,6 +80,8 @@ _put("log_return", RETURNS, f"SELECT t, ticker, {_r('r3')} FROM ret")
 _put("robust_z", RETURNS + "," + _z("ret", "r3", "z"), f"SELECT t, ticker, {_r('z')} FROM z_c")
 _put("rs_score", SCORE, f"SELECT t, ticker, {_r('rs_score')} FROM rs_score_c")
 _put("rs_slope", SLOPE, f"SELECT t, ticker, {_r('rs_slope', digits=5)} FROM rs_slope_c")
+for _name in ("robust_z", "rs_score", "rs_slope"):
+    ORACLES[f"{_name}_large"] = ORACLES[_name]
 _put("sma_flag", CRITERIA, "SELECT t, ticker, above_sma FROM elig")
 _put("history_flag", CRITERIA, "SELECT t, ticker, enough_history FROM elig")
 _put("eligibility", CRITERIA, "SELECT t, ticker, eligible FROM elig")
@@ -152,17 +154,30 @@ _select("universe", "eligible AND rs_score IS NOT NULL", "", None)
 
 
 def _random(n: int) -> str:
+    digest = lambda i: f"(('0x' || substr(md5('12345|' || draw || '|' || t || '|{i}'), 1, 13))::BIGINT % (m - k + {i} + 1))"
     return PERIODS + f""",
-rnd AS (SELECT 'draw' || draw AS run_id, t, ticker, (row_number() OVER (PARTITION BY draw, t ORDER BY md5('12345|' || draw || '|' || t || '|' || ticker), ticker))::INTEGER AS ord
-        FROM pp CROSS JOIN range({n}) g(draw) WHERE eligible AND rs_score IS NOT NULL)"""
+num AS (SELECT t, ticker, row_number() OVER (PARTITION BY t ORDER BY ticker) - 1 AS pos FROM pp WHERE eligible AND rs_score IS NOT NULL),
+grp AS (SELECT t, count(*) AS m, least(count(*), 3) AS k FROM num GROUP BY t),
+p0 AS (SELECT *, {digest(0)} AS a FROM grp CROSS JOIN range({n}) g(draw)),
+p1 AS (SELECT *, CASE WHEN k < 2 THEN NULL WHEN {digest(1)} = a THEN m - k + 1 ELSE {digest(1)} END AS b FROM p0),
+p2 AS (SELECT *, CASE WHEN k < 3 THEN NULL WHEN {digest(2)} IN (a, b) THEN m - k + 2 ELSE {digest(2)} END AS c FROM p1),
+pk AS (SELECT t, draw, 1 AS ord, a AS pos FROM p2 UNION ALL SELECT t, draw, 2, b FROM p2 WHERE k > 1 UNION ALL SELECT t, draw, 3, c FROM p2 WHERE k > 2),
+rnd AS (SELECT 'draw' || draw AS run_id, t, ticker, ord::INTEGER AS ord FROM pk JOIN num USING (t, pos))"""
 
 
-_put("select_random", _random(1000), "SELECT run_id, t, ticker, ord FROM rnd WHERE ord <= 3")
+_put("select_random", _random(1000), "SELECT run_id, t, ticker, ord FROM rnd")
+ORACLES["sample_orders"] = "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('12345|' || o_orderkey), o_orderkey LIMIT 500"
 _NULL = _random(1000) + """,
 fwd AS (SELECT t, ticker, lead(px_ff) OVER (PARTITION BY ticker ORDER BY t) / px_ff - 1 AS r FROM pp),
-nul AS (SELECT run_id, avg(r) AS r FROM rnd JOIN fwd USING (t, ticker) WHERE ord <= 3 AND r IS NOT NULL GROUP BY run_id)"""
+nul AS (SELECT run_id, avg(r) AS r FROM rnd JOIN fwd USING (t, ticker) WHERE r IS NOT NULL GROUP BY run_id)"""
 _put("null_quantiles", _NULL, "SELECT " + ", ".join(f"round(quantile_cont(r, {x}), 6) + 0.0 AS q{int(x * 100):02d}" for x in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM nul")
-_put("empirical_pvalue", _NULL, "SELECT count(r) AS n, round((count(*) FILTER (WHERE r >= 0.05) + 1) / (count(r) + 1), 6) + 0.0 AS p FROM nul")
+_put(
+    "empirical_pvalue",
+    _NULL + """,
+tp AS (SELECT t, ticker FROM pp WHERE band = 5 QUALIFY row_number() OVER (PARTITION BY t ORDER BY rs_score DESC, ticker) <= 3),
+ob AS (SELECT avg(r) AS seen FROM tp JOIN fwd USING (t, ticker))""",
+    "SELECT count(r) AS n, round((count(*) FILTER (WHERE r >= seen) + 1) / (count(r) + 1), 6) + 0.0 AS p FROM nul CROSS JOIN ob",
+)
 _put(
     "transition_matrix",
     SIGNALS + """,
@@ -288,7 +303,7 @@ pk AS (SELECT dd.run_id, arg_max(date, equity) AS peak, max(equity) AS height FR
 rc AS (SELECT dd.run_id, min(date) AS back FROM dd JOIN lo USING (run_id) JOIN pk USING (run_id) WHERE date > trough AND equity >= height GROUP BY dd.run_id),
 tu AS (SELECT run_id, avg(turnover) AS turnover, avg(n) AS positions FROM bk GROUP BY run_id)""",
     f"""SELECT pf.run_id, pf.n, {_r('cagr', 'vol', 'sharpe', 'sortino', 'hit_rate', digits=5)}, round(total, 5) + 0.0 AS final_value, round(depth, 5) + 0.0 AS max_dd, round((coalesce(back, last) - peak) / 30.44)::INTEGER AS recovery_months,
-{_r('turnover', 'positions', digits=5)}, round(turnover * 20.0 / 1e4 * 12, 5) + 0.0 AS cost_drag FROM pf JOIN lo USING (run_id) JOIN pk USING (run_id) LEFT JOIN rc USING (run_id) JOIN tu USING (run_id)""",
+{_r('turnover', 'positions', digits=5)}, round(turnover * (2 * 1.5 / (10000000.0 / 3) * 1e4 + 2 * 3.0) / 1e4 * 12, 5) + 0.0 AS cost_drag FROM pf JOIN lo USING (run_id) JOIN pk USING (run_id) LEFT JOIN rc USING (run_id) JOIN tu USING (run_id)""",
 )
 _put("fixed_capital_profit", BAND_RETURNS, "SELECT run_id, t, round(10000000.0 * sum(r) OVER (PARTITION BY run_id ORDER BY t ROWS UNBOUNDED PRECEDING), 3) + 0.0 AS profit FROM br")
 _put("return_overlap", BAND_RETURNS, f"SELECT a.date, round(a.r, 6) + 0.0 AS a, round(b.r, 6) + 0.0 AS b FROM br a JOIN br b ON a.date = b.date WHERE a.run_id = 'band5' AND b.run_id = 'band1'")
@@ -329,10 +344,16 @@ _put(
     "SELECT ticker, sector, round(CASE WHEN lane >= 0 THEN lane + CASE WHEN k > 1 THEN -0.38 + i * 0.76 / (k - 1) ELSE 0 END END, 6) + 0.0 AS x FROM ln",
 )
 _FEASIBLE = SPELLS + """,
-pc AS (SELECT 'S' || l_suppkey AS code, max(date_trunc('month', l_shipdate)::DATE) AS last_price FROM lineitem WHERE l_suppkey % 7 <> 0 AND (l_suppkey % 5 <> 0 OR date_trunc('month', l_shipdate)::DATE < DATE '1994-01-01') GROUP BY 1),
-fe AS (SELECT code, end_date, last_price, CASE WHEN last_price IS NULL THEN 'no data' WHEN last_price >= end_date - 30 THEN 'ok' ELSE 'truncated' END AS outcome FROM norm LEFT JOIN pc USING (code) WHERE end_date <> DATE '1999-12-31')"""
-_put("feasibility", _FEASIBLE, "SELECT code, end_date, last_price, outcome FROM fe")
-_put("feasibility_rate", _FEASIBLE + ",\nfr AS (SELECT count(*) AS n, count(*) FILTER (WHERE outcome = 'ok') AS usable FROM fe)", "SELECT n, usable, round(usable / n, 6) + 0.0 AS rate, CASE WHEN usable / n >= 0.98 THEN 'excellent' WHEN usable / n >= 0.9 THEN 'acceptable' ELSE 'insufficient' END AS verdict FROM fr")
+ls AS (SELECT 'S' || l.ticker AS code, sector, last AS end_date FROM line l JOIN sec USING (ticker) WHERE l_returnflag <> 'N'
+       QUALIFY row_number() OVER (PARTITION BY l.ticker ORDER BY start_date DESC, last DESC, CASE WHEN l_returnflag = 'A' THEN name || ' old' ELSE name END DESC) = 1),
+pc AS (SELECT 'S' || l_suppkey AS code, min(date_trunc('month', l_shipdate)::DATE) AS first_price, max(date_trunc('month', l_shipdate)::DATE) AS last_price FROM lineitem GROUP BY 1),
+fe AS (SELECT code, sector, end_date, first_price, last_price, CASE WHEN last_price IS NULL THEN 'no data' WHEN last_price >= end_date - 30 THEN 'ok' ELSE 'truncated' END AS outcome FROM ls LEFT JOIN pc USING (code))"""
+_put("feasibility", _FEASIBLE, "SELECT code, sector, end_date, first_price, last_price, outcome FROM fe")
+_put(
+    "feasibility_rate",
+    _FEASIBLE + ",\nfr AS (SELECT count(*) AS n, count(*) FILTER (WHERE outcome = 'ok') AS usable, avg((sector IS NOT NULL)::INTEGER) AS known, min(first_price) AS earliest FROM fe)",
+    "SELECT n, usable, round(usable / n, 6) + 0.0 AS rate, round(known, 6) + 0.0 AS sector_known, earliest, CASE WHEN usable / n >= 0.98 THEN 'excellent' WHEN usable / n >= 0.9 THEN 'acceptable' ELSE 'insufficient' END AS verdict FROM fr",
+)
 _put(
     "adjusted_opens",
     """ra AS (SELECT l_suppkey AS ticker, l_shipdate::DATE AS date, arg_min(l_extendedprice / l_quantity - 15000, (l_orderkey, l_linenumber)) AS open, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) AS close,

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import analysis, features, lookups, metrics, panel, periods, universe
+from tidemark.operators import analysis, features, lookups, metrics, panel, periods, sampling, universe
 from tidemark.oracles import ORACLES  # noqa: F401
 from tidemark.sources import tables
 
@@ -92,6 +92,26 @@ def rs_score(spark, sf_dir):
     return _rounded(features.rs_score(_panel(spark, sf_dir), CFG).select("t", "ticker", "rs_score"))
 
 
+LARGE = Config(**SCALE, large_sessions=True)
+
+
+@query
+def robust_z_large(spark, sf_dir):
+    """``robust_z`` without a session in one task."""
+    r = _panel(spark, sf_dir).withColumn("r3", features.log_return("close_adj", 3))
+    return _rounded(features.robust_z(r, "r3", "z", LARGE.winsor, LARGE.min_count, large=True).select("t", "ticker", "z"))
+
+
+@query
+def rs_score_large(spark, sf_dir):
+    return _rounded(features.rs_score(_panel(spark, sf_dir), LARGE).select("t", "ticker", "rs_score"))
+
+
+@query
+def rs_slope_large(spark, sf_dir):
+    return _rounded(features.rs_slope(features.rs_score(_panel(spark, sf_dir), LARGE), LARGE).select("t", "ticker", "rs_slope"), 5)
+
+
 @query
 def rs_slope(spark, sf_dir):
     return _rounded(features.rs_slope(features.rs_score(_panel(spark, sf_dir), CFG), CFG).select("t", "ticker", "rs_slope"), 5)
@@ -230,8 +250,13 @@ for _name in ("top", "bottom", "pullback", "mid", "universe"):
 
 @query
 def select_random(spark, sf_dir):
-    draws = spark.range(DRAWS).select(F.col("id").cast("int").alias("draw"))
-    return periods.select_random(_period_panel(spark, sf_dir), draws, CFG.n_names, CFG.seed)
+    return periods.select_random(_period_panel(spark, sf_dir), DRAWS, CFG.n_names, CFG.seed)
+
+
+@query
+def sample_orders(spark, sf_dir):
+    """An exact sample of 500 orders."""
+    return sampling.sample_rows(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 500, CFG.seed, "o_orderkey")
 
 
 @query
@@ -329,13 +354,17 @@ def skewness(spark, sf_dir):
     return _rounded(_band_returns(spark, sf_dir).groupBy("run_id").agg(F.skewness("r").alias("skew")), 5)
 
 
+def _run_means(selections, rows):
+    """(run_id, r): mean next return of each run's selections."""
+    nxt = F.lead("px_ff").over(W.partitionBy("ticker").orderBy("t")) / F.col("px_ff") - 1
+    picked = selections.join(rows.select("t", "ticker", nxt.alias("r")), ["t", "ticker"])
+    return picked.filter("r IS NOT NULL").groupBy("run_id").agg(F.avg("r").alias("r"))
+
+
 def _null(spark, sf_dir):
     """(run_id, r): mean next return of random selections."""
-    draws = spark.range(DRAWS).select(F.col("id").cast("int").alias("draw"))
     rows = _period_panel(spark, sf_dir)
-    nxt = F.lead("px_ff").over(W.partitionBy("ticker").orderBy("t")) / F.col("px_ff") - 1
-    picked = periods.select_random(rows, draws, CFG.n_names, CFG.seed).join(rows.select("t", "ticker", nxt.alias("r")), ["t", "ticker"])
-    return picked.filter("r IS NOT NULL").groupBy("run_id").agg(F.avg("r").alias("r"))
+    return _run_means(periods.select_random(rows, DRAWS, CFG.n_names, CFG.seed), rows)
 
 
 @query
@@ -346,7 +375,10 @@ def null_quantiles(spark, sf_dir):
 
 @query
 def empirical_pvalue(spark, sf_dir):
-    return _rounded(metrics.empirical_p(_null(spark, sf_dir), F.lit(0.05), "r"))
+    """How many random selections do as well as the basket ``top``."""
+    rows = _period_panel(spark, sf_dir)
+    top = periods.baskets(rows, CFG).filter("run_id = 'top'")
+    return _rounded(metrics.empirical_p(_null(spark, sf_dir), _run_means(top, rows), "r"))
 
 
 @query
@@ -383,7 +415,7 @@ def basket_returns(spark, sf_dir):
 
 @query
 def basket_metrics(spark, sf_dir):
-    return _rounded(metrics.basket_metrics(_baskets(spark, sf_dir), _rf(spark, sf_dir), 20.0), 5)
+    return _rounded(metrics.basket_metrics(_baskets(spark, sf_dir), _rf(spark, sf_dir), CFG.round_trip_bps), 5)
 
 
 @query
@@ -473,10 +505,10 @@ def map_lanes(spark, sf_dir):
 
 @query
 def feasibility(spark, sf_dir):
-    """Whether prices reach the end of each spell that has ended, of prices that some tickers lack altogether or after 1993."""
-    con = _constituents(spark, sf_dir).withColumn("is_active_now", F.col("end_date") == F.lit("1999-12-31").cast("date")).withColumn("is_latest", F.lit(True))
-    cells = tables.monthly_cells(spark, sf_dir).filter("ticker % 7 <> 0 AND (ticker % 5 <> 0 OR date < '1994-01-01')")
-    return universe.feasibility(con, cells.select(F.concat(F.lit("S"), "ticker").alias("code"), "date", "close_adj"))
+    """Whether prices reach the end of each ticker's last spell that has ended."""
+    ended = tables.spells(spark, sf_dir).filter("end_date IS NOT NULL")
+    con = universe.normalize_constituents(ended, F.lit("1999-12-31").cast("date"), REGIONS).withColumn("is_active_now", F.lit(False))
+    return universe.feasibility(con, tables.monthly_cells(spark, sf_dir).select(F.concat(F.lit("S"), "ticker").alias("code"), "date", "close_adj"))
 
 
 @query
