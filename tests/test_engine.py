@@ -8,11 +8,12 @@ import statistics
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import analysis, features, lookups, metrics, panel, periods, sampling, selection, study, universe
-from tidemark.sources import files
+from tidemark.operators import analysis, features, lookups, metrics, panel, periods, sampling, scan, selection, study, universe
+from tidemark.sources import files, prices
 
 DAY = datetime.date(2015, 1, 1)
 
@@ -159,7 +160,7 @@ def test_performance_with_dated_rates(spark):
 def test_metrics(spark):
     curve = [100, 120, 60, 80, 130]
     rows = [("r", t, DAY + datetime.timedelta(30 * t), float(e), e / max(curve[: t + 1]) - 1) for t, e in enumerate(curve)]
-    got = metrics.max_drawdown(spark.createDataFrame(rows, "run_id string, t int, date date, equity double, drawdown double")).first()
+    got = metrics.max_drawdown(spark.createDataFrame(rows, "run_id string, t int, date date, equity double, drawdown double").withColumn("peak", F.max("equity").over(Window.partitionBy("run_id").orderBy("t")))).first()
     assert got.depth == -0.5 and got.peak == rows[1][2] and got.recovery == rows[4][2] and got.months == 3
     x = [random.Random(i).gauss(0.01, 0.05) for i in range(40)]
     e = [v - sum(x) / 40 for v in x]
@@ -313,3 +314,88 @@ def test_exclusion_sweeps_against_a_scan_of_windows(spark):
 
 def test_round_trip_cost():
     assert Config(capital=100_000.0, n_names=30, commission=1.5, spread_bps=3.0).round_trip_bps == 2 * 1.5 / (100_000 / 30) * 1e4 + 6
+
+
+def test_scans_in_blocks_equal_plain_ones(spark):
+    rng, day = random.Random(9), datetime.date(1990, 1, 1)
+    series = {"long": [rng.gauss(0, 0.03) for _ in range(2000)], "short": [-0.1, 0.2, None, 0.05], "flat": [0.0] * 50}
+    df = spark.createDataFrame([(k, t, day + datetime.timedelta(t), r) for k, x in series.items() for t, r in enumerate(x)], "run_id string, t int, date date, r double").repartition(5)
+    want = {}
+    for k, x in series.items():
+        e = top = 1.0
+        top = -math.inf
+        for t, r in enumerate(x):
+            e *= 1 + (r or 0.0)
+            top = max(top, e)
+            want[k, t] = (e, top)
+    for block in (7, 500, 10**6):
+        rows = scan.running_growth(df, 1 + F.col("r"), ["run_id"], "t", F.floor(F.col("t") / block), "equity", "peak").collect()
+        assert len(rows) == len(want) and all(abs(r.equity / want[r.run_id, r.t][0] - 1) < 1e-9 and abs(r.peak / want[r.run_id, r.t][1] - 1) < 1e-9 for r in rows)
+    got = {r.run_id: r for r in metrics.max_drawdown(metrics.equity_curve(df)).collect()}
+    low = min(range(2000), key=lambda t: want["long", t][0] / want["long", t][1])
+    assert got["long"].trough == day + datetime.timedelta(low) and abs(got["long"].depth - (want["long", low][0] / want["long", low][1] - 1)) < 1e-9
+    assert got["long"].peak == day + datetime.timedelta(next(t for t in range(2000) if want["long", t][0] == want["long", low][1]))
+    assert got["flat"].depth == 0.0 and got["flat"].peak == day and got["short"].depth == 0.0
+
+
+def test_prices_of_symbols_with_a_broken_file(spark, tmp_path):
+    rows = [(s, datetime.date(2020, 1, 1) + datetime.timedelta(d), 10.0 + i + d, 9.0 + i) for i, s in enumerate("ABCDE") for d in range(10)]
+    for s in "ABCDE":
+        lines = [f"{d},{c},{a}" for k, d, c, a in rows if k == s]
+        (tmp_path / f"{s}.csv").write_text("date,close,adjusted_close\n" + "\n".join(reversed(lines)) + "\n")
+    (tmp_path / "BROKEN.csv").write_text("date,close\n2020-01-01,what\n")
+    (tmp_path / "EMPTY.csv").write_text("date,close\n")
+    (tmp_path / "HEADLESS.csv").write_text("1,2\n")
+    got, failed = prices.read_prices(spark, f"file://{tmp_path}", columns=("close", "adjusted_close"), batch=2)
+    assert sorted(map(tuple, got.collect())) == sorted(rows) and got.rdd.getNumPartitions() == 4
+    assert {r.symbol for r in failed.collect()} == {"BROKEN", "HEADLESS"}
+    some, gone = prices.read_prices(spark, str(tmp_path), symbols=["A", "NONE"])
+    assert some.count() == 10 and some.filter("open IS NULL AND adjusted_close IS NOT NULL").count() == 10 and [r.symbol for r in gone.collect()] == ["NONE"]
+    part = got.filter("symbol IN ('B', 'C', 'EMPTY') AND date >= date'2020-01-09'")
+    assert part.rdd.getNumPartitions() == 2 and sorted((r.symbol, r.date.day) for r in part.collect()) == [("B", 9), ("B", 10), ("C", 9), ("C", 10)]
+    with pytest.raises(Exception, match="no such columns"):
+        spark.read.format("symbol_prices").options(path=str(tmp_path), columns="close,wrong").load().collect()
+
+
+def test_a_stored_panel_needs_no_exchange(spark, tmp_path):
+    rng = random.Random(4)
+    raw = spark.createDataFrame([(i, datetime.date(2020, 1, 1) + datetime.timedelta(d), 10.0 + i, rng.uniform(5, 50), rng.uniform(5, 50)) for i in range(30) for d in range(40) if rng.random() > 0.1], "ticker long, date date, open double, close double, adjusted_close double")
+    calendar = spark.createDataFrame([(datetime.date(2020, 1, 1) + datetime.timedelta(d), d) for d in range(40)], "date date, t int")
+    made = panel.assemble(raw, calendar)
+    assert made.count() == 1200 and made.filter("close_adj IS NULL").count() == 1200 - raw.count()
+    files.store_panel(made, "stored_panel_test", 4, str(tmp_path / "panel"))
+    stored = files.stored_panel(spark, "stored_panel_test")
+    slope = lambda df: df.withColumn("s", F.regr_slope("close_adj", F.col("t").cast("double")).over(Window.partitionBy("ticker").orderBy("t").rowsBetween(-5, 0)))
+    held = slope(stored)
+    plan = held.groupBy("ticker").agg(F.max("s")).join(stored.groupBy("ticker").agg(F.max("t")), "ticker")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")
+    key = lambda r: (r.ticker, r.t, r.s and round(r.s, 9))
+    assert sorted(map(str, map(key, held.collect()))) == sorted(map(str, map(key, slope(made).collect())))
+    spark.sql("DROP TABLE stored_panel_test")
+
+
+def test_verdict_table_agrees_with_the_driver(spark):
+    rng = random.Random(2)
+    months = [(datetime.date(2000 + i // 12, i % 12 + 1, 1), rng.gauss(0.012, 0.04), rng.gauss(0.008, 0.05)) for i in range(150)]
+    df = spark.createDataFrame(months, "date date, win double, lose double")
+    passive = df.select("date", F.lit(0.005).alias("r"))
+    stay = spark.createDataFrame([(0.7, 0.6)], "win double, lose double")
+    null = spark.createDataFrame([(0.3,)], "p double")
+    old = study.verdict(df, "a", "b", persistence=(0.7, 0.6), p_random=0.3, reference=passive)
+    rows = {r.name: r for r in study.verdict_table(df, stay, null, passive).collect()}
+    assert {n: f for n, f, _ in old.evidence} == {n: r.favourable for n, r in rows.items() if n not in ("t_stat", "p_sign", "share")}
+    assert abs(rows["share"].value - old.share) < 1e-12 and abs(rows["t_stat"].value - old.numbers["t"]) < 1e-9 and abs(rows["p_sign"].value / old.numbers["p_sign"] - 1) < 1e-9
+    tails = spark.createDataFrame([(0, 5), (5, 5), (3, 5), (600, 1000), (0, 0)], "up int, n int").select("up", "n", study.binomial_tail(F.col("up"), F.col("n")).alias("p")).collect()
+    assert all(r.p is None if r.n == 0 else abs(r.p / study.sign_test(r.up, r.n) - 1) < 1e-9 for r in tails)
+    nothing = {r.name: (r.favourable, r.value) for r in study.verdict_table(df.filter("false")).collect()}
+    assert nothing["sign"] == (None, None) and nothing["p_sign"] == (None, None) and nothing["share"][0] is None
+
+
+def test_documents_are_cleaned_and_valid_json(spark):
+    rows = [("A", float("nan"), 1 / 3, DAY, [(float("inf"), DAY)]), ("B", float("-inf"), -0.0, None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, d date, more array<struct<v: double, at: date>>")
+    lines = study.export_document({"rows": df}, df.select("k", "y"), head={"name": "s", "bad": float("nan")}).collect()
+    assert [r.part for r in lines] == ["head", "rows", "rows", "monthly", "monthly"] and json.loads(lines[0].json) == {"name": "s", "bad": None}
+    assert json.loads(lines[1].json) == {"k": "A", "y": 0.333333, "d": DAY.isoformat(), "more": [{"at": DAY.isoformat()}]}
+    whole = json.loads(study.export_whole({"rows": df}, df.select("k", "y")).first().json)
+    assert whole == {"rows": [{"k": "A", "y": 0.333333, "d": DAY.isoformat(), "more": [{"at": DAY.isoformat()}]}, {"k": "B", "y": 0.0}], "monthly": [{"k": "A", "y": 0.333333}, {"k": "B", "y": 0.0}]}

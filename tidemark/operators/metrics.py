@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import BLOCK, running_growth
+
 # Market regimes (label, first day, last day), bounds included.
 SUBPERIODS = (
     ("dot-com crash", "2000-01-01", "2002-12-31"),
@@ -30,23 +32,21 @@ def _cagr(n: Column, grown: Column) -> Column:
 
 
 def equity_curve(returns: DataFrame) -> DataFrame:
-    """Adds equity, from 1, and drawdown from the highest equity so far."""
-    w = W.partitionBy("run_id").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    out = returns.withColumn("equity", F.product(1 + F.col("r")).over(w))
-    return out.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
+    """Adds equity, from 1, peak, the highest so far, and drawdown from it; series are scanned in blocks of periods, however long one is."""
+    out = running_growth(returns, 1 + F.col("r"), ["run_id"], "t", F.floor(F.col("t") / BLOCK), "equity", "peak")
+    return out.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 
 def max_drawdown(curve: DataFrame) -> DataFrame:
-    """(run_id, depth, trough, peak, recovery, months) of ``curve`` (run_id, date, equity, drawdown); first extremes count.
+    """(run_id, depth, trough, peak, recovery, months) of ``curve`` (run_id, date, equity, peak, drawdown); first extremes count.
 
-    One pass: a run's series, which has one row per period, is gathered in its own group.
+    Two passes of plain aggregates: the lowest point with its peak, then the peak's date and the return to it.
     """
-    points = curve.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("date", "equity", "drawdown"))).alias("p"), F.min(F.struct("drawdown", "date")).alias("low"))
-    before = F.filter("p", lambda x: x["date"] <= F.col("low.date"))
-    at = points.withColumn("top", F.array_max(F.transform(before, lambda x: x["equity"])))
-    at = at.withColumn("peak", F.filter("p", lambda x: x["equity"] == F.col("top"))[0]["date"])
-    back = F.try_element_at(F.filter("p", lambda x: (x["date"] > F.col("low.date")) & (x["equity"] >= F.col("top"))), F.lit(1))["date"]
-    out = at.withColumn("recovery", F.coalesce(back, F.element_at("p", -1)["date"]))
+    low = curve.groupBy("run_id").agg(F.min(F.struct("drawdown", "date", "peak")).alias("low"), F.max("date").alias("last"))
+    at = curve.select("run_id", "date", "equity").join(low, "run_id")
+    reached = F.col("equity") >= F.col("low.peak")
+    found = at.groupBy("run_id", "low", "last").agg(F.min(F.when((F.col("date") <= F.col("low.date")) & reached, F.col("date"))).alias("peak"), F.min(F.when((F.col("date") > F.col("low.date")) & reached, F.col("date"))).alias("back"))
+    out = found.withColumn("recovery", F.coalesce("back", "last"))
     return out.select("run_id", F.col("low.drawdown").alias("depth"), F.col("low.date").alias("trough"), "peak", "recovery", F.round(F.datediff("recovery", "peak") / 30.44).cast("int").alias("months"))
 
 

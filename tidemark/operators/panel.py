@@ -30,6 +30,11 @@ def adjust(raw: DataFrame) -> DataFrame:
     return raw.select("date", "ticker", F.col("adjusted_close").alias("close_adj"), (opened * factor).alias("open_adj"), opened.alias("open_raw"), F.col("close").alias("close_raw"))
 
 
+def assemble(raw: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The dense panel (date, ticker, t, close_adj, open_adj, open_raw, close_raw) of raw prices over a ``calendar`` (date, t) of its own; days outside it are left out."""
+    return dense(adjust(raw), calendar)
+
+
 def forward_fill(panel: DataFrame, column: str, out: str) -> DataFrame:
     w = W.partitionBy("ticker").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
     return panel.withColumn(out, F.last(column, ignorenulls=True).over(w))

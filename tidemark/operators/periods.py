@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Config
 from tidemark.operators.panel import forward_fill
 from tidemark.operators.sampling import draw_ranks
+from tidemark.operators.scan import running_growth
 
 
 def rebalance_calendar(days: DataFrame, start: str | None = None) -> DataFrame:
@@ -21,7 +22,7 @@ def rebalance_calendar(days: DataFrame, start: str | None = None) -> DataFrame:
 
 def rf_periods(periods: DataFrame, daily: DataFrame) -> DataFrame:
     """Adds rf_period: what the daily rates (date, rf) compound to between a period's execution and the one before."""
-    grown = daily.select("date", F.exp(F.sum(F.log1p("rf")).over(W.orderBy("date"))).alias("growth"))
+    grown = running_growth(daily.select("date", "rf"), 1 + F.col("rf"), [], "date", F.year("date"), "growth").select("date", "growth")
     at = periods.join(grown, grown["date"] == periods["exec_date"], "left").drop("date")
     last = F.lag("growth").over(W.orderBy("t"))
     return at.withColumn("rf_period", F.coalesce(F.col("growth") / last - 1, F.lit(0.0))).drop("growth")

@@ -6,9 +6,10 @@ import json
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import Config
 from tidemark.operators import metrics
@@ -53,6 +54,97 @@ def evidence(monthly: DataFrame) -> DataFrame:
     return out.crossJoin(year)  # one row each
 
 
+def binomial_tail(positive: Column, n: Column) -> Column:
+    """The one-sided tail at 1/2 from ``positive`` of ``n`` up: binomial terms by their logarithms, each from the one before, so that no factorial overflows."""
+    total = n * math.log(2)
+    start = F.struct(F.lit(0.0).alias("log"), F.when(positive <= 0, F.exp(-total)).otherwise(0.0).alias("tail"))
+
+    def step(acc: Column, k: Column) -> Column:
+        log = acc["log"] + F.log((n - k) / (k + 1))
+        return F.struct(log.alias("log"), (acc["tail"] + F.when(k + 1 >= positive, F.exp(log - total)).otherwise(0.0)).alias("tail"))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), (n - 1).cast("int")), start, step)["tail"])
+
+
+def verdict_table(monthly: DataFrame, persistence: DataFrame | None = None, null: DataFrame | None = None, reference: DataFrame | None = None) -> DataFrame:
+    """(ord, name, favourable, value) of each indicator over ``monthly`` (date, win, lose), and of the share that is favourable (``share``).
+
+    ``persistence`` is one row (win, lose) of probabilities to stay, ``null`` one row (p), ``reference`` a passive
+    series (date, r). What can't be told is null and counts for neither side. Everything stays one row until the end.
+    """
+    series = monthly.select(F.lit("d").alias("run_id"), "date", (F.col("win") - F.col("lose")).alias("r")).filter("r IS NOT NULL").withColumn("t", F.row_number().over(W.partitionBy("run_id").orderBy("date")))
+    row = evidence(monthly).crossJoin(metrics.newey_west(series).agg(F.max("t_stat").alias("t_stat")))
+    row = row.withColumn("p_sign", binomial_tail(F.col("up"), F.col("n")))
+    gap = lambda a, b: F.col(a) - F.col(b)
+    rows = [
+        ("sign", F.col("mean") > 0, F.col("mean") * 12),
+        ("halves", (F.col("half1") > 0) & (F.col("half2") > 0), F.least("half1", "half2") * 12),
+        ("years", F.when(F.col("n") > 0, F.col("years_up") > F.col("years") / 2), F.try_divide("years_up", "years")),
+        ("rolling_36", F.when(F.col("n") > 0, F.coalesce("share36", F.lit(0.0)) > 0.5), F.col("share36")),
+        ("rolling_120", F.col("share120") > 0.5, F.col("share120")),
+        ("skewness", gap("skew_win", "skew_lose") > 0, gap("skew_win", "skew_lose")),
+    ]
+    if persistence is not None:
+        row = row.crossJoin(persistence.agg(F.max("win").alias("stay_win"), F.max("lose").alias("stay_lose")))
+        rows.append(("persistence", gap("stay_win", "stay_lose") > 0, gap("stay_win", "stay_lose")))
+    if null is not None:
+        row = row.crossJoin(null.agg(F.max("p").alias("p_random")))
+        rows.append(("random", F.col("p_random") < 0.2, F.col("p_random")))
+    if reference is not None:
+        row = row.crossJoin(monthly.join(reference.select("date", "r"), "date").agg(F.avg(F.col("win") - F.col("r")).alias("over")))
+        rows.append(("reference", F.col("over") > 0, F.col("over") * 12))
+    known = F.array_compact(F.array(*[f.cast("int") for _, f, _ in rows]))
+    share = F.try_divide(F.aggregate(known, F.lit(0), lambda a, x: a + x), F.size(known))
+    rows += [("t_stat", None, F.col("t_stat")), ("p_sign", None, F.col("p_sign")), ("share", share >= 0.55, share)]
+    each = [F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), (F.lit(None) if f is None else f).cast("boolean").alias("favourable"), v.cast("double").alias("value")) for i, (n, f, v) in enumerate(rows)]
+    return row.select(F.inline(F.array(*each)))
+
+
+def json_ready(df: DataFrame) -> DataFrame:
+    """``df`` with what JSON can't say made null (NaN, infinities), doubles of six digits and dates as ISO text, in structs and arrays too."""
+
+    def ready(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            x = c.cast("double")
+            return F.when(~F.isnan(x) & (F.abs(x) < math.inf), F.round(x, 6) + 0.0)
+        if isinstance(kind, T.DateType):
+            return F.date_format(c, "yyyy-MM-dd")
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[ready(c[f.name], f.dataType).alias(f.name) for f in kind]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: ready(x, kind.elementType))
+        return c
+
+    return df.select(*[ready(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
+
+
+def export_document(parts: dict[str, DataFrame], monthly: DataFrame | None = None, head: dict | None = None) -> DataFrame:
+    """(part, json): a study as lines of JSON, one for each row of each part, in the order of the parts' first columns.
+
+    ``parts`` are tables by name (snapshot, distribution, metrics, verdict ...), ``head`` what is known without
+    data (configuration, provenance, caveats). The full form has ``monthly`` (run_id, date, r) too. Rows are
+    cleaned and written by expressions where they are, so a document may be larger than a driver.
+    """
+    every = parts | ({"monthly": monthly} if monthly is not None else {})
+    out = None
+    for name, df in every.items():
+        ready = json_ready(df)
+        line = ready.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("json"))
+        out = line if out is None else out.unionByName(line)
+    if head:
+        top = out.sparkSession.createDataFrame([("head", json.dumps(clean(head), allow_nan=False, sort_keys=True))], "part string, json string")
+        out = top.unionByName(out)
+    return out
+
+
+def export_whole(parts: dict[str, DataFrame], monthly: DataFrame | None = None) -> DataFrame:
+    """(json): the whole document of a study of ordinary size as one text: an array of rows for each part, ordered by their text; ``monthly`` in the full form."""
+    lines = export_document(parts, monthly)
+    rows = lines.groupBy("part").agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("rows"))
+    each = rows.select(F.concat(F.lit('"'), "part", F.lit('":['), "rows", F.lit("]")).alias("p"))
+    return each.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("p")), ","), F.lit("}")).alias("json"))
+
+
 @dataclass
 class Verdict:
     """Indicators for the winner; each is (name, favourable or None, detail)."""

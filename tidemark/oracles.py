@@ -361,3 +361,54 @@ _put(
 ad AS (SELECT *, CASE WHEN open > 0 THEN open END AS open_raw, CASE WHEN close > 0 THEN adjusted_close / close END AS factor FROM ra)""",
     "SELECT ticker, date, adjusted_close AS close_adj, open_raw * factor AS open_adj, open_raw FROM ad",
 )
+
+_VERDICT = BAND_RETURNS + """,
+mo AS (SELECT date, max(r) FILTER (WHERE run_id = 'band5') AS win, max(r) FILTER (WHERE run_id = 'band1') AS lose FROM br GROUP BY date),
+df AS (SELECT *, win - lose AS d, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS cnt,
+              CASE WHEN count(*) OVER a = 36 THEN sum(win - lose) OVER a END AS s36, CASE WHEN count(*) OVER b = 120 THEN sum(win - lose) OVER b END AS s120
+       FROM mo WHERE win IS NOT NULL AND lose IS NOT NULL WINDOW a AS (ORDER BY date ROWS 35 PRECEDING), b AS (ORDER BY date ROWS 119 PRECEDING)),
+yr AS (SELECT count(*) FILTER (WHERE s > 0) AS up_years, count(*) AS years FROM (SELECT year(date) AS y, sum(d) AS s FROM df GROUP BY 1)),
+mm AS (SELECT avg(win) AS mw, avg(lose) AS ml, avg(d) AS md FROM df),
+ev AS (SELECT count(*) AS n, count(*) FILTER (WHERE d > 0) AS up, avg(d) AS mean, avg(d) FILTER (WHERE i <= cnt // 2) AS half1, avg(d) FILTER (WHERE i > cnt // 2) AS half2,
+              avg((s36 > 0)::INTEGER) AS share36, avg((s120 > 0)::INTEGER) AS share120,
+              avg((win - mw) ** 3) / avg((win - mw) ** 2) ** 1.5 - avg((lose - ml) ** 3) / avg((lose - ml) ** 2) ** 1.5 AS skew FROM df CROSS JOIN mm),
+er AS (SELECT d - md AS e, i FROM df CROSS JOIN mm),
+lg AS (SELECT e, lag(e, 1) OVER w * e AS p1, lag(e, 2) OVER w * e AS p2, lag(e, 3) OVER w * e AS p3 FROM er WINDOW w AS (ORDER BY i)),
+nw AS (SELECT (sum(e * e) + 1.5 * sum(p1) + 1.0 * sum(p2) + 0.5 * sum(p3)) / count(*) AS s, count(*) AS k FROM lg),
+st AS (SELECT band, lead(band, 3) OVER (PARTITION BY ticker ORDER BY t) AS nb FROM signals),
+sy AS (SELECT avg((nb = 5)::INTEGER) FILTER (WHERE band = 5) - avg((nb = 1)::INTEGER) FILTER (WHERE band = 1) AS stay FROM st WHERE band IS NOT NULL AND nb IS NOT NULL),
+rf AS (SELECT avg(win - r) AS over_ref FROM mo JOIN (SELECT date, avg(r) AS r FROM br GROUP BY date) USING (date)),
+al AS (SELECT * FROM ev CROSS JOIN yr CROSS JOIN nw CROSS JOIN sy CROSS JOIN rf),
+bt AS (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) AS p FROM ev CROSS JOIN range(0, 1000) g(k) WHERE k BETWEEN up AND n),
+rw AS (SELECT 0 AS ord, 'sign' AS name, mean > 0 AS favourable, mean * 12 AS value FROM al
+       UNION ALL SELECT 1, 'halves', half1 > 0 AND half2 > 0, least(half1, half2) * 12 FROM al
+       UNION ALL SELECT 2, 'years', up_years > years / 2, up_years / years FROM al
+       UNION ALL SELECT 3, 'rolling_36', share36 > 0.5, share36 FROM al
+       UNION ALL SELECT 4, 'rolling_120', share120 > 0.5, share120 FROM al
+       UNION ALL SELECT 5, 'skewness', skew > 0, skew FROM al
+       UNION ALL SELECT 6, 'persistence', stay > 0, stay FROM al
+       UNION ALL SELECT 7, 'reference', over_ref > 0, over_ref * 12 FROM al),
+vr AS (SELECT * FROM rw UNION ALL SELECT 8, 't_stat', NULL, mean / sqrt(s / k) FROM al UNION ALL SELECT 9, 'p_sign', NULL, p FROM bt
+       UNION ALL SELECT 10, 'share', avg(favourable::INTEGER) >= 0.55, avg(favourable::INTEGER) FROM rw)"""
+_put("verdict_table", _VERDICT, "SELECT ord::INTEGER AS ord, name, favourable, round(value, 5) + 0.0 AS value FROM vr")
+
+
+def _json(part: str, source: str, columns: dict[str, str]) -> str:
+    """Lines of JSON without the fields that are null."""
+    fields = ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN '"{n}":' || {v} END""" for n, (c, v) in {n: (v if isinstance(v, tuple) else (n, v)) for n, v in columns.items()}.items())
+    return f"SELECT '{part}' AS part, '{{' || concat_ws(',', {fields}) || '}}' AS json FROM {source}"
+
+
+_TEXT, _PLAIN = "'\"' || {0} || '\"'", "{0}::VARCHAR"
+_f = lambda kind, *names: {n: kind.format(n) for n in names}
+_SNAP = ORACLES["snapshot"].replace("WITH ", "", 1).rsplit("\nSELECT n.ticker", 1)
+_NOW = _SNAP[0] + ",\nsn AS (SELECT n.ticker" + _SNAP[1].replace("n.band,", "n.band, n.date,", 1) + "),\nbn AS (SELECT band, sector, count(*) AS n FROM sn WHERE band IS NOT NULL GROUP BY 1, 2)"
+_SNAPSHOT = _json(
+    "snapshot",
+    "(SELECT * REPLACE (round(rs_score, 3) + 0.0 AS rs_score, round(rs_slope, 3) + 0.0 AS rs_slope) FROM sn)",
+    _f(_PLAIN, "ticker") | _f(_TEXT, "name", "sector") | _f(_PLAIN, "band") | _f(_TEXT, "label", "movement") | _f(_PLAIN, "sessions_in_band", "above_sma", "rs_score", "rs_slope") | _f(_TEXT, "date"),
+)
+_COUNTS = _json("bands", "bn", _f(_PLAIN, "band") | _f(_TEXT, "sector") | _f(_PLAIN, "n"))
+_put("export_compact", _NOW, f"{_SNAPSHOT} UNION ALL {_COUNTS}")
+_MONTHLY = _json("monthly", "(SELECT run_id, date, round(r, 4) + 0.0 AS r FROM br)", _f(_TEXT, "run_id", "date") | _f(_PLAIN, "r"))
+_put("export_full", _NOW + BAND_RETURNS[len(SIGNALS) :], f"{_SNAPSHOT} UNION ALL {_COUNTS} UNION ALL {_MONTHLY}")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import analysis, features, lookups, metrics, panel, periods, sampling, universe
+from tidemark.operators import analysis, features, lookups, metrics, panel, periods, sampling, study, universe
 from tidemark.oracles import ORACLES  # noqa: F401
 from tidemark.sources import tables
 
@@ -524,3 +524,40 @@ def adjusted_opens(spark, sf_dir):
     place = F.struct("l_orderkey", "l_linenumber")
     raw = line.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(F.min_by(unit - 15_000, place).alias("open"), F.max_by(unit, place).alias("close"), F.max_by(net, place).alias("adjusted_close"))
     return panel.adjust(raw).select("ticker", "date", "close_adj", "open_adj", "open_raw")
+
+
+def _verdict(spark, sf_dir):
+    """Band 5 against band 1, with the bands' persistence and the mean of all bands as the reference."""
+    r = _band_returns(spark, sf_dir)
+    pick = lambda b: F.max(F.when(F.col("run_id") == f"band{b}", F.col("r")))
+    monthly = r.groupBy("date").agg(pick(5).alias("win"), pick(1).alias("lose"))
+    stay = analysis.transitions(_signals(spark, sf_dir), 3).filter("band = next_band")
+    both = stay.agg(F.max(F.when(F.col("band") == 5, F.col("probability"))).alias("win"), F.max(F.when(F.col("band") == 1, F.col("probability"))).alias("lose"))
+    return study.verdict_table(monthly, persistence=both, reference=r.groupBy("date").agg(F.avg("r").alias("r")))
+
+
+@query
+def verdict_table(spark, sf_dir):
+    return _rounded(_verdict(spark, sf_dir), 5)
+
+
+def _export(spark, sf_dir, full):
+    now = analysis.snapshot(_signals(spark, sf_dir), tables.sectors(spark, sf_dir), _as_of(spark, sf_dir), 3)
+    parts = {
+        "snapshot": now.select("ticker", "name", "sector", "band", "label", "movement", "sessions_in_band", "above_sma", F.round("rs_score", 3).alias("rs_score"), F.round("rs_slope", 3).alias("rs_slope"), "date"),
+        "bands": now.filter("band IS NOT NULL").groupBy("band", "sector").agg(F.count("*").alias("n")),
+    }
+    returns = _band_returns(spark, sf_dir).select("run_id", "date", F.round("r", 4).alias("r"))
+    return study.export_document(parts, returns if full else None)
+
+
+@query
+def export_compact(spark, sf_dir):
+    """A line of JSON for each row of the snapshot and of the bands' counts."""
+    return _export(spark, sf_dir, full=False)
+
+
+@query
+def export_full(spark, sf_dir):
+    """As the compact form, with each band's returns."""
+    return _export(spark, sf_dir, full=True)

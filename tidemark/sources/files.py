@@ -26,6 +26,20 @@ def load_panel(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return panel.select(*[F.col(c).cast("double").alias(c) if k == "float" else F.col(c) for c, k in panel.dtypes]).orderBy("date", "ticker")
 
 
+def store_panel(panel: DataFrame, name: str, buckets: int, path: str | None = None) -> None:
+    """A panel as a table of the catalogue, bucketed by ticker and sorted by session.
+
+    A window over a ticker's sessions, a join of panels by ticker or an aggregate by it then needs no exchange.
+    The panel is dealt by ticker first, so that each bucket is one file.
+    """
+    writer = panel.repartition(buckets, "ticker").write.mode("overwrite").format("parquet").option("compression", "zstd").bucketBy(buckets, "ticker").sortBy("ticker", "t")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def stored_panel(spark: SparkSession, name: str) -> DataFrame:
+    return spark.table(name)
+
+
 def save_dataset(spark: SparkSession, folder: str, panels: dict[str, DataFrame], meta: DataFrame, risk_free: DataFrame, manifest: dict) -> None:
     """All panels and tables of a study, and the manifest, which goes last: a folder without one is incomplete."""
     for name in PANELS:
