@@ -107,5 +107,9 @@ def bands(signals: DataFrame, cfg: Config) -> DataFrame:
 
 
 def signals(panel: DataFrame, cfg: Config) -> DataFrame:
-    """All of it; ``panel`` has in_universe, and sector for neutral bands."""
-    return bands(criteria(rs_slope(rs_score(panel, cfg), cfg), cfg), cfg)
+    """All of it; ``panel`` has in_universe, and sector for neutral bands.
+
+    Criteria come first, so that they share the panel's order by ticker with the returns: rows then go to their
+    session for the score, back to their ticker for the slope, and to their session for the rest.
+    """
+    return bands(rs_slope(rs_score(criteria(panel, cfg), cfg), cfg), cfg)

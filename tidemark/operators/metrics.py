@@ -33,6 +33,7 @@ def _cagr(n: Column, grown: Column) -> Column:
 
 def equity_curve(returns: DataFrame) -> DataFrame:
     """Adds equity, from 1, peak, the highest so far, and drawdown from it; series are scanned in blocks of periods, however long one is."""
+    returns = returns.persist()  # read twice, and what leads to it is long
     out = running_growth(returns, 1 + F.col("r"), ["run_id"], "t", F.floor(F.col("t") / BLOCK), "equity", "peak")
     return out.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
@@ -42,6 +43,7 @@ def max_drawdown(curve: DataFrame) -> DataFrame:
 
     Two passes of plain aggregates: the lowest point with its peak, then the peak's date and the return to it.
     """
+    curve = curve.persist()
     low = curve.groupBy("run_id").agg(F.min(F.struct("drawdown", "date", "peak")).alias("low"), F.max("date").alias("last"))
     at = curve.select("run_id", "date", "equity").join(low, "run_id")
     reached = F.col("equity") >= F.col("low.peak")
@@ -80,6 +82,7 @@ def basket_metrics(baskets: DataFrame, rf: DataFrame, round_trip_bps: float) ->
 
     cost_drag is what the turnover costs a year at ``round_trip_bps`` for each name that is replaced.
     """
+    baskets = baskets.persist()  # a row for each run and period, read by three branches
     series = baskets.filter("r IS NOT NULL")
     held = baskets.groupBy("run_id").agg(F.avg("turnover").alias("turnover"), F.avg("n").alias("positions"))
     low = max_drawdown(equity_curve(series)).select("run_id", F.col("depth").alias("max_dd"), F.col("months").alias("recovery_months"))
