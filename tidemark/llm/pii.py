@@ -2,8 +2,8 @@
 
 Equal entities get equal surrogates everywhere, whatever their punctuation; different entities of a kind get
 different ones. Numbers, addresses and the names of mailboxes go through a keyed permutation of the strings of
-their shape, so that they are distinct by construction; made-up names and mail hosts are distinct by a check.
-A surrogate isn't itself an entity of the corpus, but where a shape has so few strings that a quarter of them
+their shape, so that they are distinct by construction; made-up names and mail hosts are distinct by a check,
+each host being an entity of its own. A surrogate isn't itself an entity of the corpus, but where a shape has so few strings that a quarter of them
 are in use: there the plain permutation holds. Surrogates keep kind, length and punctuation, letter case and
 script, the country code of a phone, the issuer and the Luhn sum of a card, the checksum of an IBAN, the
 network of an address (its first octet or group; two octets of private and link-local ones), a name's title
@@ -52,6 +52,8 @@ _HEX = "0123456789abcdef"
 #: Alphabets in which the permutation moves characters; all others stay.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA))))
 FEISTEL = 6
+#: Letters of a made-up mail host.
+HOST_LETTERS = 12
 
 
 def _let(value: Column, body) -> Column:
@@ -113,7 +115,7 @@ def kind_of(entity: Column) -> Column:
 
 
 def atoms(entity: Column, kind: Column) -> Column:
-    """The (kind, norm) parts of an entity that have surrogates of their own: the words of a name, else the whole.
+    """The (kind, norm) parts of an entity that have surrogates of their own: the words of a name, an address and its host, else the whole.
 
     A phone's norm is its digits without the country code, which stays as it is.
     """
@@ -130,7 +132,8 @@ def atoms(entity: Column, kind: Column) -> Column:
         .when(kind == "phone", F.regexp_replace(F.regexp_replace(entity, r"^\+\d{1,3}(?=\D)", ""), r"\D", ""))
         .otherwise(digits)
     )
-    return F.when(kind == "name", names).otherwise(F.array(atom(kind, norm)))
+    mail = F.array(atom(kind, norm), atom(F.lit("host"), F.substring_index(norm, "@", -1)))
+    return F.when(kind == "name", names).when(kind == "email", mail).otherwise(F.array(atom(kind, norm)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -176,7 +179,10 @@ def shape(kind: Column, norm: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The surrogate norm of an atom. ``attempt`` counts the surrogates that collisions have ruled out."""
+    """The surrogate norm of an atom. ``attempt`` counts the surrogates that collisions have ruled out.
+
+    An address keeps its host, for which the host's own surrogate stands in the text.
+    """
     tweak = lambda *more: F.concat_ws("|", kind, attempt, *more)
     issuer = F.substring(norm, 1, 6)
     checked = lambda middle, luhn: F.concat(middle, F.pmod(luhn - _luhn(F.concat(middle, F.lit("0"))), F.lit(10)).cast("string"))
@@ -205,10 +211,11 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     rare = lambda c: c.rlike(r"^[\p{L}\p{N}]$") & ~c.rlike(rf"^[{''.join(ALPHABETS)}]$")
     common = lambda digest: F.array_join(F.transform(F.split(local, ""), lambda c, i: F.when(rare(c), F.translate(F.substring(digest, (i % 64 + 1).cast("int"), F.lit(1)), _HEX, LETTERS["latin"])).otherwise(c)), "")
-    host = F.translate(F.substring(_digest(key, F.lit("domain"), domain), 1, 12), _HEX, LETTERS["latin"])
-    email = F.concat(permuted(key, tweak(domain), _let(_digest(key, tweak(), norm), common)), F.lit("@"), host, F.lit(".example"))
+    email = F.concat(permuted(key, tweak(domain), _let(_digest(key, tweak(), norm), common)), F.lit("@"), domain)
+    host = F.concat(F.translate(F.substring(_digest(key, tweak(), norm), 1, HOST_LETTERS), _HEX, LETTERS["latin"]), F.lit(".example"))
     return (
         F.when(kind == "email", email)
+        .when(kind == "host", host)
         .when(kind == "ip", ip)
         .when(kind == "ipv6", ipv6)
         .when(kind == "iban", iban)
@@ -234,7 +241,7 @@ def _fill(entity: Column, kind: Column, made: Column) -> Column:
 def _render(entity: Column, kind: Column, made: Column) -> Column:
     """The text that replaces an entity, of whose atoms ``made`` holds the surrogates."""
     title = F.regexp_extract(entity, r"^\p{L}+\.? ", 0)
-    return F.when(kind == "name", F.concat(title, F.array_join(made, " "))).when(kind.isin("email", "ip", "ipv6"), made[0]).otherwise(_fill(entity, kind, made[0]))
+    return F.when(kind == "name", F.concat(title, F.array_join(made, " "))).when(kind == "email", F.concat(F.substring_index(made[0], "@", 1), F.lit("@"), made[1])).when(kind.isin("ip", "ipv6"), made[0]).otherwise(_fill(entity, kind, made[0]))
 
 
 def _found(text: Column) -> Column:
@@ -246,7 +253,8 @@ def collisions(docs: DataFrame, text_col: str, key: str) -> DataFrame:
 
     The smallest atom of a conflict keeps its surrogate, unless that is an atom; the others take their next
     ones, round by round, until none is in conflict with any. Shapes that are FULL stay out: there the
-    permutation alone keeps surrogates distinct. A round handles the atoms in conflict only.
+    permutation alone keeps surrogates distinct. A round handles the atoms in conflict only. Addresses are held
+    against those of their host alone, since no made-up host is one of the corpus. No rows without entities.
     """
     scratch = Scratch(docs.sparkSession)
     atom = docs.select(F.explode(_found(F.col(text_col))).alias("e")).select(F.explode(atoms(F.col("e.text"), F.col("e.kind"))).alias("a")).select("a.*").distinct()
@@ -254,7 +262,7 @@ def collisions(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     every = scratch.keep(made(atom, 0).withColumn("shape", shape(F.col("kind"), F.col("norm"))), "atoms")
     used = every.groupBy("kind", "shape").agg(F.count("*").alias("n")).filter(F.log10("n") - F.log10(F.lit(FULL)) > F.col("shape.size"))
     free = every.join(used.select("kind", "shape"), ["kind", "shape"], "left_anti").select("kind", "norm", "attempt", "made")
-    real = every.select("kind", F.col("norm").alias("made"))
+    real = every.filter("kind <> 'email'").select("kind", F.col("norm").alias("made"))
 
     def clashing(df: DataFrame, *others: DataFrame) -> DataFrame:
         """The rows of ``df`` that share a surrogate with a smaller atom, or that ``others`` have."""
@@ -288,7 +296,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     Null texts stay null and have no entities; rows without entities keep their texts. Names are recognised
     after a title, so that words which merely look like names stay; the words of a recognised name are then
     replaced wherever the same text has them, by the same surrogates. Texts are read whole; repeated rows give
-    equal results.
+    equal results, an empty table gives none, and other columns play no part.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     tries = collisions(plain, "text", key).withColumn("atom", F.concat_ws(":", "kind", "norm"))
