@@ -103,6 +103,29 @@ def test_baskets_and_turnover(spark):
     assert got[2].r is None and got[2].turnover == 0.0 and got[3].turnover == 1.0 and got[3].r is None
 
 
+def test_members_at_dates(spark):
+    """Dates between, on and before sessions: the baskets of the last session, by plain sorting; and the orders of reports."""
+    cfg, rng = Config(**{"max_share_price": 20_000.0, "capital": 10_000_000.0}), random.Random(9)
+    rows = [(t, k, rng.gauss(0, 1), rng.choice([-1.0, -0.5, 0.5]), True, 1 + k % 5 if k % 11 else None) for t in range(4) for k in range(40)]
+    signals = spark.createDataFrame(rows, "t int, ticker long, rs_score double, rs_slope double, eligible boolean, band int")
+    cal = spark.createDataFrame([(DAY + datetime.timedelta(10 * t), t) for t in range(4)], "date date, t int")
+    asked = {DAY - datetime.timedelta(1): None, DAY: 0, DAY + datetime.timedelta(15): 1, DAY + datetime.timedelta(19): 1, DAY + datetime.timedelta(500): 3}
+    dates = spark.createDataFrame([(d,) for d in [*asked, DAY, None]], "date date")
+    got = {tuple(r) for r in periods.members_at(signals, dates, cal, cfg).select("date", "run_id", "t", "ticker", "ord").collect()}
+    want = set()
+    for d, t in asked.items():
+        now = [r for r in rows if r[0] == t]
+        for run, band, key, most in (("top", 5, lambda r: -r[2], 9), ("bottom", 1, lambda r: r[2], 9), ("mid", 3, lambda r: -r[2], 9), ("pullback", 5, lambda r: r[3], 0)):
+            inside = sorted((r for r in now if r[5] == band and r[3] < most), key=lambda r: (key(r), r[1]))
+            want |= {(d, run, t, r[1], i + 1) for i, r in enumerate(inside[:3])}
+    assert got == want and len({r[0] for r in got}) == 4
+    assert periods.members_at(signals, dates.filter("false"), cal, cfg).count() == 0
+    first = [(r.rs_score, r.ticker) for r in analysis.strongest_first(signals.filter("t = 0")).collect()]
+    assert first == sorted(first, key=lambda r: (-r[0], r[1]))
+    returns = spark.createDataFrame([("a", 0, 0.2), ("a", 1, -0.5), ("b", 0, -0.2), ("b", 1, 0.01), ("b", 2, None)], "run_id string, t int, r double")
+    assert [tuple(r) for r in analysis.anomalous(returns, 0.1).collect()] == [("a", 1, -0.5, False), ("a", 0, 0.2, True), ("b", 0, -0.2, True)]
+
+
 def test_lookups(spark):
     d = lambda m, k=1: datetime.date(2020, m, k)
     cal = panel.number_sessions(spark.createDataFrame([(d(2),), (d(4),), (d(6),)], "date date"))

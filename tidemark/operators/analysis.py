@@ -36,7 +36,7 @@ def sessions_in_band(signals: DataFrame, as_of: int) -> DataFrame:
 
 
 def snapshot(signals: DataFrame, meta: DataFrame, as_of: int, back: int) -> DataFrame:
-    """One row per eligible ticker at ``as_of``, with its band ``back`` sessions earlier and its movement."""
+    """One row per eligible ticker at ``as_of``, with its band ``back`` sessions earlier and its movement; ``strongest_first`` orders them."""
     now = signals.filter((F.col("t") == as_of) & F.col("eligible")).select("ticker", "date", "rs_score", "rs_slope", "band", "above_sma")
     prev = signals.filter(F.col("t") == max(0, as_of - back)).select("ticker", F.col("band").alias("prev_band"))
     out = now.join(prev, "ticker", "left").join(meta, "ticker", "left").join(sessions_in_band(signals, as_of).drop("band"), "ticker", "left")
@@ -44,6 +44,11 @@ def snapshot(signals: DataFrame, meta: DataFrame, as_of: int, back: int) -> Data
     return out.withColumns({"movement": moved, "label": F.try_element_at(F.array(*map(F.lit, LABELS)), "band")})
 
 
+def strongest_first(rows: DataFrame) -> DataFrame:
+    """By falling score; ties go by ticker, null scores come last."""
+    return rows.orderBy(F.desc_nulls_last("rs_score"), "ticker")
+
+
 def trails(signals: DataFrame, as_of: int, length: int, step: int) -> DataFrame:
     """(t, ticker, rs_score, rs_slope) each ``step`` sessions back from the first of the last ``length``, for tickers with both."""
     first = max(0, as_of - length + 1)
@@ -52,8 +57,9 @@ def trails(signals: DataFrame, as_of: int, length: int, step: int) -> DataFrame:
 
 
 def anomalous(returns: DataFrame, limit: float, plausible: float = 0.3) -> DataFrame:
+    """Returns beyond ``limit`` either way, the largest first; ties go by run and period."""
     size = F.abs("r")
-    return returns.filter(size > limit).select("run_id", "t", "r", (size <= plausible).alias("plausible"))
+    return returns.filter(size > limit).orderBy(size.desc(), "run_id", "t").select("run_id", "t", "r", (size <= plausible).alias("plausible"))
 
 
 def price_context(panel: DataFrame, ticker: int, at: int, width: int) -> DataFrame:

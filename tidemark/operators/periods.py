@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
+from tidemark.operators.lookups import as_of
 from tidemark.operators.panel import forward_fill
 from tidemark.operators.sampling import draw_ranks
 from tidemark.operators.scan import running_growth
@@ -90,6 +91,17 @@ def baskets(panel: DataFrame, cfg: Config) -> DataFrame:
     return ranked.select("t", "ticker", F.array_compact(F.array(*each)).alias("e")).select("t", "ticker", F.inline("e")).select("run_id", "t", "ticker", "ord")
 
 
+def members_at(signals: DataFrame, dates: DataFrame, calendar: DataFrame, cfg: Config) -> DataFrame:
+    """(date, run_id, t, ticker, ord): what each basket but the universe would hold if it were made up on each of ``dates`` (date).
+
+    Signals are those of the last session of ``calendar`` (date, t) at or before the date; a date before the
+    first session has no rows. Dates that share a session are picked for once.
+    """
+    found = as_of(dates, calendar).filter("at_or_before IS NOT NULL").select("date", F.col("at_or_before").alias("t"))
+    picked = baskets(signals.join(found.select("t").distinct(), "t", "left_semi"), cfg).filter("run_id <> 'universe'")
+    return found.join(picked, "t").select("date", "run_id", "t", "ticker", "ord")
+
+
 def basket_returns(selections: DataFrame, panel: DataFrame) -> DataFrame:
     """(run_id, t, r, n, turnover) of equally weighted baskets from one execution to the next.
 

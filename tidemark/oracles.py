@@ -153,6 +153,18 @@ _select("pullback", "band = 5 AND rs_slope < 0", "rs_slope, ")
 _select("universe", "eligible AND rs_score IS NOT NULL", "", None)
 
 
+_put(
+    "basket_members",
+    SIGNALS + """,
+asked AS (SELECT max(o_orderdate::DATE) AS date FROM orders GROUP BY year(o_orderdate::DATE)),
+ao AS (SELECT a.date, max(c.t) AS t FROM asked a JOIN calendar c ON c.date <= a.date GROUP BY a.date),
+bk AS (SELECT * FROM (VALUES ('top', 5, -1), ('bottom', 1, 1), ('pullback', 5, 0), ('mid', 3, -1)) v(run_id, of_band, sign)),
+mb AS (SELECT ao.date, run_id, t, ticker, row_number() OVER (PARTITION BY ao.date, run_id ORDER BY CASE WHEN sign = 0 THEN rs_slope ELSE sign * rs_score END, ticker) AS ord
+       FROM ao JOIN signals s USING (t) JOIN bk ON s.band = bk.of_band WHERE sign <> 0 OR rs_slope < 0)""",
+    "SELECT date, run_id, t, ticker, ord::INTEGER AS ord FROM mb WHERE ord <= 3",
+)
+
+
 def _random(n: int) -> str:
     digest = lambda i: f"(('0x' || substr(md5('12345|' || draw || '|' || t || '|{i}'), 1, 13))::BIGINT % (m - k + {i} + 1))"
     return PERIODS + f""",

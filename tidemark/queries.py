@@ -248,6 +248,14 @@ for _name in ("top", "bottom", "pullback", "mid", "universe"):
     _selection(_name)
 
 
+@query
+def basket_members(spark, sf_dir):
+    """What each basket would hold on the last day of each year on which orders were made."""
+    day = F.to_date("o_orderdate")
+    days = tables.table(spark, sf_dir, "orders").groupBy(F.year(day)).agg(F.max(day).alias("date"))
+    return periods.members_at(_signals(spark, sf_dir), days, panel.number_sessions(tables.monthly_cells(spark, sf_dir)), CFG)
+
+
 @query
 def select_random(spark, sf_dir):
     return periods.select_random(_period_panel(spark, sf_dir), DRAWS, CFG.n_names, CFG.seed)
@@ -276,7 +284,8 @@ def sessions_in_band(spark, sf_dir):
 
 @query
 def snapshot(spark, sf_dir):
-    return _rounded(analysis.snapshot(_signals(spark, sf_dir), tables.sectors(spark, sf_dir), _as_of(spark, sf_dir), 3).drop("date"), 5)
+    now = analysis.snapshot(_signals(spark, sf_dir), tables.sectors(spark, sf_dir), _as_of(spark, sf_dir), 3)
+    return _rounded(analysis.strongest_first(now).drop("date"), 5)
 
 
 @query
