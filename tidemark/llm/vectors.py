@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import Scratch, materialize
 from tidemark.llm.graph import connected_components
@@ -79,9 +80,17 @@ def make_plan(n: int, cosine: float) -> Plan:
     return Plan(lists, cuts, total, cosine)
 
 
-def _unit(raw: bytes) -> np.ndarray:
-    x = np.frombuffer(raw, np.float64)
-    return x / np.sqrt(x @ x)
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    """The vectors of a list column without nulls, as views."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _units(vecs: list[np.ndarray]) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square is too large or too small."""
+    x = np.array(vecs, np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def _links(unit: np.ndarray, at_list: int, first: np.ndarray | None, plan: Plan):
@@ -121,14 +130,13 @@ def _links(unit: np.ndarray, at_list: int, first: np.ndarray | None, plan: Plan)
         yield a[linked], b[linked]
 
 
-def _compare(block: list[dict], at_list: int, plan: Plan):
-    """(id, n_links, root) of the block's vectors that have links; root is the smallest id linked to in the block, or its own."""
-    unit = np.array([_unit(r["vec"]) for r in block])
-    ids, copies = np.array([r["id"] for r in block]), np.array([r["copies"] for r in block])
-    mine = np.array([r["part"] for r in block])
-    split = block[0]["lo"] != block[0]["hi"]
-    count, root = np.zeros(len(block), np.int64), ids.copy()
-    pairs = list(_links(unit, at_list, mine if split else None, plan))
+def _compare(ids: np.ndarray, copies: np.ndarray, mine: np.ndarray | None, unit: np.ndarray, at_list: int, plan: Plan):
+    """(ids, n_links, roots) of a block's vectors that have links; a root is the smallest id linked to in the block, or the own one.
+
+    Given ``mine``, their blocks, the vectors of two blocks are compared with each other.
+    """
+    count, root = np.zeros(len(ids), np.int64), ids.copy()
+    pairs = list(_links(unit, at_list, mine, plan))
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, int), np.empty(0, int))
     np.add.at(count, a, copies[b])
     np.add.at(count, b, copies[a])
@@ -155,9 +163,14 @@ def vector_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     collisions over all projections; those that reach the calibrated count are verified exactly, in the first
     list where they meet. ``make_plan`` sets the numbers by that of the vectors, for the same recall at any
     size; see the README for the recall measured. Cells of more than BLOCK rows are compared block by block.
+
+    Ids and cells alone are laid out, sized and thinned to the cells of two vectors or more. Each vector is then
+    fetched once, and goes to each of its cells in one shuffle, in single precision where that is its own.
     """
     scratch = Scratch(rows.sparkSession)
-    plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    own = rows.select(vec_col).schema[0].dataType
+    width = "float" if own == T.ArrayType(T.FloatType(), own.containsNull) else "double"
+    plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{width}>").alias("vec"))
     usable = F.coalesce(F.expr("vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(vec, x -> x <> 0)"), F.lit(False))
     good = plain.filter(usable)
     same = good.groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
@@ -166,42 +179,43 @@ def vector_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     def place(batches):
         for b in batches:
-            vecs = [np.array(v, np.float64) for v in b.column(0).to_pylist()]
+            vecs = _vectors(b.column(1))
             for dim in sorted({len(v) for v in vecs}):
                 at = [i for i, v in enumerate(vecs) if len(v) == dim]
                 matrix, shift = plan.projections(dim)
-                unit = np.array([_unit((vecs[i] / np.abs(vecs[i]).max()).tobytes()) for i in at])
-                cells = plan.cells(unit @ matrix, shift)
+                cells, reps = plan.cells(_units([vecs[i] for i in at]) @ matrix, shift), b.column(0).take(pa.array(at))
                 for t in range(plan.lists):
                     key = [f"{dim}|{t}|" + ",".join(map(str, c)) for c in cells[:, t].tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(key)], ["id", "copies", "vec", "cell"]
-                    )
-
-    placed = scratch.keep(same.select("vec", "rep", "copies").mapInArrow(place, "id long, copies long, vec binary, cell string"), "placed")
-    sizes = scratch.keep(placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "cells")
-    parted = placed.join(sizes, "cell").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("parts")).cast("int"))
+                    yield pa.RecordBatch.from_arrays([reps, pa.array(key)], ["rep", "cell"])
+
+    placed = scratch.keep(same.select("rep", "vec").mapInArrow(place, "rep long, cell string"), "placed")
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = placed.join(sizes, "cell").select("rep", F.struct("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")).alias("at"))
+    visits = sized.groupBy("rep").agg(F.collect_list("at").alias("visits"))  # one a list at most
+    sent = same.join(visits, "rep").select("rep", "copies", "vec", F.explode("visits").alias("at")).select("rep", "copies", "vec", "at.*")
+    parted = sent.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("parts")).cast("int"))
     tiled = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "copies", "vec"
+        "cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "copies", "vec"
     )
-    tiled = tiled.withColumn("list", F.split("cell", "\\|")[1].cast("int"))
 
     def search(batches):
         held, key = [], None
 
         def done():
             if len(held) > 1:
-                ids, count, root = _compare(held, held[0]["list"], plan)
+                part, ids, copies, vecs = zip(*held, strict=True)
+                cell, lo, hi = key
+                ids, count, root = _compare(np.array(ids), np.array(copies), np.array(part) if lo != hi else None, _units(vecs), int(cell.split("|")[1]), plan)
                 if len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count), pa.array(root)], ["id", "n", "root"])
 
         for b in batches:
-            for r in b.to_pylist():
-                k = (r["cell"], r["lo"], r["hi"])
+            vecs = _vectors(b.column("vec"))
+            for *k, part, rep, copies, vec in zip(*(b.column(c).to_pylist() for c in ("cell", "lo", "hi", "part", "rep", "copies")), vecs, strict=True):
                 if k != key:
                     yield from done()
                     held, key = [], k
-                held.append(r)
+                held.append((part, rep, copies, vec))
         yield from done()
 
     found = scratch.keep(
