@@ -713,3 +713,77 @@ def test_quality_step_and_score_against_plain_loops():
     assert n.sum() == count and abs((weight[ids] * n).sum() - total) < 1e-4
     score = quality.Model(weight, 0.2).scorer()
     assert abs(score(text) - 1 / (1 + math.exp(-(0.2 + total / count)))) < 1e-6 and abs(score(b"") - 1 / (1 + math.exp(-0.2))) < 1e-9
+
+
+def test_near_copies_cells_lose_no_alike_pair(monkeypatch):
+    """Cells of SimHash parts: each two sets within the limit share one, at any size and where parts are crowded."""
+    import numpy as np
+
+    from tidemark.llm import near_copies
+
+    rng = np.random.default_rng(7)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    crowd = lambda n: fresh(n) >> np.uint64(8) | (rng.integers(0, 3, n, dtype=np.uint64) << np.uint64(56))  # noqa: E731  # few parts
+    apart = lambda a, b: len(np.setxor1d(a, b))
+    sets, crowded = [], 0
+    for n in [*range(1, 140), 159, 160, 255, 256, 300, 319, 320, 1000]:
+        for make in (fresh, crowd):
+            a = make(n)
+            most = near_copies.grids(n)[0][1]
+            for gone, new in ((0, most), (most // 2, most - most // 2), (most, 0), (0, 0), (0, 1)):
+                b = np.concatenate((a[gone:], make(new)))
+                sets.append((np.unique(a), np.unique(b)))
+            crowded += make is crowd
+    out = near_copies.cells([s for pair in sets for s in pair])
+    alike = 0
+    for (a, b), x, y in zip(sets, out[::2], out[1::2], strict=True):
+        if 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)):
+            alike += 1
+            assert set(x.tolist()) & set(y.tolist()), (len(a), len(b))
+        assert len(x) <= 2 * (len(a) // 4 + 1) * 2
+    assert alike > len(sets) / 2 and crowded
+    a, b = fresh(300), fresh(300)
+    assert not set(near_copies.cells([a])[0].tolist()) & set(near_copies.cells([b])[0].tolist())
+    assert [len(c) for c in near_copies.cells([a[:0], np.sort(a), a[:0]])][::2] == [0, 0] and near_copies.cells([a[:0]])[0].size == 0
+
+
+def test_near_copies_marks_are_majorities_and_bounds(spark):
+    import numpy as np
+
+    from tidemark.llm import near_copies
+
+    rng = np.random.default_rng(8)
+    for k in (1, 2, 3, 4, 7, 8):
+        x = rng.integers(0, 2**64, (50, k), dtype=np.uint64)
+        want = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in row) > k) for row in x.tolist()]
+        assert simhash.majority(x).tolist() == want
+    fps = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    nodes = spark.createDataFrame([(v,) for v in fps.view(np.int64).tolist()], "fp long")
+    assert [r[0] for r in nodes.select(simhash.embed(F.col("fp"))).collect()] == simhash.embedded(fps).view(np.int64).tolist()
+
+    def plain(s, size):
+        return [min(2, sum(h % size == i for h in s.tolist())) for i in range(size)]
+
+    rows, want = [], []
+    for n in (1, 20, 31, 32, 60, 64, 90):  # sizes of one and of two lengths
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        b = np.concatenate((a[n // 9 :], rng.integers(0, 2**64, n // 8 + 3, dtype=np.uint64)))
+        size = 32 * min(len(near_copies.counts(s)) for s in (a, b))
+        want.append(sum(abs(p - q) for p, q in zip(plain(a, size), plain(b, size), strict=True)))
+        assert want[-1] <= len(np.setxor1d(a, b))
+        rows.append((near_copies.counts(a).tolist(), near_copies.counts(b).tolist()))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_copies._manhattan(F.col("a"), F.col("b")), near_copies._manhattan(F.col("b"), F.col("a"))).collect()
+    assert [tuple(r) for r in got] == [(w, w) for w in want] and len({len(a) == len(b) for a, b in rows}) == 2
+
+
+def test_near_dup_stage_links_through_cells(spark, monkeypatch):
+    """Without cells, only equal sets are one: no other path proposes pairs."""
+    from tidemark.llm import near_copies
+
+    words = prose(100).split()
+    edited = " ".join(words[:50] + ["zz"] + words[51:])
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, edited), (3, edited)], "doc_id long, text string")
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect())
+    assert kept() == [1]
+    monkeypatch.setattr(near_copies, "_marked", lambda d, w, made=near_copies._marked: made(d, w).withColumn("cells", F.array().cast("array<long>")))
+    assert kept() == [1, 2]

@@ -1,10 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles, for op10's stage of the pipeline.
+"""Near copies by the Jaccard similarity of word shingles: op10's method with fingerprints that grow with the text, for the pipeline.
 
 64-bit fingerprints of texts at the limit of 0.8 differ in about 10 bits, where cells of bit counts no longer
-tell texts apart (README). So the fingerprint is made longer, and of the shingle set itself: a bit for each
-segment of the hash space, which tells whether the set has an odd number of shingles there. The bits in which
-two fingerprints differ are a lower bound of the sets' difference; pairs within the bound are verified exactly.
-Candidates are texts that share a shingle of their prefixes.
+tell texts apart (README). So the space of the shingles' hashes is cut into parts, as many as the text has
+shingles (to a power of two), and each part has a 64-bit SimHash of its own, the majority of the hashes in it.
+A shingle that only one of two texts has changes one part, so texts within the limit agree in a known number
+of parts. The bit counts of a part's segments are its cell, and cells join by equality (a Manhattan distance of
+zero there). Pairs of a cell are held to the Manhattan distance of their counts over the whole hash space, which
+is a lower bound of the sets' difference; pairs within the bound are verified exactly.
 """
 
 from __future__ import annotations
@@ -17,18 +19,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, materialize
 from tidemark.llm.graph import connected_components
+from tidemark.llm.simhash import LOW, embedded, majority
 
-#: Share of the documents (and how many of them at least) whose shingles are counted to find the frequent ones,
-#: in how many of these a frequent one is, and how many are kept, the most frequent first. They decide which
-#: shingles make the prefixes, not which texts are alike. The share keeps the postings of shared passages short
-#: at any size of the corpus.
-SHARE, SAMPLE, FREQUENT, MOST_FREQUENT = 1 / 12, 5_000, 3, 1_000_000
-#: Up to so many members of a posting make all pairs; larger ones first link to so many pivots.
+#: Up to so many members of a posting (the documents of a cell) make all pairs; larger ones first link to so many pivots.
 FEW, PIVOTS = 8, 3
 #: Members of a block; larger postings are compared block by block, each two blocks in a group of their own.
 BLOCK = 512
-#: Words of fingerprints that are compared at once.
+#: Words of embeddings that are compared at once.
 CHUNK = 4_000_000
+#: Hashes of texts whose cells are made at once.
+TOGETHER = 100_000
 #: Words whose hashes a task remembers; the memory starts anew beyond.
 REMEMBER = 400_000
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -59,39 +59,102 @@ def shingles(text: bytes, words: int, hashes: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """The fingerprint of a set of n hashes: 2n to 4n bits, 64 at least, in 64-bit words; a bit is 1 if an odd number of hashes end in its place."""
-    size = 1 << max(6, (2 * len(s)).bit_length())
-    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def counts(s: np.ndarray) -> np.ndarray:
+    """Counts (0 to 2, which stands for more, too) of a set of n hashes in n to 2n segments of the hash space, 32 at least.
+
+    They are written as thermometer bits like ``simhash.embed``, 32 segments a word, so that the number of
+    differing bits is the Manhattan distance. A hash that one set has alone adds one at most, so the distance
+    is a lower bound of the sets' difference.
+    """
+    size = 1 << max(5, len(s).bit_length())
+    n = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(np.stack((n > 0, n > 1), axis=1).ravel(), bitorder="little").view(np.int64)
 
 
-def _apart(a: Column, b: Column) -> Column:
-    """Bits in which two fingerprints differ; a longer one is folded to the length of the other."""
+def _manhattan(a: Column, b: Column) -> Column:
+    """Manhattan distance of two ``counts``; the counts of the longer are added up to the length of the other."""
     half = lambda x: (F.size(x) / 2).cast("int")
-    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    add = lambda p, q: p.bitwiseOR(q).bitwiseOR(F.shiftleft(p.bitwiseAND(q).bitwiseAND(F.lit(LOW)), 1))
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), add)
     x = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a)
     y = F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[1])
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[2])
+    return x ^ (x >> np.uint64(31))
+
+
+def grids(n: int) -> list[tuple[int, int]]:
+    """(grid, most): the grids that a set of n hashes enters, and the hashes that it and an alike set there have not in common, at most.
+
+    Grid c is for pairs whose smaller set has 2^c to 2^(c+1) - 1 hashes. Alike sets differ in a ninth of their
+    sizes' sum at most, which is a quarter of the smaller size at most.
+    """
+    c = n.bit_length() - 1
+    below = 2**c - 1
+    return [(c, n // 4), *([(c - 1, (n + below) // 9)] if 4 * n <= 5 * below else [])]
+
+
+def cells(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The cells of each set of hashes (sorted, unsigned): any two alike sets share one.
+
+    A grid c has 2^c parts, each with the SimHash of a set's hashes there. The cell of a part is its number, its
+    size and the bit counts of its SimHash. If two sets differ in d hashes at most, all but d of either's
+    parts that aren't empty are the same, so the first d + 1 of either have one in common, in an order that is
+    the same for all sets: by size, the largest first, as parts of several hashes are rarely shared by chance.
+    A set with no more than d such parts gives all of them. It can miss only another set of that kind, so these
+    enter the grid once more, with each hash as a part of its own.
+    """
+    first, size, salt, many = [], [], [], []
+    at = 0
+    for s in sets:
+        before = len(first)
+        for grid, most in grids(len(s)) if len(s) else ():
+            parts = s >> np.uint64(1) >> np.uint64(63 - grid)
+            start = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
+            rooms = [(parts, start, grid)]
+            if len(start) <= most:
+                rooms.append((s, np.arange(len(s)), grid + 64))
+            for part, start, name in rooms:
+                n = np.diff(start, append=len(s))
+                pick = np.argsort(-n, kind="stable")[: most + 1]
+                first.append(start[pick] + at)
+                size.append(n[pick])
+                salt.append(part[start[pick]] ^ np.uint64(name * _MIX[0] % 2**64))
+        many.append(sum(map(len, first[before:])))
+        at += len(s)
+    if not first:
+        return [np.empty(0, np.uint64) for _ in sets]
+    hashes, first, size, salt = (np.concatenate(x) for x in (sets, first, size, salt))
+    marks = np.empty(len(first), np.uint64)
+    for k in np.unique(size).tolist():
+        here = size == k
+        marks[here] = embedded(majority(hashes[first[here][:, None] + np.arange(k)]))
+    return np.split(_mixed(marks ^ _mixed(_mixed(salt) ^ size.astype(np.uint64))), np.cumsum(many)[:-1])
+
+
 def near_pairs(rows: list[dict]):
-    """(row, row) of the members of a block, or of two, whose roots differ and whose fingerprints are within the bound.
+    """(row, row) of the members of a block, or of two, whose roots differ and whose counts are within the bound.
 
     Pairs that share several postings come out in the first of them only.
     """
     this = rows[0]["s"]
     by_size: dict[int, list[dict]] = {}
     for r in rows:
-        by_size.setdefault(len(r["parity"]), []).append(r)
-    of = {k: (*(np.array([r[c] for r in v]) for c in ("row", "n", "root", "part")), np.array([r["parity"] for r in v]).view(np.uint64)) for k, v in by_size.items()}
+        by_size.setdefault(len(r["counts"]), []).append(r)
+    of = {k: (*(np.array([r[c] for r in v]) for c in ("row", "n", "root", "part")), np.array([r["counts"] for r in v]).view(np.uint64)) for k, v in by_size.items()}
     postings = {k: [frozenset(r["own"]) for r in v] for k, v in by_size.items()}
     two = rows[0]["lo"] != rows[0]["hi"]
     for k, (row, n, root, part, bits) in of.items():
         for other in {k, 2 * k} & of.keys():  # alike sets differ in size by a fifth at most
             row_b, n_b, root_b, part_b, bits_b = of[other]
             if other > k:
-                bits_b = bits_b[:, :k] ^ bits_b[:, k:]
+                p, q = bits_b[:, :k], bits_b[:, k:]
+                bits_b = p | q | ((p & q & np.uint64(LOW)) << np.uint64(1))
             step = max(1, CHUNK // (len(row_b) * k))
             for at in range(0, len(row), step):
                 here = slice(at, at + step)
@@ -120,61 +183,55 @@ def _shingled(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "row long, s array<long>")
 
 
-def _marked(docs: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
-    """(row, node, n, parity, prefix): a hash of the whole set, its size and fingerprint, and its first shingles in an order that puts ``frequent`` last.
-
-    Sets of a similarity of 0.8 share at least four fifths of either, so that their prefixes of a fifth and one
-    share a shingle, whatever the order is.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+def _marked(docs: DataFrame, words: int) -> DataFrame:
+    """(row, node, n, counts, cells) of each text of (row, text): a hash of the whole shingle set, its size, counts and cells."""
 
     def run(batches):
-        late, hashes = held.value, _Hashes()
+        hashes = _Hashes()
         for b in batches:
-            node, n, bits, prefix = [], [], [], []
-            for t in b.column(1).cast(pa.large_binary()):
-                s = shingles(t.as_py() or b"", words, hashes)
-                at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                often = late[at] == s if len(late) else np.zeros(len(s), bool)
-                node.append(xxhash.xxh64_intdigest(s.tobytes(), 6))
-                n.append(len(s))
-                bits.append(parity(s))
-                prefix.append(np.concatenate((s[~often], s[often]))[: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64))
-            columns = [b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "node", "n", "parity", "prefix"])
-
-    return docs.mapInArrow(run, "row long, node long, n int, parity array<long>, prefix array<long>")
+            rows, sets, held = [], [], 0
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
+                rows.append(row)
+                sets.append(shingles(t.as_py() or b"", words, hashes))
+                held += len(sets[-1])
+                if held >= TOGETHER:
+                    yield done(rows, sets)
+                    rows, sets, held = [], [], 0
+            if rows:
+                yield done(rows, sets)
+
+    def done(rows, sets):
+        node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 6) for s in sets], np.uint64).view(np.int64)
+        lists = ([counts(s) for s in sets], [c.view(np.int64) for c in cells(sets)])
+        columns = [pa.array(rows, pa.int64()), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
+        return pa.RecordBatch.from_arrays(columns, ["row", "node", "n", "counts", "cells"])
+
+    return docs.mapInArrow(run, "row long, node long, n int, counts array<long>, cells array<long>")
 
 
 def near_copies(numbered: DataFrame, row_col: str, text_col: str = "text", words: int = 5) -> DataFrame:
     """(row, root), a table: the rows of a component of links at a Jaccard similarity of 0.8 or more have the same root.
 
     ``numbered`` must give the same rows whenever it is read, each with a number of its own. Rows of equal
-    shingle sets are one node; blank and null texts are one, too. Nodes that share a shingle of their prefixes
-    are held to the bound of their fingerprints, then verified on the whole sets. Members of a large posting
+    shingle sets are one node; blank and null texts are one, too. Nodes that share a cell are held to the
+    Manhattan distance of their counts, then verified on the whole sets. Members of a large posting
     are first held against a few pivots; then those that no chain of links has joined yet are compared block by
     block, of which only pairs within the bound come out. No link is left out, and a large group of copies
     isn't made into pairs.
     """
     scratch = Scratch(numbered.sparkSession)
     docs = numbered.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    total = docs.count()
-    part = docs.filter(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(1_000_000 * min(1, max(SHARE, SAMPLE / max(1, total)))))
-    often = _shingled(part, words).select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= FREQUENT)
-    often = scratch.keep(often.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT), "often")
-    frequent = np.sort(often.select("s").toArrow().column("s").to_numpy().view(np.uint64))
-
-    marked = scratch.keep(_marked(docs, words, frequent), "marked")
+    marked = scratch.keep(_marked(docs, words), "marked")
     first = scratch.keep(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n")), "nodes")
-    posted = marked.join(first.select("row"), "row", "left_semi").select("row", F.explode("prefix").alias("s")).repartition("s")
+    posted = marked.join(first.select("row"), "row", "left_semi").select("row", F.explode("cells").alias("s")).repartition("s")
     shared = posted.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1")
     members = scratch.keep(posted.join(shared, "s").join(first.select("row", "n"), "row"), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
         own = Scratch(pairs.sparkSession)
         pairs = own.keep(pairs.distinct(), "pairs")
-        a, b = (marked.select(F.col("row").alias(r), F.col("n").alias(f"n{r}"), F.col("parity").alias(f"s{r}")) for r in ("ra", "rb"))
-        near = own.keep(pairs.join(a, "ra").join(b, "rb").filter(9 * _apart(F.col("sra"), F.col("srb")) <= F.col("nra") + F.col("nrb")).select("ra", "rb"), "near")
+        a, b = (marked.select(F.col("row").alias(r), F.col("n").alias(f"n{r}"), F.col("counts").alias(f"s{r}")) for r in ("ra", "rb"))
+        near = own.keep(pairs.join(a, "ra").join(b, "rb").filter(9 * _manhattan(F.col("sra"), F.col("srb")) <= F.col("nra") + F.col("nrb")).select("ra", "rb"), "near")
         ends = near.select(F.explode(F.array("ra", "rb")).alias("row")).distinct()
         sets = own.keep(_shingled(docs.join(ends, "row", "left_semi"), words), "sets")
         a, b = (sets.select(F.col("row").alias(r), F.col("s").alias(x)) for r, x in (("ra", "x"), ("rb", "y")))
@@ -200,10 +257,10 @@ def near_copies(numbered: DataFrame, row_col: str, text_col: str = "text", words
     rooted = scratch.keep(many.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
     apart = rooted.groupBy("s").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u < v").select("s")
     split = scratch.keep(rooted.join(apart, "s"), "split")
-    own = split.groupBy("row").agg(F.collect_list("s").alias("own"))  # no more than a prefix
+    own = split.groupBy("row").agg(F.collect_list("s").alias("own"))  # no more than a set has cells
     split = split.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    tiled = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(marked.select("row", "parity"), "row").join(own, "row")
-    tiled = tiled.select("s", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "row", "n", "root", "parity", "own")
+    tiled = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(marked.select("row", "counts"), "row").join(own, "row")
+    tiled = tiled.select("s", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "row", "n", "root", "counts", "own")
 
     def search(batches):
         held, key = [], None

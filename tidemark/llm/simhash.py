@@ -19,6 +19,8 @@ RADIUS = 2
 GROUPS = ((0, 14), (14, 28), (28, 40), (40, 52), (52, 64))
 #: Above so many fingerprints in a cell, its members link through shared midpoints instead of by pairs.
 CROWD = 64
+#: The lower bit of each two-bit segment.
+LOW = 0x5555555555555555
 
 
 def _signed(x: int) -> int:
@@ -61,11 +63,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def embed(fp):
     """Bit counts (0 to 2) of the 32 two-bit segments, written as thermometer bits, so that the number of
     differing bits of two embeddings is the Manhattan distance of their bit counts."""
-    low = F.lit(0x5555555555555555)
+    low = F.lit(LOW)
     half = F.shiftrightunsigned(fp, 1)
     return fp.bitwiseOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1))
 
 
+def embedded(fp: np.ndarray) -> np.ndarray:
+    """``embed`` of unsigned fingerprints in an array."""
+    low, one = np.uint64(LOW), np.uint64(1)
+    half = fp >> one
+    return ((fp | half) & low) | ((fp & half & low) << one)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of each row of ``hashes`` (unsigned): a bit is 1 if it is set in over half of the row."""
+    n, k = hashes.shape
+    at_least = [np.full(n, 2**64 - 1, np.uint64), *(np.zeros(n, np.uint64) for _ in range(k // 2 + 1))]
+    for i in range(k):
+        for j in range(min(i, k // 2) + 1, 0, -1):
+            at_least[j] |= at_least[j - 1] & hashes[:, i]
+    return at_least[-1]
+
+
 def fingerprint_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst) edges that connect distinct fingerprints ``nodes.fp`` exactly as all links within RADIUS do.
 
