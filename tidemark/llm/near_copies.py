@@ -223,8 +223,8 @@ def near_copies(numbered: DataFrame, row_col: str, text_col: str = "text", words
     docs = numbered.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     marked = scratch.keep(_marked(docs, words), "marked")
     first = scratch.keep(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n")), "nodes")
-    posted = marked.join(first.select("row"), "row", "left_semi").select("row", F.explode("cells").alias("s")).repartition("s")
-    shared = posted.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1")
+    posted = marked.join(first.select("row"), "row", "left_semi").select("row", F.explode("cells").alias("s")).filter("s IS NOT NULL AND row IS NOT NULL").repartition("s")
+    shared = posted.groupBy("s").agg(F.count("row").alias("m")).filter("m > 1")  # of the same columns as the join below, so that both read one exchange
     members = scratch.keep(posted.join(shared, "s").join(first.select("row", "n"), "row"), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
