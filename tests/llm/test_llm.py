@@ -787,3 +787,46 @@ def test_near_dup_stage_links_through_cells(spark, monkeypatch):
     assert kept() == [1]
     monkeypatch.setattr(near_copies, "_marked", lambda d, w, made=near_copies._marked: made(d, w).withColumn("cells", F.array().cast("array<long>")))
     assert kept() == [1, 2]
+
+
+def test_near_dup_stage_makes_no_pairs_of_a_group_at_the_limit(spark, monkeypatch):
+    """Texts whose counts are within the bound of each other, most of which aren't alike: blocks give links as by brute force, and fewer than texts."""
+    from tidemark.llm import common, near_copies
+
+    rng = random.Random(21)
+    base = prose(600, rng).split()
+    texts = []
+    for t in range(160):
+        w, at = base[:], rng.sample(range(5, 585), 7)
+        for k, i in enumerate([*at, *range(at[0] + 1, at[0] + 6)]):
+            w[i] = f"t{t}x{k}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    made = []
+
+    def keep(self, df, name, keep=common.Scratch.keep):
+        out = keep(self, df, name)
+        if out.columns == ["ra", "rb"]:
+            made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", keep)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs, "").orderBy("doc_id").collect()] == sorted(set(root))
+    later = made[[name for name, _ in made].index("links") + 1 :]  # what the blocks give
+    assert later and max(n for _, n in later) < len(texts), made
+
+    hashes = near_copies._Hashes()
+    sets = [near_copies.shingles(t.encode(), 5, hashes) for t in texts]
+    rows = [{"s": 1, "lo": 0, "hi": 0, "part": 0, "row": i, "n": len(s), "root": i, "own": [1], "counts": near_copies.counts(s), "set": s.view(np.int64)} for i, s in enumerate(sets)]
+    near = [(i, j) for a, b in near_copies.near_pairs(rows) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    members, links = near_copies.near_members(rows), near_copies.near_links(rows)
+    assert set(alike) <= set(near) and len(near) > 20 * len(texts) and len(members) <= len(texts)
+    assert set(links) <= set(alike) and len(links) == len(texts) - len(set(root))
+    one = near_copies.near_links([r | {"root": 0} for r in rows])
+    assert one == [] and not near_copies.near_members([r | {"own": [0, 1]} for r in rows])

@@ -23,8 +23,10 @@ from tidemark.llm.simhash import LOW, embedded, majority
 
 #: Up to so many members of a posting (the documents of a cell) make all pairs; larger ones first link to so many pivots.
 FEW, PIVOTS = 8, 3
-#: Members of a block; larger postings are compared block by block, each two blocks in a group of their own.
+#: Members of a block; larger postings are compared block by block, each two blocks (a tile) in a group of their own.
 BLOCK = 512
+#: Shingles of a set on average, if a block has so many members; blocks of larger sets have fewer, as a task holds the sets of a tile.
+LONG = 4096
 #: Words of embeddings that are compared at once.
 CHUNK = 4_000_000
 #: Hashes of texts whose cells are made at once.
@@ -138,20 +140,20 @@ def cells(sets: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def near_pairs(rows: list[dict]):
-    """(row, row) of the members of a block, or of two, whose roots differ and whose counts are within the bound.
+    """(position, position) in ``rows`` of the members of a block, or of two, whose roots differ and whose counts are within the bound.
 
     Pairs that share several postings come out in the first of them only.
     """
     this = rows[0]["s"]
-    by_size: dict[int, list[dict]] = {}
-    for r in rows:
-        by_size.setdefault(len(r["counts"]), []).append(r)
-    of = {k: (*(np.array([r[c] for r in v]) for c in ("row", "n", "root", "part")), np.array([r["counts"] for r in v]).view(np.uint64)) for k, v in by_size.items()}
-    postings = {k: [frozenset(r["own"]) for r in v] for k, v in by_size.items()}
+    by_size: dict[int, list[int]] = {}
+    for at, r in enumerate(rows):
+        by_size.setdefault(len(r["counts"]), []).append(at)
+    of = {k: (np.array(v), *(np.array([rows[at][c] for at in v]) for c in ("row", "n", "root", "part")), np.array([rows[at]["counts"] for at in v]).view(np.uint64)) for k, v in by_size.items()}
+    postings = {k: [frozenset(rows[at]["own"]) for at in v] for k, v in by_size.items()}
     two = rows[0]["lo"] != rows[0]["hi"]
-    for k, (row, n, root, part, bits) in of.items():
+    for k, (place, row, n, root, part, bits) in of.items():
         for other in {k, 2 * k} & of.keys():  # alike sets differ in size by a fifth at most
-            row_b, n_b, root_b, part_b, bits_b = of[other]
+            place_b, row_b, n_b, root_b, part_b, bits_b = of[other]
             if other > k:
                 p, q = bits_b[:, :k], bits_b[:, k:]
                 bits_b = p | q | ((p & q & np.uint64(LOW)) << np.uint64(1))
@@ -167,8 +169,56 @@ def near_pairs(rows: list[dict]):
                     near &= row[here, None] < row_b[None]
                 i, j = np.nonzero(near)
                 first = [min(postings[k][a] & postings[other][b]) == this for a, b in zip((i + at).tolist(), j.tolist(), strict=True)]
-                i, j = i[first] + at, j[first]
-                yield np.minimum(row[i], row_b[j]), np.maximum(row[i], row_b[j])
+                yield place[i[first] + at], place_b[j[first]]
+
+
+def near_members(rows: list[dict]) -> list[dict]:
+    """The members of a tile that are in any of its ``near_pairs``, once each, however many pairs they are in."""
+    found = np.zeros(len(rows), bool)
+    for i, j in near_pairs(rows):
+        found[i] = found[j] = True
+    return [rows[at] for at in np.flatnonzero(found).tolist()]
+
+
+def near_links(rows: list[dict]) -> list[tuple[int, int]]:
+    """(row, row): verified links of a tile's members that join their roots as all links of its ``near_pairs`` do, fewer than members.
+
+    ``set`` of a member has its sorted shingles. A pair that links already join isn't verified.
+    """
+    above: dict[int, int] = {}
+    links = []
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    rows = [r | {"counts": counts(r["set"].view(np.uint64))} for r in rows]
+    for i, j in near_pairs(rows):
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = rows[a], rows[b]
+            p, q = top(a["root"]), top(b["root"])
+            if p != q and 9 * len(np.intersect1d(a["set"], b["set"], assume_unique=True)) >= 4 * (len(a["set"]) + len(b["set"])):
+                above[p] = q
+                links.append((min(a["row"], b["row"]), max(a["row"], b["row"])))
+    return links
+
+
+def _tiles(batches, wide: str):
+    """The members of each tile, whose rows follow each other; column ``wide`` (lists of longs) gives arrays."""
+    held, key = [], None
+    for b in batches:
+        lists = b.column(wide)
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        arrays = np.split(lists.flatten().to_numpy(), ends[:-1]) if b.num_rows else []
+        for r, x in zip(b.select([c for c in b.schema.names if c != wide]).to_pylist(), arrays, strict=True):
+            if (k := (r["s"], r["lo"], r["hi"])) != key:
+                if len(held) > 1:
+                    yield held
+                held, key = [], k
+            held.append(r | {wide: x})
+    if len(held) > 1:
+        yield held
 
 
 def _shingled(docs: DataFrame, words: int) -> DataFrame:
@@ -216,8 +266,9 @@ def near_copies(numbered: DataFrame, row_col: str, text_col: str = "text", words
     shingle sets are one node; blank and null texts are one, too. Nodes that share a cell are held to the
     Manhattan distance of their counts, then verified on the whole sets. Members of a large posting
     are first held against a few pivots; then those that no chain of links has joined yet are compared block by
-    block, of which only pairs within the bound come out. No link is left out, and a large group of copies
-    isn't made into pairs.
+    block inside tasks, by counts and, where these are within the bound, by sets. Out come members and links that
+    join them, fewer than members, so a large group of copies, or of texts about the limit, isn't made into
+    pairs. No link between groups is left out.
     """
     scratch = Scratch(numbered.sparkSession)
     docs = numbered.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -255,29 +306,30 @@ def near_copies(numbered: DataFrame, row_col: str, text_col: str = "text", words
 
     # members that no chain of links has joined yet, block by block
     rooted = scratch.keep(many.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
-    apart = rooted.groupBy("s").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u < v").select("s")
+    apart = rooted.groupBy("s").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.max("n").alias("most")).filter("u < v").select("s", "most")
     split = scratch.keep(rooted.join(apart, "s"), "split")
     own = split.groupBy("row").agg(F.collect_list("s").alias("own"))  # no more than a set has cells
-    split = split.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    parts = F.ceil(F.col("m") * F.greatest(F.col("most") / LONG, F.lit(1.0)) / BLOCK).cast("int")
+    split = split.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     tiled = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(marked.select("row", "counts"), "row").join(own, "row")
-    tiled = tiled.select("s", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "row", "n", "root", "counts", "own")
+    tiled = tiled.select("s", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "row", "n", "root", "own", "counts")
 
     def search(batches):
-        held, key = [], None
-        for b in batches:
-            for r in b.to_pylist():
-                k = (r["s"], r["lo"], r["hi"])
-                if k != key:
-                    yield from done(held)
-                    held, key = [], k
-                held.append(r)
-        yield from done(held)
-
-    def done(held):
-        for i, j in near_pairs(held) if len(held) > 1 else ():
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], ["ra", "rb"])
-
-    more = verified(tiled.repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi").mapInArrow(search, "ra long, rb long"))
+        for tile in _tiles(batches, "counts"):
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in kept.names} for r in near_members(tile)], kept)
+
+    def link(batches):
+        for tile in _tiles(batches, "set"):
+            yield pa.RecordBatch.from_pylist([{"ra": a, "rb": b} for a, b in near_links(tile)], pa.schema([("ra", pa.int64()), ("rb", pa.int64())]))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
+
+    whole, short = pa.int64(), pa.int32()
+    kept = pa.schema([("s", whole), ("lo", short), ("hi", short), ("part", short), ("row", whole), ("n", short), ("root", whole), ("own", pa.list_(whole))])
+    near = scratch.keep(dealt(tiled).mapInArrow(search, "s long, lo int, hi int, part int, row long, n int, root long, own array<long>"), "near")
+    sets = scratch.keep(_shingled(docs.join(near.select("row").distinct(), "row", "left_semi"), words).withColumnRenamed("s", "set"), "sets")
+    more = scratch.keep(dealt(near.join(sets, "row")).mapInArrow(link, "ra long, rb long"), "links")
     if not more.isEmpty():
         roots = connected_components(links.union(more), "ra", "rb").withColumnRenamed("node", "row")
     rooted = first.join(roots, "row", "left").select("node", F.coalesce("root", "row").alias("root"))
