@@ -830,3 +830,60 @@ def test_near_dup_stage_makes_no_pairs_of_a_group_at_the_limit(spark, monkeypatc
     assert set(links) <= set(alike) and len(links) == len(texts) - len(set(root))
     one = near_copies.near_links([r | {"root": 0} for r in rows])
     assert one == [] and not near_copies.near_members([r | {"own": [0, 1]} for r in rows])
+
+
+def test_near_dup_stage_carries_no_square_of_a_texts_cells(spark, monkeypatch):
+    """Long texts that share hundreds of postings without being alike: what is dealt by tiles is of the order of their cells."""
+    from tidemark.llm import near_copies
+
+    rng = random.Random(23)
+    base = prose(2400, rng).split()
+    texts = []
+    for t in range(14):
+        w = base[:]
+        for i in range(0, 2400, 150):  # two copies each of seven texts, which have three quarters in common
+            w[i : i + 35] = [f"t{t % 7}x{k}" for k in range(i, i + 35)]
+        texts.append(" ".join(w + [f"end{t}"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = near_copies._Hashes()
+    most = sum(map(len, near_copies.cells([near_copies.shingles(t.encode(), 5, hashes) for t in texts])))
+    dealt = []
+
+    def repartition(self, *by, old=type(docs).repartition):
+        if "lo" in by:
+            lists = [F.size(c) for c, kind in self.dtypes if kind == "array<bigint>" and c != "set"]
+            dealt.append(self.agg(F.coalesce(F.sum(sum(lists, F.lit(0))), F.lit(0)), F.count("*")).first())
+        return old(self, *by)
+
+    monkeypatch.setattr(type(docs), "repartition", repartition)
+    assert [r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs, "").orderBy("doc_id").collect()] == list(range(7))
+    assert dealt[0][1] > 500 and sum(n for n, _ in dealt) < 8 * most, (dealt, most)
+
+
+def test_near_copies_open_members_leave_each_pair_in_a_tile(monkeypatch):
+    """Any choice of a member's first postings: pairs of two roots come out in one tile at least, few in more, and closed members in none."""
+    from tidemark.llm import near_copies
+
+    rng = np.random.default_rng(24)
+    of = [np.sort(rng.choice(60, 20, replace=False)) for _ in range(30)]
+    root = rng.integers(0, 25, 30).tolist()
+    want = {(i, j) for j in range(30) for i in range(j) if root[i] != root[j] and set(of[i].tolist()) & set(of[j].tolist())}
+    every = near_copies.counts(np.arange(9, dtype=np.uint64))
+    for told in (0, 1, 3, 8, 20):
+        pairs, stay = Counter(), 0
+        for parts in (1, 2):
+            for s in range(60):
+                for lo in range(parts):
+                    for hi in range(lo, parts):
+                        here = [i for i in range(30) if s in of[i] and i % parts in (lo, hi)]
+                        rows = [{"s": s, "lo": lo, "hi": hi, "part": i % parts, "row": i, "n": 9, "root": root[i], "own": of[i][:told], "counts": every} for i in here]
+                        if len(rows) < 2:
+                            continue
+                        still = near_copies.open_members(rows)
+                        lists = [[r | {"own": r["own"].tolist()} for r in x] for x in (rows, still)]
+                        every_pair, found = ({tuple(sorted((x[a]["row"], x[b]["row"]))) for i, j in near_copies.near_pairs(x) for a, b in zip(i.tolist(), j.tolist(), strict=True)} if x else set() for x in lists)
+                        assert found == every_pair and {r["row"] for r in still} == {i for pair in found for i in pair}
+                        pairs.update((parts, *p) for p in found)
+                        stay += len(still)
+        assert set(pairs) == {(parts, *p) for parts in (1, 2) for p in want}
+        assert told < 20 or max(pairs.values()) == 1

@@ -27,6 +27,8 @@ FEW, PIVOTS = 8, 3
 BLOCK = 512
 #: Shingles of a set on average, if a block has so many members; blocks of larger sets have fewer, as a task holds the sets of a tile.
 LONG = 4096
+#: Postings of a member that tell in which one a pair was compared already: so many, the first ones. Whole lists would take the square of a text's cells.
+TOLD = 8
 #: Words of embeddings that are compared at once.
 CHUNK = 4_000_000
 #: Hashes of texts whose cells are made at once.
@@ -139,10 +141,31 @@ def cells(sets: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(_mixed(marks ^ _mixed(_mixed(salt) ^ size.astype(np.uint64))), np.cumsum(many)[:-1])
 
 
+def open_members(rows: list[dict]) -> list[dict]:
+    """The members of a tile that have a pair to compare there: of two roots, of alike sizes and without an earlier posting in both ``own``.
+
+    ``own`` has postings (arrays) of a member, not all of them. In the first of the postings that two members share, no earlier
+    one is in both, so each pair is open in a tile. Copies of long texts share thousands, of which few tiles stay open.
+    """
+    this = rows[0]["s"]
+    n, root, part = (np.array([r[c] for r in rows]) for c in ("n", "root", "part"))
+    lists = [r["own"][r["own"] < this] for r in rows]
+    _, at, many = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    shared = many > 1
+    place = np.cumsum(shared) - 1
+    earlier = np.zeros((len(rows), int(shared.sum())), np.float32)
+    member = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
+    earlier[member[shared[at]], place[at[shared[at]]]] = 1
+    left = (root[:, None] != root) & (5 * np.minimum(n[:, None], n) >= 4 * np.maximum(n[:, None], n)) & (earlier @ earlier.T == 0)
+    if rows[0]["lo"] != rows[0]["hi"]:
+        left &= part[:, None] != part
+    return [rows[i] for i in np.flatnonzero(left.any(axis=1)).tolist()]
+
+
 def near_pairs(rows: list[dict]):
     """(position, position) in ``rows`` of the members of a block, or of two, whose roots differ and whose counts are within the bound.
 
-    Pairs that share several postings come out in the first of them only.
+    Pairs that share several postings don't come out where an earlier one of them is in both ``own``, as in ``open_members``.
     """
     this = rows[0]["s"]
     by_size: dict[int, list[int]] = {}
@@ -168,7 +191,7 @@ def near_pairs(rows: list[dict]):
                 if other == k:
                     near &= row[here, None] < row_b[None]
                 i, j = np.nonzero(near)
-                first = [min(postings[k][a] & postings[other][b]) == this for a, b in zip((i + at).tolist(), j.tolist(), strict=True)]
+                first = [min(postings[k][a] & postings[other][b], default=this) >= this for a, b in zip((i + at).tolist(), j.tolist(), strict=True)]
                 yield place[i[first] + at], place_b[j[first]]
 
 
@@ -266,7 +289,8 @@ def near_copies(numbered: DataFrame, row_col: str, text_col: str = "text", words
     shingle sets are one node; blank and null texts are one, too. Nodes that share a cell are held to the
     Manhattan distance of their counts, then verified on the whole sets. Members of a large posting
     are first held against a few pivots; then those that no chain of links has joined yet are compared block by
-    block inside tasks, by counts and, where these are within the bound, by sets. Out come members and links that
+    block inside tasks: first without counts, which leaves the members that have a pair no earlier posting has, then
+    by counts and, where these are within the bound, by sets. Out come members and links that
     join them, fewer than members, so a large group of copies, or of texts about the limit, isn't made into
     pairs. No link between groups is left out.
     """
@@ -274,7 +298,9 @@ def near_copies(numbered: DataFrame, row_col: str, text_col: str = "text", words
     docs = numbered.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     marked = scratch.keep(_marked(docs, words), "marked")
     first = scratch.keep(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n")), "nodes")
-    posted = marked.join(first.select("row"), "row", "left_semi").select("row", F.explode("cells").alias("s")).filter("s IS NOT NULL AND row IS NOT NULL").repartition("s")
+    again = scratch.keep(marked.select("row", "node").join(first.select("node", F.col("row").alias("one")), "node").filter("row <> one").select("row"), "again")
+    # the rows of repeated nodes are left out by their own list, mostly short: cells aren't dealt by row where it can be broadcast
+    posted = marked.join(again, "row", "left_anti").select("row", F.explode("cells").alias("s")).filter("s IS NOT NULL AND row IS NOT NULL").repartition("s")
     shared = posted.groupBy("s").agg(F.count("row").alias("m")).filter("m > 1")  # of the same columns as the join below, so that both read one exchange
     members = scratch.keep(posted.join(shared, "s").join(first.select("row", "n"), "row"), "members")
 
@@ -308,11 +334,15 @@ def near_copies(numbered: DataFrame, row_col: str, text_col: str = "text", words
     rooted = scratch.keep(many.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
     apart = rooted.groupBy("s").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.max("n").alias("most")).filter("u < v").select("s", "most")
     split = scratch.keep(rooted.join(apart, "s"), "split")
-    own = split.groupBy("row").agg(F.collect_list("s").alias("own"))  # no more than a set has cells
+    own = split.groupBy("row").agg(F.slice(F.sort_array(F.collect_list("s")), 1, TOLD).alias("own"))  # no list is longer than a set's cells
     parts = F.ceil(F.col("m") * F.greatest(F.col("most") / LONG, F.lit(1.0)) / BLOCK).cast("int")
     split = split.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    tiled = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(marked.select("row", "counts"), "row").join(own, "row")
-    tiled = tiled.select("s", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "row", "n", "root", "own", "counts")
+    tiled = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(own, "row")
+    tiled = tiled.select("s", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "row", "n", "root", "own")
+
+    def narrow(batches):
+        for tile in _tiles(batches, "own"):
+            yield pa.RecordBatch.from_pylist(open_members(tile), kept)
 
     def search(batches):
         for tile in _tiles(batches, "counts"):
@@ -327,7 +357,9 @@ def near_copies(numbered: DataFrame, row_col: str, text_col: str = "text", words
 
     whole, short = pa.int64(), pa.int32()
     kept = pa.schema([("s", whole), ("lo", short), ("hi", short), ("part", short), ("row", whole), ("n", short), ("root", whole), ("own", pa.list_(whole))])
-    near = scratch.keep(dealt(tiled).mapInArrow(search, "s long, lo int, hi int, part int, row long, n int, root long, own array<long>"), "near")
+    columns = "s long, lo int, hi int, part int, row long, n int, root long, own array<long>"
+    still = scratch.keep(dealt(tiled).mapInArrow(narrow, columns), "open")
+    near = scratch.keep(dealt(still.join(marked.select("row", "counts"), "row")).mapInArrow(search, columns), "near")
     sets = scratch.keep(_shingled(docs.join(near.select("row").distinct(), "row", "left_semi"), words).withColumnRenamed("s", "set"), "sets")
     more = scratch.keep(dealt(near.join(sets, "row")).mapInArrow(link, "ra long, rb long"), "links")
     if not more.isEmpty():
