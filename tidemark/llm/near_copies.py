@@ -28,7 +28,7 @@ BLOCK = 512
 #: Shingles of a set on average, if a block has so many members; blocks of larger sets have fewer, as a task holds the sets of a tile.
 LONG = 4096
 #: Postings of a member that tell in which one a pair was compared already: so many, the first ones. Whole lists would take the square of a text's cells.
-TOLD = 8
+TOLD = 32
 #: Words of embeddings that are compared at once.
 CHUNK = 4_000_000
 #: Hashes of texts whose cells are made at once.
