@@ -422,3 +422,22 @@ def test_documents_are_cleaned_and_valid_json(spark):
     assert json.loads(lines[1].json) == {"k": "A", "y": 0.333333, "d": DAY.isoformat(), "more": [{"at": DAY.isoformat()}]}
     whole = json.loads(study.export_whole({"rows": df}, df.select("k", "y")).first().json)
     assert whole == {"rows": [{"k": "A", "y": 0.333333, "d": DAY.isoformat(), "more": [{"at": DAY.isoformat()}]}, {"k": "B", "y": 0.0}], "monthly": [{"k": "A", "y": 0.333333}, {"k": "B", "y": 0.0}]}
+
+
+def test_export_shortens_the_snapshots_five_digits_as_its_sql_does(spark, monkeypatch):
+    import duckdb
+
+    from tidemark import queries
+
+    scores = [2.3754996, -0.2645004, 0.1574998, 0.5005, -0.5025, 1.0005, 2.3755, 3.0, -0.0004, None]
+    rows = [(k, f"n{k}", "ASIA", 5, "Q5 Leader", "up", 1, True, x, x and -x, DAY) for k, x in enumerate(scores)]
+    now = spark.createDataFrame(rows, "ticker long, name string, sector string, band int, label string, movement string, sessions_in_band long, above_sma boolean, rs_score double, rs_slope double, date date")
+    monkeypatch.setattr(queries.analysis, "snapshot", lambda *_: now)
+    monkeypatch.setattr(queries.tables, "sectors", lambda *_: None)
+    monkeypatch.setattr(queries, "_as_of", lambda *_: 0)
+    monkeypatch.setattr(queries, "_signals", lambda *_: None)
+    monkeypatch.setattr(queries, "_band_returns", lambda *_: spark.createDataFrame([], "run_id string, date date, r double"))
+    got = [json.loads(r.json) for r in queries.export_compact(spark, "").filter("part = 'snapshot'").collect()]
+    want = duckdb.execute("SELECT x, round(round(x, 5), 3) + 0.0, round(round(-x, 5), 3) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS x)", [scores]).fetchall()
+    assert {r["ticker"]: (scores[r["ticker"]], r.get("rs_score"), r.get("rs_slope")) for r in got} == dict(enumerate(want))
+    assert want[0][1] == 2.376 and want[3][1] == 0.5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,11 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
+def _shortened(column: str, digits: int) -> Column:
+    """A column rounded by its product, as the SQL's engine does; figures rounded before are often at half a digit, where ``F.round``, which goes by decimal digits, may go the other way."""
+    return (F.round(F.col(column) * 10**digits) / 10**digits).alias(column)
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly panel; a ticker is in the universe between its first and last price."""
     grid = tables.monthly_panel(spark, sf_dir)
@@ -551,12 +556,13 @@ def verdict_table(spark, sf_dir):
 
 
 def _export(spark, sf_dir, full):
-    now = analysis.snapshot(_signals(spark, sf_dir), tables.sectors(spark, sf_dir), _as_of(spark, sf_dir), 3)
+    # the export shortens the figures of the query ``snapshot``, which have five digits
+    now = _rounded(analysis.snapshot(_signals(spark, sf_dir), tables.sectors(spark, sf_dir), _as_of(spark, sf_dir), 3), 5)
     parts = {
-        "snapshot": now.select("ticker", "name", "sector", "band", "label", "movement", "sessions_in_band", "above_sma", F.round("rs_score", 3).alias("rs_score"), F.round("rs_slope", 3).alias("rs_slope"), "date"),
+        "snapshot": now.select("ticker", "name", "sector", "band", "label", "movement", "sessions_in_band", "above_sma", _shortened("rs_score", 3), _shortened("rs_slope", 3), "date"),
         "bands": now.filter("band IS NOT NULL").groupBy("band", "sector").agg(F.count("*").alias("n")),
     }
-    returns = _band_returns(spark, sf_dir).select("run_id", "date", F.round("r", 4).alias("r"))
+    returns = _band_returns(spark, sf_dir).select("run_id", "date", _shortened("r", 4))
     return study.export_document(parts, returns if full else None)
 
 
