@@ -441,3 +441,21 @@ def test_export_shortens_the_snapshots_five_digits_as_its_sql_does(spark, monkey
     want = duckdb.execute("SELECT x, round(round(x, 5), 3) + 0.0, round(round(-x, 5), 3) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS x)", [scores]).fetchall()
     assert {r["ticker"]: (scores[r["ticker"]], r.get("rs_score"), r.get("rs_slope")) for r in got} == dict(enumerate(want))
     assert want[0][1] == 2.376 and want[3][1] == 0.5
+
+
+def test_documents_have_numbers_without_exponents_and_are_otherwise_as_to_json(spark):
+    import duckdb
+
+    xs = [3e-4, -9e-4, 1e-4, 0.001, 0.0, -0.0, 2.0, -13.25, 0.123456, 1e7, 12345678.5, -1e15, 123456789012.5, None]
+    df = spark.createDataFrame([("r", x) for x in xs], "run_id string, r double")
+    got = [r.json for r in study.export_document({}, df).collect()]
+    said = [t for (t,) in duckdb.execute("SELECT (x + 0.0)::VARCHAR FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs]).fetchall()]
+    assert got == ['{"run_id":"r"' + (f',"r":{t}' if t is not None else "") + "}" for t in said] and got[0] == '{"run_id":"r","r":0.0003}'
+    assert [json.loads(t) for t in got] == [{"run_id": "r"} | ({"r": x} if x is not None else {}) for x in xs]
+    kind = "a string, `b\"q` string, n long, f boolean, at timestamp, none string, x array<double>, s struct<y: float, t: string, z: array<struct<v: double>>>, l array<string>, m map<string,int>, d decimal(9,2)"
+    at = datetime.datetime(2020, 1, 2, 3, 4, 5)
+    rows = [('say ":1.0E-4," \\ é \n', "", -3, True, at, None, [0.5, None, 2.0], (0.25, None, [(1.5,), None, (None,)]), ["x", None], {"k": 1}, None), ("", None, None, None, None, None, [], (None, None, []), None, None, None)]
+    odd = spark.createDataFrame(rows, kind)
+    assert [r.json for r in study.export_document({"odd": odd}).collect()] == [r.json for r in study.json_ready(odd).select(F.to_json(F.struct("*")).alias("json")).collect()]
+    small = json.loads(study.export_document({"s": spark.createDataFrame([([2e-5, 1e-6, 4e-7],)], "x array<double>")}).first().json, parse_float=str)
+    assert small == {"x": ["0.00002", "0.000001", "0.0"]}

@@ -118,6 +118,25 @@ def json_ready(df: DataFrame) -> DataFrame:
     return df.select(*[ready(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
 
 
+def json_text(c: Column, kind: T.DataType) -> Column:
+    """The JSON of a value of a table that is ``json_ready``, null for null. As ``to_json``, but doubles below 10^16 are written without an exponent (0.0003, not 3.0E-4)."""
+    if isinstance(kind, T.DoubleType):
+        plain = F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+        return F.when(F.abs(c) < 1e16, plain).otherwise(c.cast("string"))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), json_object({f.name: json_text(c[f.name], f.dataType) for f in kind}))
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: json_text(x, kind.elementType)), ",", "null"), F.lit("]"))
+    held = F.to_json(F.struct(c.alias("v")))  # {"v":...}
+    return F.when(c.isNotNull(), F.substr(held, F.lit(6), F.length(held) - 6))
+
+
+def json_object(texts: dict[str, Column]) -> Column:
+    """An object of fields' JSON, without those that are null."""
+    fields = [F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), t) for n, t in texts.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
 def export_document(parts: dict[str, DataFrame], monthly: DataFrame | None = None, head: dict | None = None) -> DataFrame:
     """(part, json): a study as lines of JSON, one for each row of each part, in the order of the parts' first columns.
 
@@ -129,7 +148,7 @@ def export_document(parts: dict[str, DataFrame], monthly: DataFrame | None = Non
     out = None
     for name, df in every.items():
         ready = json_ready(df)
-        line = ready.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("json"))
+        line = ready.select(F.lit(name).alias("part"), json_object({f.name: json_text(F.col(f.name), f.dataType) for f in ready.schema}).alias("json"))
         out = line if out is None else out.unionByName(line)
     if head:
         top = out.sparkSession.createDataFrame([("head", json.dumps(clean(head), allow_nan=False, sort_keys=True))], "part string, json string")
